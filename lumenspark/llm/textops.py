@@ -58,6 +58,7 @@ class Tokens(NamedTuple):
     start: np.ndarray  # byte offset in its row
     length: np.ndarray  # bytes
     row_start: np.ndarray
+    prefixes: tuple[np.ndarray, ...] = ()  # hashes of the words' first bytes, as asked for
 
 
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -112,9 +113,13 @@ def _block_ends(data: np.ndarray, separators: np.ndarray) -> list[int]:
     return ends
 
 
-def tokenize(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = IS_SPACE, lower: bool = False) -> Tokens:
-    """Maximal runs of other bytes than ``separators`` in each row, with 64-bit content hashes. ``lower`` folds A-Z."""
+def tokenize(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = IS_SPACE, lower: bool = False, prefixes: tuple[int, ...] = ()) -> Tokens:
+    """Maximal runs of other bytes than ``separators`` in each row, with 64-bit content hashes. ``lower`` folds A-Z.
+
+    ``prefixes``: also hash the first so many bytes of each word (or the whole of a shorter one).
+    """
     hashes, starts, lengths = [], [], []
+    heads: list[list[np.ndarray]] = [[] for _ in prefixes]
     at = 0
     for end in _block_ends(data, separators):
         part = data[at:end]
@@ -138,17 +143,19 @@ def tokenize(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = IS_
             np.cumsum(_VALUES[part] * power[:n], out=sums[1:])
             h = (sums[e] - sums[s]) * inverse[s]
             hashes.append(mix(h + (e - s).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
+            for p, head in zip(prefixes, heads, strict=True):
+                head.append(mix((sums[np.minimum(s + p, e)] - sums[s]) * inverse[s] + np.uint64(p)))
             starts.append(s + at)
             lengths.append(e - s)
         at = end
     h, s, ln = (np.concatenate(x) if x else np.empty(0, kind) for x, kind in ((hashes, np.uint64), (starts, np.int64), (lengths, np.int64)))
     row_start = np.searchsorted(s, offsets, "left")
     row = np.repeat(np.arange(len(offsets) - 1), np.diff(row_start))
-    return Tokens(h, s - offsets[row], ln, row_start)
+    return Tokens(h, s - offsets[row], ln, row_start, tuple(np.concatenate(x) if x else np.empty(0, np.uint64) for x in heads))
 
 
-def tokenize_column(column: pa.Array, separators: np.ndarray = IS_SPACE, lower: bool = False) -> Tokens:
-    return tokenize(*text_buffers(column), separators, lower)
+def tokenize_column(column: pa.Array, separators: np.ndarray = IS_SPACE, lower: bool = False, prefixes: tuple[int, ...] = ()) -> Tokens:
+    return tokenize(*text_buffers(column), separators, lower, prefixes)
 
 
 def windows(h: np.ndarray, k: int) -> np.ndarray:
