@@ -25,38 +25,23 @@ from lumenspark.llm import textops
 
 
 class Memo:
-    """Word -> value. Words met once wait in a small table; those met again move to a larger one. Both are bounded."""
+    """Word -> value, bounded. When it is full, the words of the batch at hand stay (frequent ones are among them)."""
 
-    def __init__(self, compute: Callable[[list[str]], list], known: int = 400_000, new: int = 150_000):
-        self.compute, self.known, self.new = compute, known, new
-        self.often: dict[str, object] = {}
-        self.once: dict[str, object] = {}
+    def __init__(self, compute: Callable[[list[str]], list], limit: int = 500_000):
+        self.compute, self.limit = compute, limit
+        self.known: dict[str, object] = {}
 
     def look_up(self, words: list[str]) -> list:
-        out = list(map(self.often.get, words))
+        known = self.known
+        out = list(map(known.get, words))
         missing = [i for i, x in enumerate(out) if x is None]
         if missing:
-            fresh = {}
+            fresh = list({words[i] for i in missing})
+            known.update(zip(fresh, self.compute(fresh), strict=True))
             for i in missing:
-                w = words[i]
-                x = self.once.pop(w, None)
-                if x is not None:
-                    self.often[w] = x
-                elif w not in self.often:
-                    fresh[w] = fresh.get(w, 0) + 1
-            if fresh:
-                order = list(fresh)
-                for w, x in zip(order, self.compute(order), strict=True):
-                    (self.often if fresh[w] > 1 else self.once)[w] = x
-            often, once = self.often, self.once
-            for i in missing:
-                w = words[i]
-                x = often.get(w)
-                out[i] = once[w] if x is None else x
-            if len(once) > self.new:
-                once.clear()
-            if len(often) > self.known:
-                often.clear()
+                out[i] = known[words[i]]
+            if len(known) > self.limit:
+                self.known = dict(zip(words, out, strict=True))
         return out
 
 
@@ -161,7 +146,7 @@ def load_vocabulary(path: str) -> Vocabulary:
 
 
 class Encoder:
-    """Encodes whole texts. One object for each task."""
+    """Encodes whole texts. ``encoder_of`` keeps one for each worker process, so that tasks share its memo."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
@@ -178,11 +163,16 @@ class Encoder:
         return [np.frombuffer(b"".join(packed[a:b]), self.vocabulary.kind) for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
+@lru_cache(2)
+def encoder_of(path: str) -> Encoder:
+    return Encoder(load_vocabulary(path))
+
+
 def encode_documents(docs: DataFrame, tokenizer_path: str, text_column: str = "text", ids_column: str = "ids") -> DataFrame:
     """Adds the token ids of every whole text as ``array<int>``; all other columns stay. One pass, no shuffle."""
 
     def run(batches):
-        encoder = Encoder(load_vocabulary(tokenizer_path))
+        encoder = encoder_of(tokenizer_path)
         for batch in textops.batches_by_bytes(batches, text_column):
             ids = encoder.encode(batch.column(batch.schema.get_field_index(text_column)))
             ends = np.zeros(len(ids) + 1, np.int32)
@@ -216,7 +206,7 @@ def round_trip_digests(docs: DataFrame, tokenizer_path: str, id_column: str = "d
 
     def run(batches):
         vocabulary = load_vocabulary(tokenizer_path)
-        encoder = Encoder(vocabulary)
+        encoder = encoder_of(tokenizer_path)
         for batch in textops.batches_by_bytes(batches, "text"):
             ids = encoder.encode(batch.column(1))
             columns = [

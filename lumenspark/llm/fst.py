@@ -183,7 +183,7 @@ def split_special(texts: pa.Array, special: dict[str, int]) -> tuple[list[str],
 
 
 class Counter:
-    """The compiled pair of transducers. One object for each task."""
+    """The compiled pair of transducers. ``counter_of`` keeps one for each worker process."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
@@ -197,11 +197,16 @@ class Counter:
         return textops.row_sums(counts, row_start)
 
 
+@lru_cache(2)
+def counter_of(path: str) -> Counter:
+    return Counter(load_vocabulary(path))
+
+
 def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 512, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Tokens of every whole text: id, n_bytes, n_tokens, over_limit. One pass, no shuffle; other columns are ignored."""
 
     def run(batches):
-        counter = Counter(load_vocabulary(tokenizer_path))
+        counter = counter_of(tokenizer_path)
         for batch in textops.batches_by_bytes(batches, "text"):
             texts = batch.column(1)
             _, offsets = textops.text_buffers(texts)

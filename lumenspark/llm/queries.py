@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenspark.llm import bpe, fst, mixing, quality, tokenfiles, topk, toxicity
+from lumenspark.llm import bpe, fst, jaccard, mixing, quality, suffix, tokenfiles, topk, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     return topk.top_k(rows, rows.where(F.col("vec_id") % 20 == 0))
@@ -33,6 +37,10 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fst.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.write_and_read(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -47,9 +55,11 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_mixing": op1_mixing,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_topk": op3_topk,
     "op4_toxicity": op4_toxicity,
     "op6_token_counts": op6_token_counts,
+    "op7_jaccard": op7_jaccard,
     "op8_token_files": op8_token_files,
     "op9_quality": op9_quality,
     "op10_bpe": op10_bpe,
@@ -58,5 +68,6 @@ QUERIES = {
 ORACLES: dict[str, str] = {
     "op1_mixing": mixing.ORACLE,
     "op3_topk": topk.ORACLE,
+    "op7_jaccard": jaccard.ORACLE,
     "op9_quality": quality.ORACLE,
 }

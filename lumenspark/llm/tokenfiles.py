@@ -35,7 +35,7 @@ from lumenspark.llm.bpe import Memo
 from lumenspark.llm.shared import new_folder, numbered, width
 
 SHARD_TOKENS = 1 << 20
-ROUNDS = 4
+ROUNDS = 3
 PAIRS = 2048
 LEAST = 4
 END_ID = 2
@@ -54,25 +54,59 @@ def _library(path: str):
     return t
 
 
+_FOLD = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
+_IS_PLAIN = np.zeros(256, bool)
+_IS_PLAIN[[*range(48, 58), *range(97, 123)]] = True
+_IS_STOP = np.zeros(256, bool)
+_IS_STOP[list(b",.;:!?")] = True
+
+
 class LibraryEncoder:
-    """Ids by the tokenizers library, for tokenizers that drop white space.
+    """Ids by the tokenizers library, for tokenizers that fold case, drop white space and part letters from punctuation.
 
     As no piece reaches over a space, a text is the sum of what stands between its spaces; the library is asked once for
-    each distinct such string (within the memo's bounds).
+    each distinct such string (within the memo's bounds). Before, A-Z are folded and a space is set between a letter or
+    digit of ASCII and a punctuation mark, which leaves fewer distinct strings; a batch with combining marks (they could
+    join a letter before it is folded) or with what may be a special token is left as it is.
     """
 
     def __init__(self, path: str):
         self.tokenizer = _library(path)
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.kind = np.dtype("<u2") if self.size <= 1 << 16 else np.dtype("<u4")
+        self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
+        self.mark = self.special[-1]
+        self.mark_id = self.tokenizer.token_to_id(self.mark)
         self.memo = Memo(self._ask)
 
     def _ask(self, words: list[str]) -> list[bytes]:
-        encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        return [np.array(x.ids, self.kind).tobytes() for x in encode(words, add_special_tokens=False)]
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        parts = [(x or "").replace("\n", " ").split(" ") for x in texts]
+        """Asks for many strings at once, parted by a special token."""
+        odd = [w for w in words if any(x in w for x in self.special)]
+        asked = {w: np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, self.kind).tobytes() for w in odd}
+        plain = [w for w in words if w not in asked] if odd else words
+        out: list[bytes] = []
+        for at in range(0, len(plain), 1024):
+            ids = np.array(self.tokenizer.encode(self.mark.join(plain[at : at + 1024]), add_special_tokens=False).ids, self.kind)
+            cut = np.flatnonzero(ids == self.mark_id) * self.kind.itemsize
+            raw = ids.tobytes()
+            out += [raw[a:b] for a, b in zip([0, *(cut + self.kind.itemsize).tolist()], [*cut.tolist(), len(raw)], strict=True)]
+        if not odd:
+            return out
+        asked.update(zip(plain, out, strict=True))
+        return [asked[w] for w in words]
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        data, offsets = textops.text_buffers(texts)
+        raw = data.tobytes()
+        if b"<|" not in raw and b"\xcc" not in raw and b"\xcd" not in raw:
+            raw = raw.translate(_FOLD)
+            data = np.frombuffer(raw, np.uint8)
+            at = np.flatnonzero(_IS_STOP[data[1:]] & _IS_PLAIN[data[:-1]]) + 1
+            raw = np.insert(data, at, 32).tobytes()
+            offsets = offsets + np.searchsorted(at, offsets)
+        whole = raw.replace(b"\n", b" ")
+        cuts = offsets.tolist()
+        parts = [whole[a:b].decode().split(" ") for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
         found = self.memo.look_up([w for p in parts for w in p])
         out, at = [], 0
         for p in parts:
@@ -81,6 +115,12 @@ class LibraryEncoder:
         return out
 
 
+@lru_cache(2)
+def encoder_of(path: str) -> LibraryEncoder:
+    """One for each worker process, so that tasks share its memo."""
+    return LibraryEncoder(path)
+
+
 def compress(ids: np.ndarray, base: int, rounds: int = ROUNDS, pairs: int = PAIRS, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
     """Re-Pair grammar of a sequence: symbols, rules (n x 2), expansion lengths, and round bounds."""
     symbols = ids.astype(np.uint32)
@@ -190,10 +230,10 @@ def write_files(docs: DataFrame, folder: str, tokenizer_path: str, shard_tokens:
     cuts = np.unique(np.array(ids.approxQuantile("doc_id", [i / n for i in range(1, n)], 0.25 / n) if n > 1 else [], np.float64)).astype(np.int64)
 
     def encode(batches):
-        encoder = LibraryEncoder(tokenizer_path)
+        encoder = encoder_of(tokenizer_path)
         end = np.array([end_id], encoder.kind).tobytes()
         for batch in textops.batches_by_bytes(batches, "text"):
-            packed = [x + end for x in encoder.encode(batch.column(1).to_pylist())]
+            packed = [x + end for x in encoder.encode(batch.column(1))]
             known = batch.column(0).fill_null(np.iinfo(np.int64).min).to_numpy()
             yield pa.RecordBatch.from_arrays([pa.array(np.searchsorted(cuts, known, "left").astype(np.int32)), batch.column(0), pa.array(packed, pa.binary())], names=["part", "doc_id", "ids"])
 

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from lumenspark.llm import textops
 
 SAMPLE_ROWS = 20_000
-BUCKETS = 1 << 20
+BUCKETS = 1 << 18
 HEADS = (4, 5, 6)
 PRIOR = 20_000.0
 CERTAIN = 4.0
@@ -142,8 +142,8 @@ def _tail_parameters(best: np.ndarray, n_words: np.ndarray) -> tuple[float, floa
 def _gumbel_curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     """Place and slope of the curve exp(-exp(-slope (x - at))) by greatest likelihood on a grid, then refined."""
     best = (np.inf, 0.0, 1.0)
-    places = np.unique(np.quantile(x, np.linspace(0, 1, 101)))
-    slopes = np.geomspace(0.02, 5, 25)
+    places = np.unique(np.quantile(x, np.linspace(0, 1, 41)))
+    slopes = np.geomspace(0.02, 5, 15)
     for _ in range(3):
         for slope in slopes:
             for at in places:
@@ -179,9 +179,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at].astype(np.int64))], names=["cell", "n"])
 
-    counted = sample.mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    counted = sample.mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(4 * BUCKETS)
-    counts[counted["cell"].to_numpy(np.int64)] = counted["n"].to_numpy()
+    counts[counted["cell"].to_numpy()] = counted["n"].to_numpy()
     counts = counts.reshape(2, 2, BUCKETS)
     if not counts[:, 0].sum() or not counts[:, 1].sum():
         return Model(np.zeros(BUCKETS), 1.0, 1.0, 0.0, 1.0, blind=True)
@@ -193,22 +193,23 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
             folds, out = batch.column(2).to_numpy(), []
             for i, (a, b) in enumerate(zip(row_start[:-1].tolist(), row_start[1:].tolist(), strict=True)):
                 found = sorted((s for s, _, _ in segments(word_scores(features[:, a:b], other_fold.value[int(folds[i])]).astype(float))), reverse=True)
-                out.append((found[:64], b - a))
+                out.append((found, b - a))
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([x for x, _ in out], pa.list_(pa.float64())), pa.array([n for _, n in out], pa.int64())], names=["toxic", "found", "n"])
 
-    rows = sample.mapInArrow(best_segments, "toxic int, found array<double>, n long").collect()
+    rows = sample.mapInArrow(best_segments, "toxic int, found array<double>, n long").toArrow()
     other_fold.unpersist()
-    y = np.array([r["toxic"] for r in rows], float)
-    n = np.maximum(np.array([r["n"] for r in rows], float), 1)
-    best = np.array([r["found"][0] if r["found"] else 0.0 for r in rows])
+    y = rows["toxic"].to_numpy().astype(float)
+    n = np.maximum(rows["n"].to_numpy().astype(float), 1)
+    all_found = [x.values.to_numpy() for x in rows["found"]]
+    best = np.array([x[0] if len(x) else 0.0 for x in all_found])
     decay, scale = _tail_parameters(best[y == 0], n[y == 0])
 
     def evidence(found, words):
-        bits = [decay * s - np.log(scale * words) for s in found] or [-np.log(scale * words)]
-        tails = [x for x in bits if -np.expm1(-np.exp(-x)) < SIGNIFICANT]
-        return sum(tails) if tails else max(bits)
+        bits = decay * (found if len(found) else np.zeros(1)) - np.log(scale * words)
+        tails = bits[-np.expm1(-np.exp(-bits)) < SIGNIFICANT]
+        return tails.sum() if len(tails) else bits.max()
 
-    x = np.array([evidence(r["found"], w) for r, w in zip(rows, n, strict=True)])
+    x = np.array([evidence(f, w) for f, w in zip(all_found, n, strict=True)])
     at, slope = _gumbel_curve(x, y)
     return Model(log_odds(counts[:, 1].sum(0), counts[:, 0].sum(0)).astype(np.float32), decay, scale, at, slope)
 
