@@ -24,8 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-LEAF = 64
-FAN = 24
+LEAF = 256
+FAN = 16
 QUERY_BLOCK = 4096
 ROW_BLOCK = 8192
 
@@ -66,8 +66,9 @@ class Search:
         self.q, self.x = queries.astype(np.float64), self.rows.astype(np.float64)
         largest = np.sqrt((self.q**2).sum(1).max()) * np.sqrt((self.x**2).sum(1).max())
         self.exact, self.slack = largest < 2.0**52, 1e-9 * largest + 0.5
-        self.none = np.iinfo(np.int64).min
-        self.score = np.full((len(queries), k), self.none, np.int64)
+        kind = np.float64 if self.exact else np.int64
+        self.none = kind(-np.inf) if self.exact else np.iinfo(np.int64).min
+        self.score = np.full((len(queries), k), self.none, kind)
         self.found = np.full((len(queries), k), np.iinfo(np.int64).max, np.int64)
         self.pairs = 0
 
@@ -97,20 +98,32 @@ class Search:
             query.worst = min(a.worst for a in query.children)
 
     def compare(self, query: Node, row: Node) -> None:
+        """Products of two leaves. Only those that reach a query's k-th score so far are sorted into its results."""
         self.pairs += 1
         rows = row.points[: self.k + 1] if row.radius == 0 and self.distinct else row.points
-        q = query.points
-        got = (self.q[q] @ self.x[rows].T).astype(np.int64) if self.exact else self.queries[q] @ self.rows[rows].T
-        ids = self.row_ids[rows]
-        got = np.where(self.query_ids[q][:, None] == ids[None], self.none, got)
-        better = np.flatnonzero((got > self.none).any(1) & (got.max(1) >= self.score[q, -1]))
-        if len(better):
-            at = q[better]
-            score = np.concatenate((self.score[at], got[better]), 1)
-            found = np.concatenate((self.found[at], np.where(got[better] == self.none, np.iinfo(np.int64).max, ids[None])), 1)
-            # Descending scores without negation, which the smallest integer lacks.
-            order = np.lexsort((found, ~score), axis=1)[:, : self.k]
-            self.score[at], self.found[at] = np.take_along_axis(score, order, 1), np.take_along_axis(found, order, 1)
+        q, k = query.points, self.k
+        got = self.q[q] @ self.x[rows].T if self.exact else self.queries[q] @ self.rows[rows].T
+        ids = self.row_ids[rows]  # ascending
+        lo, hi = np.searchsorted(ids, self.query_ids[q], "left"), np.searchsorted(ids, self.query_ids[q], "right")
+        for i in np.flatnonzero(lo < hi).tolist():
+            got[i, lo[i] : hi[i]] = self.none
+        passes = (got >= self.score[q, -1][:, None]) & (got > self.none)
+        many = np.flatnonzero(passes.sum(1) > 2 * k)
+        if len(many) and got.shape[1] > k:  # all that tie with the leaf's own k-th stay
+            passes[many] &= got[many] >= np.partition(got[many], got.shape[1] - k, axis=1)[:, got.shape[1] - k][:, None]
+        r, c = np.nonzero(passes)
+        if not len(r):
+            return
+        touched = np.unique(r)
+        old = np.repeat(touched, k)
+        at = q[touched]
+        owner = np.concatenate((old, r))
+        score = np.concatenate((self.score[at].ravel(), got[r, c]))
+        found = np.concatenate((self.found[at].ravel(), ids[c]))
+        order = np.lexsort((found, -score if self.exact else ~score, owner))
+        begin = np.searchsorted(owner[order], touched)
+        take = order[(begin[:, None] + np.arange(k)[None]).ravel()]
+        self.score[at], self.found[at] = score[take].reshape(-1, k), found[take].reshape(-1, k)
         query.worst = float(self.score[q, -1].min()) if (self.score[q, -1] > self.none).all() else -math.inf
 
     @property
@@ -171,7 +184,7 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 20, id_column: str = "ve
                 s = Search(*matrix(a), *matrix(b), k)
             s.run()
             ok = s.score > s.none
-            out = [np.repeat(s.query_ids, k)[ok.ravel()], s.found.ravel()[ok.ravel()], s.score.ravel()[ok.ravel()]]
+            out = [np.repeat(s.query_ids, k)[ok.ravel()], s.found.ravel()[ok.ravel()], s.score.ravel()[ok.ravel()].astype(np.int64)]
         return pa.table({n: pa.array(out[i] if len(out) else [], pa.int64()) for i, n in enumerate(("query_id", "vec_id", "score"))})
 
     keys = ["dim", "qb", "xb"]
