@@ -1,16 +1,17 @@
 """N-gram Jaccard join by PartEnum signatures.
 
 A document's set holds the hashes of its distinct word shingles. Sets are put in bands by size; two sets with a similarity
-of ``num / den`` or more that meet in a band differ in at most ``k`` elements. The feature domain is parted into ``k + 1``
-parts (with k differences one of them has none, so each "all but the differing parts" subset is a single part), and the
-content of each part is a signature: similar sets share at least one. A set of a band's upper end also gets the next
-band's signatures, so pairs across a border meet.
+of ``num / den`` or more that meet in a band differ in at most ``k`` elements. The feature domain is parted into about
+``(k + 1) / 2`` parts, of which one has at most one difference, and each part into three cells, of which two have none
+then. Every choice of two cells of a part is a signature (their whole content): similar sets share at least one. A set of
+a band's upper end also gets the next band's signatures, so pairs across a border meet.
 
 1. Documents with equal sets form a class, known by a 64-bit hash of the set; only classes are joined.
 2. Signatures travel as packed arrays. A signature met once stops there; one repeated within a task is known to be shared
    at once, and only one entry of it goes on to be counted, so frequent signatures are pre-aggregated.
-3. Each shared signature links all its classes to one pivot (the smallest). Pairs are verified on whole sets, links become
-   components. Where classes of a signature are still in different components, their remaining pairs of fitting sizes are
+3. Each shared signature links all its classes to one pivot (the smallest). Pairs whose histograms of set elements over
+   ``CELLS`` cells differ by more than k allow (a lower bound of the difference) go; the others are verified on whole sets,
+   and links become components. Where classes of a signature are still in different components, their remaining pairs of fitting sizes are
    verified too. So every link between different sets is found, while classes linked through a pivot are not paired.
 4. Every document gets its class's component.
 
@@ -36,6 +37,7 @@ from lumenspark.llm.packed import SMALL_ROWS, BitTable, shared_pairs, small_batc
 from lumenspark.llm.shared import components, keep, width
 
 BITS = 52
+CELLS = 256
 _MASK = np.uint64((1 << BITS) - 1)
 assert SMALL_ROWS <= 1 << (64 - BITS)
 
@@ -92,52 +94,76 @@ def signatures(sets: np.ndarray, offsets: np.ndarray, num: int, den: int) -> tup
         instance = band + step
         # The next band matters if a similar set can be larger than this band's top.
         use = (size > 0) & (np.ones(len(size), bool) if step == 0 else size * den >= num * (tops[band] + 1))
-        parts = 2 * tops[instance] * (den - num) // (den + num) + 1
-        use &= parts > 1
+        k = 2 * tops[instance] * (den - num) // (den + num)
+        use &= k > 0
+        groups = (k + 2) // 2
+        cells = 3 * groups
         row = np.flatnonzero(use)
         if not len(row):
             continue
         base = np.zeros(len(size), np.int64)
-        base[row] = np.cumsum(parts[row]) - parts[row]
+        base[row] = np.cumsum(cells[row]) - cells[row]
         at = textops.ragged(offsets[:-1][row], size[row])
         owner = np.repeat(row, size[row])
         h = textops.mix(sets[at] + np.uint64(0x5851F42D4C957F2D))
-        part = ((h >> np.uint64(32)) * parts[owner].astype(np.uint64)) >> np.uint64(32)
-        total = int(parts[row].sum())
-        sums = _wrapping_sums(h, base[owner] + part.astype(np.int64), total)
-        index = np.arange(total) - np.repeat(base[row], parts[row])
-        salt = textops.mix((np.repeat(instance[row], parts[row]).astype(np.uint64) << np.uint64(40)) + index.astype(np.uint64))
-        found.append(textops.mix(sums ^ salt))
-        rows.append(np.repeat(row, parts[row]))
+        cell = ((h >> np.uint64(32)) * cells[owner].astype(np.uint64)) >> np.uint64(32)
+        total = int(cells[row].sum())
+        sums = _wrapping_sums(h, base[owner] + cell.astype(np.int64), total)
+        index = np.arange(total) - np.repeat(base[row], cells[row])
+        salt = textops.mix((np.repeat(instance[row], cells[row]).astype(np.uint64) << np.uint64(40)) + index.astype(np.uint64))
+        content = textops.mix(sums ^ salt).reshape(-1, 3)
+        # The cell of the same place that a choice leaves out is told by the salts of the two that it has.
+        found.append(textops.mix(content * np.uint64(0xA24BAED4963EE407) + content[:, [1, 2, 0]]).ravel())
+        rows.append(np.repeat(row, cells[row]))
     if not found:
         return np.empty(0, np.uint64), np.empty(0, np.int64)
     return np.concatenate(found), np.concatenate(rows)
 
 
-def class_sets(texts: DataFrame, classes: DataFrame, k: int) -> DataFrame:
-    """(class, n, set) of the classes asked for, once each."""
+def _of_classes(texts: DataFrame, classes: DataFrame, k: int, column: str, blob_of) -> DataFrame:
+    """(class, n, column) of the classes asked for, once each; ``blob_of`` makes the column from a set."""
     table = BitTable(classes, "class")
 
     def emit(batches):
         seen: set[int] = set()
-        for batch in small_batches(batches, "text"):
+        for batch in small_batches(batches):
             sets, offsets = shingle_sets(batch.column(0), k)
             h = set_hashes(sets, offsets)
-            asked = table.may_hold(h) & (np.diff(offsets) > 0)
             use = []
-            for i in np.flatnonzero(asked).tolist():
+            for i in np.flatnonzero(table.may_hold(h) & (np.diff(offsets) > 0)).tolist():
                 if int(h[i]) not in seen:
                     seen.add(int(h[i]))
                     use.append(i)
             if len(seen) > 200_000:
                 seen.clear()
-            yield pa.RecordBatch.from_arrays([pa.array(h[use]), pa.array(np.diff(offsets)[use]), pa.array([sets[offsets[i] : offsets[i + 1]].tobytes() for i in use], pa.binary())], names=["class", "n", "set"])
+            yield pa.RecordBatch.from_arrays([pa.array(h[use]), pa.array(np.diff(offsets)[use]), pa.array([blob_of(sets[offsets[i] : offsets[i + 1]]) for i in use], pa.binary())], names=["class", "n", column])
+
+    found = texts.mapInArrow(emit, f"class long, n long, {column} binary").join(classes, "class", "left_semi")
+    return keep(found.groupBy("class").agg(F.first("n").alias("n"), F.first(column).alias(column)))
+
+
+def histogram(elements: np.ndarray) -> bytes:
+    """Elements in each cell, at most 255: cells of two sets never differ by more than the sets do."""
+    cell = textops.mix(elements) >> np.uint64(56)
+    return np.minimum(np.bincount(cell.astype(np.int64), minlength=CELLS), 255).astype(np.uint8).tobytes()
+
+
+def fitting(pairs: DataFrame, histograms: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) that sizes and histograms allow to be similar. Loses no similar pair."""
+
+    def run(batches):
+        for batch in batches:
+            n = (batch.column(2).to_numpy() + batch.column(3).to_numpy()).astype(np.int64)
+            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, CELLS).astype(np.int16) for i in (4, 5))
+            ok = np.abs(x - y).sum(1) * (den + num) <= n * (den - num)
+            yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(ok)) for i in (0, 1)], names=["a", "b"])
 
-    found = texts.mapInArrow(emit, "class long, n long, set binary").join(classes, "class", "left_semi")
-    return found.groupBy("class").agg(F.first("n").alias("n"), F.first("set").alias("set"))
+    of = lambda name: histograms.select(F.col("class").alias(name), F.col("n").alias(f"n_{name}"), F.col("cells").alias(f"cells_{name}"))
+    fits = F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num
+    return pairs.join(of("a"), "a").join(of("b"), "b").where(fits).select("a", "b", "n_a", "n_b", "cells_a", "cells_b").mapInArrow(run, "a long, b long")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+def verified(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) whose sets are similar, by their exact intersection."""
 
     def run(batches):
@@ -145,45 +171,42 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 x, y = ([np.frombuffer(b, np.uint64) for b in part.column(i).to_pylist()] for i in (2, 3))
-                sizes = np.array([(len(a), len(b)) for a, b in zip(x, y, strict=True)], np.int64)
+                sizes = np.array([len(a) + len(b) for a, b in zip(x, y, strict=True)], np.int64)
                 index = np.arange(part.num_rows, dtype=np.uint64) << np.uint64(BITS)
                 keys = np.sort(np.concatenate([a | i for a, i in zip(x, index, strict=True)] + [b | i for b, i in zip(y, index, strict=True)]))
                 shared = np.bincount((keys[1:][keys[1:] == keys[:-1]] >> np.uint64(BITS)).astype(np.int64), minlength=part.num_rows)
-                ok = den * shared >= num * (sizes.sum(1) - shared)
-                yield pa.RecordBatch.from_arrays([part.column(0).filter(pa.array(ok)), part.column(1).filter(pa.array(ok))], names=["a", "b"])
+                ok = den * shared >= num * (sizes - shared)
+                yield pa.RecordBatch.from_arrays([part.column(i).filter(pa.array(ok)) for i in (0, 1)], names=["a", "b"])
 
-    of = lambda name: sets.select(F.col("class").alias(name), F.col("n").alias(f"n_{name}"), F.col("set").alias(f"set_{name}"))
-    fits = (F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num)
-    sized = pairs.join(of("a").drop("set_a"), "a").join(of("b").drop("set_b"), "b").where(fits).select("a", "b")
-    both = sized.join(of("a"), "a").join(of("b"), "b").select("a", "b", "set_a", "set_b")
-    return both.mapInArrow(run, "a long, b long")
+    classes = keep(pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).distinct())
+    sets = _of_classes(texts, classes, k, "elements", lambda x: x.tobytes())
+    of = lambda name: sets.select(F.col("class").alias(name), F.col("elements").alias(f"set_{name}"))
+    return keep(pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long"))
 
 
 def class_components(texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """(class, component) of all classes that are linked with another one; the component is a class as well."""
-    spark = texts.sparkSession
 
     def keys(batch):
         sets, offsets = shingle_sets(batch.column(0), k)
         found, row = signatures(sets, offsets, num, den)
         return found, set_hashes(sets, offsets)[row]
 
-    shared = keep(shared_pairs(texts, keys, width(spark)).withColumnsRenamed({"key": "sig", "owner": "class"}))
-    sets = keep(class_sets(texts, shared.select("class").distinct(), k))
+    shared = keep(shared_pairs(texts, keys, width(texts.sparkSession)).withColumnsRenamed({"key": "sig", "owner": "class"}))
+    histograms = _of_classes(texts, shared.select("class").distinct(), k, "cells", histogram)
     pivots = keep(shared.groupBy("sig").agg(F.min("class").alias("a")))
     pairs = keep(shared.join(pivots, "sig").where("class != a").select("a", F.col("class").alias("b")).distinct())
-    links = keep(verified(pairs, sets, num, den))
+    links = verified(keep(fitting(pairs, histograms, num, den)), texts, k, num, den)
     labels = components(links).withColumnRenamed("id", "class")
     # Classes that share a signature but no component yet.
     placed = keep(shared.join(labels, "class", "left").select("sig", "class", F.coalesce("component", "class").alias("of")))
     open_sigs = keep(placed.groupBy("sig").agg(F.min("of").alias("lo"), F.max("of").alias("hi")).where("lo != hi").select("sig"))
-    rest = placed.join(open_sigs, "sig").join(sets.select("class", "n"), "class")
+    rest = placed.join(open_sigs, "sig").join(histograms.select("class", "n"), "class")
     left = rest.select("sig", F.col("class").alias("a"), F.col("of").alias("of_a"), F.col("n").alias("n_a"))
     right = rest.select("sig", F.col("class").alias("b"), F.col("of").alias("of_b"), F.col("n").alias("n_b"))
-    fits = (F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num)
+    fits = F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num
     more = left.join(right, "sig").where((F.col("a") < F.col("b")) & (F.col("of_a") != F.col("of_b")) & fits).select("a", "b").distinct()
-    more = keep(more.join(pairs, ["a", "b"], "left_anti"))
-    new = keep(verified(more, sets, num, den))
+    new = verified(keep(fitting(more.join(pairs, ["a", "b"], "left_anti"), histograms, num, den)), texts, k, num, den)
     if not new.limit(1).count():
         return labels
     return components(links.union(new)).withColumnRenamed("id", "class")
