@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenspark.llm import bpe, fst, jaccard, mixing, quality, suffix, tokenfiles, topk, toxicity
+from lumenspark.llm import bpe, chaining, fst, jaccard, mixing, quality, suffix, tokenfiles, topk, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(toxicity.held_out(), F.lit(False)).alias("held_out"), "score", "predicted", "n_passages", "best_first", "best_end")
 
 
+def op5_fuzzy_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chaining.fuzzy_passages(table(spark, sf_dir, "documents"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fst.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -58,6 +62,7 @@ QUERIES = {
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_topk": op3_topk,
     "op4_toxicity": op4_toxicity,
+    "op5_fuzzy_passages": op5_fuzzy_passages,
     "op6_token_counts": op6_token_counts,
     "op7_jaccard": op7_jaccard,
     "op8_token_files": op8_token_files,
