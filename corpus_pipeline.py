@@ -9,21 +9,25 @@ from pyspark.sql import functions as F
 
 from lumenspark.llm import bpe, jaccard, mixing, suffix, toxicity
 from lumenspark.llm.shared import new_folder
+from lumenspark.session import ship_package
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not call toxic. It learns from the labels of documents at hand."""
+    ship_package(spark)
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.drop_toxic(docs, model)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that links of a similarity of 0.8 or more on five-word shingles connect."""
+    ship_package(spark)
     return jaccard.drop_near_duplicates(docs, 5, 80, 100)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without passages of 50 words or more that a document of a smaller id has."""
+    ship_package(spark)
     out = suffix.cut_repeats(docs)
     length = F.length("text").cast("long")
     return out.withColumn("n_chars", F.when(length < F.col("n_chars"), length).otherwise(F.col("n_chars")))
@@ -36,6 +40,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, n_tokens and token ids of every document."""
+    ship_package(spark)
     coded = bpe.encode_documents(docs.select("doc_id", "source", "text"), public_tokenizers.path("byte_bpe_50k.json"))
     return coded.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
 

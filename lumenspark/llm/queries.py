@@ -7,10 +7,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenspark.llm import bpe, chaining, fst, jaccard, mixing, quality, suffix, tokenfiles, topk, toxicity
+from lumenspark.session import ship_package
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return ship_package(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
