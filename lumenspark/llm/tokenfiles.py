@@ -32,9 +32,11 @@ from pyspark.sql import functions as F
 
 from lumenspark.llm import textops
 from lumenspark.llm.bpe import Memo
-from lumenspark.llm.shared import new_folder, numbered, width
+from lumenspark.llm.shared import keep, new_folder, numbered, width
 
 SHARD_TOKENS = 1 << 20
+MEMO = 1_200_000
+SMALL_TABLE = 100_000
 ROUNDS = 3
 PAIRS = 2048
 LEAST = 4
@@ -77,7 +79,7 @@ class LibraryEncoder:
         self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.mark = self.special[-1]
         self.mark_id = self.tokenizer.token_to_id(self.mark)
-        self.memo = Memo(self._ask)
+        self.memo = Memo(self._ask, MEMO)
 
     def _ask(self, words: list[str]) -> list[bytes]:
         """Asks for many strings at once, parted by a special token."""
@@ -104,15 +106,14 @@ class LibraryEncoder:
             at = np.flatnonzero(_IS_STOP[data[1:]] & _IS_PLAIN[data[:-1]]) + 1
             raw = np.insert(data, at, 32).tobytes()
             offsets = offsets + np.searchsorted(at, offsets)
-        whole = raw.replace(b"\n", b" ")
-        cuts = offsets.tolist()
-        parts = [whole[a:b].decode().split(" ") for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-        found = self.memo.look_up([w for p in parts for w in p])
-        out, at = [], 0
-        for p in parts:
-            out.append(b"".join(found[at : at + len(p)]))
-            at += len(p)
-        return out
+        # One split for all texts, with a space between them: a text has one string more than spaces.
+        raw = np.insert(np.frombuffer(raw, np.uint8), offsets[1:-1], 32).tobytes().replace(b"\n", b" ")
+        offsets = offsets + np.maximum(np.arange(len(offsets)) - 1, 0)
+        offsets[-1] = len(raw)
+        ends = np.searchsorted(np.flatnonzero(np.frombuffer(raw, np.uint8) == 32), np.append(offsets[1:-1] , len(raw)), "left") + 1
+        found = self.memo.look_up(raw.decode().split(" "))
+        cuts = [0, *ends.tolist()]
+        return [b"".join(found[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
 @lru_cache(2)
@@ -142,13 +143,13 @@ def compress(ids: np.ndarray, base: int, rounds: int = ROUNDS, pairs: int = PAIR
         top = ordered[first[often]]
         place = np.empty(len(top), np.int32)
         place[np.lexsort((top, -counts[often]))] = np.arange(len(top))
-        # A table of 2^16 bits sorts most positions out before the binary search.
+        # A hash table of one slot each finds the pairs; of two in a slot one waits for the next round.
         short = (lambda x: (x * np.uint32(2654435761)) >> np.uint32(16)) if narrow else (lambda x: (x * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48))
-        table = np.zeros(1 << 16, bool)
-        table[short(top)] = True
-        maybe = np.flatnonzero(table[short(key)])
-        at = np.searchsorted(top, key[maybe])
-        at[at == len(top)] = 0
+        table = np.full(1 << 16, -1, np.int32)
+        table[short(top)] = np.arange(len(top), dtype=np.int32)
+        at = table[short(key)]
+        maybe = np.flatnonzero(at >= 0)
+        at = at[maybe]
         hit = top[at] == key[maybe]
         maybe, at = maybe[hit], at[hit]
         none = np.int32(len(top))
@@ -171,19 +172,19 @@ def compress(ids: np.ndarray, base: int, rounds: int = ROUNDS, pairs: int = PAIR
 
 
 def expand(symbols: np.ndarray, rules: np.ndarray, bounds: list[int]) -> np.ndarray:
-    """The ids that symbols stand for, undoing one round after another."""
-    out, base = symbols.astype(np.uint32), bounds[0]
-    for lo in bounds[-2::-1]:
-        is_rule = out >= lo
-        if not is_rule.any():
-            continue
-        at = np.cumsum(1 + is_rule) - 1 - is_rule
-        wide = np.empty(len(out) + int(is_rule.sum()), np.uint32)
-        pair = rules[out[is_rule].astype(np.int64) - base]
-        wide[at] = out
-        wide[at[is_rule]], wide[at[is_rule] + 1] = pair[:, 0], pair[:, 1]
-        out = wide
-    return out
+    """The ids that symbols stand for. Each nonterminal is expanded once, its round after the earlier ones."""
+    base = bounds[0]
+    flat = [np.arange(base, dtype=np.uint32)]
+    start, length, total = np.zeros(base + len(rules), np.int64), np.ones(base + len(rules), np.int64), base
+    start[:base] = np.arange(base)
+    for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
+        pair = rules[lo - base : hi - base].astype(np.int64).ravel()
+        known = np.concatenate(flat)
+        length[lo:hi] = length[pair].reshape(-1, 2).sum(1)
+        start[lo:hi] = total + np.cumsum(length[lo:hi]) - length[lo:hi]
+        flat = [known, known[textops.ragged(start[pair], length[pair])]]
+        total += len(flat[1])
+    return np.concatenate(flat)[textops.ragged(start[symbols], length[symbols])]
 
 
 def _unpack(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -263,7 +264,9 @@ def write_files(docs: DataFrame, folder: str, tokenizer_path: str, shard_tokens:
 def read_files(spark: SparkSession, folder: str) -> DataFrame:
     """Every document in the files: doc_id, start (ids of all documents before it), n_tokens, ids_crc32."""
     shards = spark.read.schema(SCHEMA).parquet(folder)
-    starts = numbered(shards.select("part", "shard", "n_tokens"), [F.col("part"), F.col("shard")], "before", "n_tokens").select("part", "shard", "before")
+    starts = keep(numbered(shards.select("part", "shard", "n_tokens"), [F.col("part"), F.col("shard")], "before", "n_tokens").select("part", "shard", "before"))
+    if starts.count() <= SMALL_TABLE:  # three numbers a row; beyond, a sort-merge join
+        starts = F.broadcast(starts)
 
     def decode(batches):
         for batch in batches:
