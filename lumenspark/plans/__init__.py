@@ -1,4 +1,4 @@
 """Registered queries over the driver's tables."""
 
-from lumenspark.plans import geometry_queries, raster_queries  # noqa: F401
+from lumenspark.plans import geometry_queries, raster_queries, raycast_queries  # noqa: F401
 from lumenspark.plans.registry import ORACLES, QUERIES  # noqa: F401
