@@ -114,6 +114,30 @@ def shared_pairs(df: DataFrame, keys_of: Callable[[pa.RecordBatch], tuple[np.nda
     return packed.repartition(parts, "p").mapInArrow(count, "key long, owner long").distinct()
 
 
+def _array(c) -> np.ndarray:
+    """Numbers as they are; binary values as an array of objects."""
+    return c.to_numpy(zero_copy_only=False) if isinstance(c, pa.Array) else c.to_numpy()
+
+
+def groups(batches, keys: int):
+    """Rows of sorted batches as column lists, one group (equal first ``keys`` columns) at a time."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([*held, batch]).combine_chunks()
+        columns = [_array(c) for c in table.columns]
+        new = np.zeros(table.num_rows, bool)
+        for c in columns[:keys]:
+            new[1:] |= c[1:] != c[:-1]
+        starts = np.concatenate(([0], np.flatnonzero(new)))
+        for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+            yield [c[a:b] for c in columns]
+        held = table.slice(int(starts[-1])).to_batches()
+    if held:
+        yield [_array(c) for c in pa.Table.from_batches(held).combine_chunks().columns]
+
+
 class BitTable:
     """Which 64-bit values may be among those of a column: 2^SKETCH_BITS bits, a fixed size whatever the column holds.
 
@@ -121,11 +145,25 @@ class BitTable:
     """
 
     def __init__(self, df: DataFrame, column: str):
-        value = F.xxhash64(column)
-        place = F.shiftrightunsigned(value, 64 - SKETCH_BITS)
-        words = df.select(F.shiftright(place, 6).alias("word"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(xxhash64(`{column}`), {64 - SKETCH_BITS}) & 63 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
+        place = F.shiftrightunsigned(F.xxhash64(column), 64 - SKETCH_BITS)
+        bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(xxhash64(`{column}`), {64 - SKETCH_BITS}) & 63 as int))")
+        words = df.select(F.shiftright(place, 6).alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+        per_slice = 1 << (SKETCH_BITS - 6 - 8)
+
+        def slices(batches):
+            """The words of each slice of the table as one binary row: 256 rows reach the driver."""
+            held: dict[int, np.ndarray] = {}
+            for batch in batches:
+                word, bits = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+                for i in np.unique(word // per_slice).tolist():
+                    mine = word // per_slice == i
+                    held.setdefault(i, np.zeros(per_slice, np.int64))[word[mine] % per_slice] = bits[mine]
+            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array([x.tobytes() for x in held.values()], pa.binary())], names=["slice", "words"])
+
+        dealt = words.repartition(min(256, 4 * df.sparkSession.sparkContext.defaultParallelism), F.expr(f"word div {per_slice}"))
         table = np.zeros(1 << (SKETCH_BITS - 6), np.int64)
-        table[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
+        for row in dealt.mapInArrow(slices, "slice long, words binary").collect():
+            table[row["slice"] * per_slice : (row["slice"] + 1) * per_slice] = np.frombuffer(row["words"], np.int64)
         self._table = df.sparkSession.sparkContext.broadcast(table)
 
     def may_hold(self, values: np.ndarray) -> np.ndarray:
