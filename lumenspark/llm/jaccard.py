@@ -33,11 +33,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenspark.llm import textops
-from lumenspark.llm.packed import SMALL_ROWS, BitTable, shared_pairs, small_batches
+from lumenspark.llm.packed import SMALL_ROWS, BitTable, groups, shared_pairs, small_batches
 from lumenspark.llm.shared import components, keep, width
 
 BITS = 52
 CELLS = 256
+BLOCK = 512
 _MASK = np.uint64((1 << BITS) - 1)
 assert SMALL_ROWS <= 1 << (64 - BITS)
 
@@ -163,6 +164,51 @@ def fitting(pairs: DataFrame, histograms: DataFrame, num: int, den: int) -> Data
     return pairs.join(of("a"), "a").join(of("b"), "b").where(fits).select("a", "b", "n_a", "n_b", "cells_a", "cells_b").mapInArrow(run, "a long, b long")
 
 
+def fitting_within(placed: DataFrame, histograms: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of classes that share a signature but no component and that sizes and histograms allow to be similar.
+
+    Of signatures that the same classes have one is enough. Classes are compared inside the signature's task, as arrays,
+    and only fitting pairs leave it; a signature of many classes is dealt into blocks, and each pair of blocks is a task's.
+    """
+    mark = [F.bit_xor(F.xxhash64("class", F.lit(i))).alias(f"x{i}") for i in range(2)]
+    found = placed.groupBy("sig").agg(F.min("of").alias("lo"), F.max("of").alias("hi"), F.count("*").alias("m"), *mark).where("lo != hi")
+    chosen = keep(found.groupBy("m", "x0", "x1").agg(F.min("sig").alias("sig")).select("sig", F.ceil(F.col("m") / BLOCK).cast("int").alias("q")))
+    rows = placed.join(chosen, "sig").withColumn("mine", F.pmod(F.xxhash64("class"), F.col("q")).cast("int"))
+    blocks = F.explode(F.transform(F.sequence(F.lit(0), F.col("q") - 1), lambda x: F.struct(F.least("mine", x).alias("i"), F.greatest("mine", x).alias("j"))))
+    dealt = rows.join(histograms, "class").select("sig", blocks.alias("ij"), "mine", "class", "of", "n", "cells").select("sig", "ij.i", "ij.j", "mine", "class", "of", "n", "cells")
+
+    def run(batches):
+        out: list[np.ndarray] = []
+        held = 0
+        for _, i, j, mine, classes, of, n, cells in groups(batches, 3):
+            x = np.frombuffer(b"".join(cells), np.uint8).reshape(-1, CELLS)
+            left, right = np.flatnonzero(mine == i[0]), np.flatnonzero(mine == j[0])
+            for at in range(0, len(left), 64):
+                rows = left[at : at + 64]
+                sizes = n[rows][:, None] + n[right][None]
+                near = np.minimum(n[rows][:, None], n[right][None]) * den >= np.maximum(n[rows][:, None], n[right][None]) * num
+                a, b = np.nonzero(near & (of[rows][:, None] != of[right][None]) & (classes[rows][:, None] < classes[right][None] if i[0] == j[0] else True))
+                for cut in range(0, len(a), 1 << 14):
+                    p, q = rows[a[cut : cut + (1 << 14)]], right[b[cut : cut + (1 << 14)]]
+                    apart = np.abs(x[p].astype(np.int16) - x[q]).sum(1, dtype=np.int64)
+                    ok = apart * (den + num) <= sizes[a[cut : cut + (1 << 14)], b[cut : cut + (1 << 14)]] * (den - num)
+                    if ok.any():
+                        out.append(np.stack((np.minimum(classes[p], classes[q])[ok], np.maximum(classes[p], classes[q])[ok]), 1))
+                        held += int(ok.sum())
+            if held >= 1 << 14:
+                yield pairs_batch(np.concatenate(out))
+                out, held = [], 0
+        if out:
+            yield pairs_batch(np.concatenate(out))
+
+    def pairs_batch(x: np.ndarray) -> pa.RecordBatch:
+        x = np.unique(x, axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(x[:, 0].copy()), pa.array(x[:, 1].copy())], names=["a", "b"])
+
+    order = dealt.repartition(width(placed.sparkSession), "sig", "i", "j").sortWithinPartitions("sig", "i", "j")
+    return keep(order.mapInArrow(run, "a long, b long").distinct())
+
+
 def verified(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) whose sets are similar, by their exact intersection."""
 
@@ -200,13 +246,8 @@ def class_components(texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
     labels = components(links).withColumnRenamed("id", "class")
     # Classes that share a signature but no component yet.
     placed = keep(shared.join(labels, "class", "left").select("sig", "class", F.coalesce("component", "class").alias("of")))
-    open_sigs = keep(placed.groupBy("sig").agg(F.min("of").alias("lo"), F.max("of").alias("hi")).where("lo != hi").select("sig"))
-    rest = placed.join(open_sigs, "sig").join(histograms.select("class", "n"), "class")
-    left = rest.select("sig", F.col("class").alias("a"), F.col("of").alias("of_a"), F.col("n").alias("n_a"))
-    right = rest.select("sig", F.col("class").alias("b"), F.col("of").alias("of_b"), F.col("n").alias("n_b"))
-    fits = F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num
-    more = left.join(right, "sig").where((F.col("a") < F.col("b")) & (F.col("of_a") != F.col("of_b")) & fits).select("a", "b").distinct()
-    new = verified(keep(fitting(more.join(pairs, ["a", "b"], "left_anti"), histograms, num, den)), texts, k, num, den)
+    more = fitting_within(placed, histograms, num, den).join(pairs, ["a", "b"], "left_anti")
+    new = verified(keep(more), texts, k, num, den)
     if not new.limit(1).count():
         return labels
     return components(links.union(new)).withColumnRenamed("id", "class")
