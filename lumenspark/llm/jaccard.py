@@ -9,10 +9,11 @@ a band's upper end also gets the next band's signatures, so pairs across a borde
 1. Documents with equal sets form a class, known by a 64-bit hash of the set; only classes are joined.
 2. Signatures travel as packed arrays. A signature met once stops there; one repeated within a task is known to be shared
    at once, and only one entry of it goes on to be counted, so frequent signatures are pre-aggregated.
-3. Each shared signature links all its classes to one pivot (the smallest). Pairs whose histograms of set elements over
-   ``CELLS`` cells differ by more than k allow (a lower bound of the difference) go; the others are verified on whole sets,
-   and links become components. Where classes of a signature are still in different components, their remaining pairs of fitting sizes are
-   verified too. So every link between different sets is found, while classes linked through a pivot are not paired.
+3. Each shared signature links all its classes to a pivot (the smallest class, then the one with most links). Pairs whose
+   ``CELLS`` parities differ more than similar sets may (a lower bound of the difference) go; the others are verified on
+   whole sets, and links become components. Classes of a signature that are in different components are then compared
+   inside its task, and what fits is verified, until no two components are left of which a fitting pair was not. So no two
+   components are linked, while classes that a pivot links are never paired.
 4. Every document gets its class's component.
 
 Pivots, components and hot classes are found by pre-aggregated minima and sort-merge joins that can be split. The only
@@ -37,7 +38,7 @@ from lumenspark.llm.packed import SMALL_ROWS, BitTable, groups, shared_pairs, sm
 from lumenspark.llm.shared import components, keep, width
 
 BITS = 52
-CELLS = 256
+CELLS = 4096
 BLOCK = 512
 _MASK = np.uint64((1 << BITS) - 1)
 assert SMALL_ROWS <= 1 << (64 - BITS)
@@ -143,29 +144,36 @@ def _of_classes(texts: DataFrame, classes: DataFrame, k: int, column: str, blob_
     return keep(found.groupBy("class").agg(F.first("n").alias("n"), F.first(column).alias(column)))
 
 
-def histogram(elements: np.ndarray) -> bytes:
-    """Elements in each cell, at most 255: cells of two sets never differ by more than the sets do."""
-    cell = textops.mix(elements) >> np.uint64(56)
-    return np.minimum(np.bincount(cell.astype(np.int64), minlength=CELLS), 255).astype(np.uint8).tobytes()
+def parities(elements: np.ndarray) -> bytes:
+    """Parity of the number of elements in each of ``CELLS`` cells, as bits: two sets differ by at least as many elements
+    as their parities differ in bits."""
+    cell = (textops.mix(elements) >> np.uint64(64 - CELLS.bit_length() + 1)).astype(np.int64)
+    return np.packbits(np.bincount(cell, minlength=CELLS) & 1).tobytes()
 
 
-def fitting(pairs: DataFrame, histograms: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) that sizes and histograms allow to be similar. Loses no similar pair."""
+def _words(blobs) -> np.ndarray:
+    return np.frombuffer(b"".join(blobs), np.uint64).reshape(-1, CELLS // 64)
+
+
+def fitting(pairs: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) that sizes and parities allow to be similar. Loses no similar pair."""
 
     def run(batches):
         for batch in batches:
             n = (batch.column(2).to_numpy() + batch.column(3).to_numpy()).astype(np.int64)
-            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, CELLS).astype(np.int16) for i in (4, 5))
-            ok = np.abs(x - y).sum(1) * (den + num) <= n * (den - num)
+            x, y = (_words(batch.column(i).to_pylist()) for i in (4, 5))
+            ok = np.bitwise_count(x ^ y).sum(1, dtype=np.int64) * (den + num) <= n * (den - num)
             yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(ok)) for i in (0, 1)], names=["a", "b"])
 
-    of = lambda name: histograms.select(F.col("class").alias(name), F.col("n").alias(f"n_{name}"), F.col("cells").alias(f"cells_{name}"))
+    of = lambda name: sketches.select(F.col("class").alias(name), F.col("n").alias(f"n_{name}"), F.col("bits").alias(f"bits_{name}"))
     fits = F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num
-    return pairs.join(of("a"), "a").join(of("b"), "b").where(fits).select("a", "b", "n_a", "n_b", "cells_a", "cells_b").mapInArrow(run, "a long, b long")
+    return keep(pairs.join(of("a"), "a").join(of("b"), "b").where(fits).select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(run, "a long, b long"))
 
 
-def fitting_within(placed: DataFrame, histograms: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) of classes that share a signature but no component and that sizes and histograms allow to be similar.
+def fitting_within(placed: DataFrame, sketches: DataFrame, num: int, den: int, every: bool) -> DataFrame:
+    """Pairs (a, b) of classes that share a signature but no component and that sizes and parities allow to be similar,
+    with their components (lo, hi). Unless ``every``, a task gives one pair (the closest) for two components, and ``more``
+    says whether it had others.
 
     Of signatures that the same classes have one is enough. Classes are compared inside the signature's task, as arrays,
     and only fitting pairs leave it; a signature of many classes is dealt into blocks, and each pair of blocks is a task's.
@@ -175,38 +183,46 @@ def fitting_within(placed: DataFrame, histograms: DataFrame, num: int, den: int)
     chosen = keep(found.groupBy("m", "x0", "x1").agg(F.min("sig").alias("sig")).select("sig", F.ceil(F.col("m") / BLOCK).cast("int").alias("q")))
     rows = placed.join(chosen, "sig").withColumn("mine", F.pmod(F.xxhash64("class"), F.col("q")).cast("int"))
     blocks = F.explode(F.transform(F.sequence(F.lit(0), F.col("q") - 1), lambda x: F.struct(F.least("mine", x).alias("i"), F.greatest("mine", x).alias("j"))))
-    dealt = rows.join(histograms, "class").select("sig", blocks.alias("ij"), "mine", "class", "of", "n", "cells").select("sig", "ij.i", "ij.j", "mine", "class", "of", "n", "cells")
+    dealt = rows.join(sketches, "class").select("sig", blocks.alias("ij"), "mine", "class", "of", "n", "bits").select("sig", "ij.i", "ij.j", "mine", "class", "of", "n", "bits")
 
     def run(batches):
         out: list[np.ndarray] = []
         held = 0
-        for _, i, j, mine, classes, of, n, cells in groups(batches, 3):
-            x = np.frombuffer(b"".join(cells), np.uint8).reshape(-1, CELLS)
+        for _, i, j, mine, classes, of, n, bits in groups(batches, 3):
+            x = _words(bits)
             left, right = np.flatnonzero(mine == i[0]), np.flatnonzero(mine == j[0])
+            parts = []
             for at in range(0, len(left), 64):
                 rows = left[at : at + 64]
-                sizes = n[rows][:, None] + n[right][None]
-                near = np.minimum(n[rows][:, None], n[right][None]) * den >= np.maximum(n[rows][:, None], n[right][None]) * num
-                a, b = np.nonzero(near & (of[rows][:, None] != of[right][None]) & (classes[rows][:, None] < classes[right][None] if i[0] == j[0] else True))
-                for cut in range(0, len(a), 1 << 14):
-                    p, q = rows[a[cut : cut + (1 << 14)]], right[b[cut : cut + (1 << 14)]]
-                    apart = np.abs(x[p].astype(np.int16) - x[q]).sum(1, dtype=np.int64)
-                    ok = apart * (den + num) <= sizes[a[cut : cut + (1 << 14)], b[cut : cut + (1 << 14)]] * (den - num)
-                    if ok.any():
-                        out.append(np.stack((np.minimum(classes[p], classes[q])[ok], np.maximum(classes[p], classes[q])[ok]), 1))
-                        held += int(ok.sum())
+                small, large = np.minimum(n[rows][:, None], n[right][None]), np.maximum(n[rows][:, None], n[right][None])
+                a, b = np.nonzero((small * den >= large * num) & (of[rows][:, None] != of[right][None]) & (classes[rows][:, None] < classes[right][None] if i[0] == j[0] else True))
+                for cut in range(0, len(a), 1 << 13):
+                    p, q = rows[a[cut : cut + (1 << 13)]], right[b[cut : cut + (1 << 13)]]
+                    apart = np.bitwise_count(x[p] ^ x[q]).sum(1, dtype=np.int64)
+                    ok = apart * (den + num) <= (n[p] + n[q]) * (den - num)
+                    p, q = p[ok], q[ok]
+                    parts.append(np.stack((np.minimum(classes[p], classes[q]), np.maximum(classes[p], classes[q]), np.minimum(of[p], of[q]), np.maximum(of[p], of[q]), np.zeros(len(p), np.int64), apart[ok]), 1))
+            got = np.concatenate(parts) if parts else np.empty((0, 6), np.int64)
+            if len(got) and not every:
+                got = got[np.lexsort((got[:, 1], got[:, 0], got[:, 5], got[:, 3], got[:, 2]))]
+                first = np.concatenate(([True], (got[1:, 2:4] != got[:-1, 2:4]).any(1)))
+                size = np.diff(np.append(np.flatnonzero(first), len(got)))
+                got = got[first]
+                got[:, 4] = size > 1
+            if len(got):
+                out.append(got[:, :5])
+                held += len(got)
             if held >= 1 << 14:
-                yield pairs_batch(np.concatenate(out))
+                yield rows_of(np.unique(np.concatenate(out), axis=0))
                 out, held = [], 0
         if out:
-            yield pairs_batch(np.concatenate(out))
+            yield rows_of(np.unique(np.concatenate(out), axis=0))
 
-    def pairs_batch(x: np.ndarray) -> pa.RecordBatch:
-        x = np.unique(x, axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(x[:, 0].copy()), pa.array(x[:, 1].copy())], names=["a", "b"])
+    def rows_of(x: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*(pa.array(x[:, i].copy()) for i in range(4)), pa.array(x[:, 4] > 0)], names=["a", "b", "lo", "hi", "more"])
 
     order = dealt.repartition(width(placed.sparkSession), "sig", "i", "j").sortWithinPartitions("sig", "i", "j")
-    return keep(order.mapInArrow(run, "a long, b long").distinct())
+    return keep(order.mapInArrow(run, "a long, b long, lo long, hi long, more boolean").distinct())
 
 
 def verified(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -238,19 +254,38 @@ def class_components(texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
         found, row = signatures(sets, offsets, num, den)
         return found, set_hashes(sets, offsets)[row]
 
+    def star(pivots: DataFrame) -> DataFrame:
+        """Links of the classes of each signature with its pivot."""
+        pairs = shared.join(keep(pivots), "sig").where("class != pivot").select(F.least("class", "pivot").alias("a"), F.greatest("class", "pivot").alias("b")).distinct()
+        return verified(fitting(pairs, sketches, num, den), texts, k, num, den)
+
+    def place(links: DataFrame) -> DataFrame:
+        return components(links).withColumnRenamed("id", "class")
+
     shared = keep(shared_pairs(texts, keys, width(texts.sparkSession)).withColumnsRenamed({"key": "sig", "owner": "class"}))
-    histograms = _of_classes(texts, shared.select("class").distinct(), k, "cells", histogram)
-    pivots = keep(shared.groupBy("sig").agg(F.min("class").alias("a")))
-    pairs = keep(shared.join(pivots, "sig").where("class != a").select("a", F.col("class").alias("b")).distinct())
-    links = verified(keep(fitting(pairs, histograms, num, den)), texts, k, num, den)
-    labels = components(links).withColumnRenamed("id", "class")
-    # Classes that share a signature but no component yet.
-    placed = keep(shared.join(labels, "class", "left").select("sig", "class", F.coalesce("component", "class").alias("of")))
-    more = fitting_within(placed, histograms, num, den).join(pairs, ["a", "b"], "left_anti")
-    new = verified(keep(more), texts, k, num, den)
-    if not new.limit(1).count():
-        return labels
-    return components(links.union(new)).withColumnRenamed("id", "class")
+    sketches = _of_classes(texts, shared.select("class").distinct(), k, "bits", parities)
+    links = star(shared.groupBy("sig").agg(F.min("class").alias("pivot")))
+    # Then the class with the most links: the centre of a group of near copies reaches most of them.
+    degree = links.select(F.col("a").alias("class")).union(links.select(F.col("b").alias("class"))).groupBy("class").agg(F.count("*").alias("degree"))
+    links = links.union(star(shared.join(keep(degree), "class").groupBy("sig").agg(F.max_by("class", "degree").alias("pivot")))).distinct()
+    labels = place(links)
+    # Of signatures of two classes the only pair has been seen.
+    crowded = keep(shared.join(keep(shared.groupBy("sig").agg(F.count("*").alias("m")).where("m > 2").select("sig")), "sig"))
+    every = False
+    while True:
+        label = lambda df, c, out: df.join(labels.withColumnsRenamed({"class": c, "component": "_to"}), c, "left").withColumn(out, F.coalesce("_to", c)).drop("_to")  # noqa: B023, E731
+        found = fitting_within(label(crowded, "class", "of"), sketches, num, den, every)
+        new = verified(keep(found.select("a", "b").distinct()), texts, k, num, den)
+        if new.limit(1).count():
+            links = keep(links.union(new))
+            labels = place(links)
+        # Components of which a task left pairs out and which are still apart need all their pairs looked at.
+        apart = label(label(found.where("more").select("lo", "hi").distinct(), "lo", "x"), "hi", "y").where("x != y")
+        if every or not apart.limit(1).count():
+            return labels
+        left = keep(apart.select(F.col("x").alias("of")).union(apart.select(F.col("y").alias("of"))).distinct())
+        crowded = keep(label(crowded, "class", "of").join(left, "of", "left_semi").select("sig", "class"))
+        every = True
 
 
 def document_sets(docs: DataFrame, k: int, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

@@ -24,6 +24,23 @@ SKETCH_BITS = 26
 _PAIR = [("k", np.uint64), ("o", np.int64)]
 
 
+def _pack(pairs: np.ndarray) -> bytes:
+    """Sorted keys by byte planes (their high bytes repeat, so Spark's compression takes them), owners as places in a table."""
+    owners, place = np.unique(pairs["o"], return_inverse=True)
+    planes = np.ascontiguousarray(np.ascontiguousarray(pairs["k"]).view(np.uint8).reshape(-1, 8).T)
+    short = np.uint16 if len(owners) < 1 << 16 else np.uint32
+    return np.array([len(pairs), len(owners)], np.int64).tobytes() + planes.tobytes() + owners.tobytes() + place.astype(short).tobytes()
+
+
+def _unpack(raw: bytes) -> np.ndarray:
+    n, m = np.frombuffer(raw, np.int64, 2).tolist()
+    out = np.empty(n, _PAIR)
+    out["k"] = np.ascontiguousarray(np.frombuffer(raw, np.uint8, 8 * n, 16).reshape(8, -1).T).view(np.uint64).ravel()
+    owners = np.frombuffer(raw, np.int64, m, 16 + 8 * n)
+    out["o"] = owners[np.frombuffer(raw, np.uint16 if m < 1 << 16 else np.uint32, n, 16 + 8 * n + 8 * m)]
+    return out
+
+
 def small_batches(batches, column: str = "text"):
     """Batches of about 2 MB of text and at most ``SMALL_ROWS`` rows."""
     for batch in textops.batches_by_bytes(batches, column):
@@ -58,7 +75,7 @@ def shared_pairs(df: DataFrame, keys_of: Callable[[pa.RecordBatch], tuple[np.nda
             order = np.argsort(to, kind="stable")
             goes = goes[order]
             cuts = np.searchsorted(to[order], np.arange(parts + 1)).tolist()
-            rows = [(p, pairs[goes[cuts[p] : cuts[p + 1]]].tobytes(), np.packbits(many[goes[cuts[p] : cuts[p + 1]]]).tobytes(), b"") for p in range(parts) if cuts[p + 1] > cuts[p]]
+            rows = [(p, _pack(pairs[goes[cuts[p] : cuts[p + 1]]]), np.packbits(many[goes[cuts[p] : cuts[p + 1]]]).tobytes(), b"") for p in range(parts) if cuts[p + 1] > cuts[p]]
             known = pairs[many]
             for x in np.array_split(known, 1 + len(known) // 4096):
                 if len(x):
@@ -85,7 +102,7 @@ def shared_pairs(df: DataFrame, keys_of: Callable[[pa.RecordBatch], tuple[np.nda
                     x = np.frombuffer(known, _PAIR)
                     yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x["k"]).view(np.int64)), pa.array(np.ascontiguousarray(x["o"]))], names=["key", "owner"])
                 if counted:
-                    x = np.frombuffer(counted, _PAIR)
+                    x = _unpack(counted)
                     entries.append(x)
                     flags.append(np.unpackbits(np.frombuffer(flag, np.uint8), count=len(x)).astype(bool))
         if not entries:
