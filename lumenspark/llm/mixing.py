@@ -94,11 +94,12 @@ def mix_report(docs: DataFrame) -> DataFrame:
 
 def mix(docs: DataFrame) -> DataFrame:
     """The mixed documents themselves: each row once per copy, columns as in ``docs``."""
-    columns = docs.columns
-    whole = docs.withColumns({"_source": F.col("source").cast("string"), "_size": word_count()})
+    # The row travels as one struct, so that no name of its columns can clash with ours.
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")
+    whole = docs.select(row, "doc_id", F.col("source").cast("string").alias("_source"), word_count().alias("_size"))
     sized = keep(whole.select("doc_id", "_source", "_size"))
     out = plan_copies(whole, sized).where("copies > 0")
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*columns)
+    return out.select("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("_copy")).select("_row.*")
 
 
 ORACLE = r"""

@@ -33,6 +33,14 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that ``df`` does not have, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -53,7 +61,7 @@ def numbered(df: DataFrame, order: list, name: str = "rank", weight: str | None
     return dealt.withColumn("_inside", inside).join(F.broadcast(before), "_range").withColumn(name, F.col("_before") + F.col("_inside")).drop("_range", "_inside", "_before")
 
 
-def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Smallest id reachable over undirected ``edges`` (a, b): one row (id, component) for each id in an edge.
 
     Each round every id takes the smallest label among its neighbours and then the label of that label (pointer jumping),
@@ -62,7 +70,7 @@ def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
     """
     both = keep(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a != b").distinct())
     labels = keep(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("id")).alias("component")))
-    for _ in range(rounds):
+    while True:
         near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
         lower = labels.join(near, "id").select("id", F.least("component", "near").alias("to"), F.col("component").alias("was"))
         # The label is itself an id: its own label is at least as small. Also hook the old label onto the new one.
@@ -72,6 +80,5 @@ def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
         up = step.select(F.col("id").alias("to"), F.col("to").alias("up"))
         new = keep(step.join(up, "to", "left").select("id", "was", F.least("to", F.coalesce("up", "to")).alias("component")))
         if not new.where("component != was").limit(1).count():
-            break
+            return labels
         labels = new.select("id", "component")
-    return labels

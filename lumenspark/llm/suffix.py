@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from lumenspark.llm import textops
 from lumenspark.llm.packed import BitTable, shared_pairs, small_batches
-from lumenspark.llm.shared import keep, width
+from lumenspark.llm.shared import fresh, keep, width
 
 LENGTH = 50
 HEAD = 16
@@ -158,14 +158,14 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     The smallest document that holds a passage keeps it. White space beside a cut passage stays on its left only.
     """
     cuts = merge_spans(repeated_windows(docs, length).where("low < doc_id"))
-    lists = keep(cuts.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("first_word", "end_word"))).alias("_cuts")))
-    columns = docs.columns
+    columns, id_name, cuts_name = docs.columns, fresh(docs, "_id"), fresh(docs, "_cuts")
+    lists = keep(cuts.groupBy(F.col("doc_id").alias(id_name)).agg(F.sort_array(F.collect_list(F.struct("first_word", "end_word"))).alias(cuts_name)))
 
     def cut(batches):
         for batch in small_batches(batches):
             at = batch.schema.get_field_index("text")
             texts = batch.column(at)
-            cut_lists = batch.column(batch.schema.get_field_index("_cuts")).to_pylist()
+            cut_lists = batch.column(batch.schema.get_field_index(cuts_name)).to_pylist()
             t = textops.tokenize_column(texts)
             data, offsets = textops.text_buffers(texts)
             raw = data.tobytes()
@@ -186,5 +186,5 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             kept = batch.set_column(at, batch.schema.field(at), pa.array(out, batch.schema.field(at).type)).filter(pa.array(stays))
             yield kept.select(columns)
 
-    marked = docs.withColumn("_id", F.col("doc_id").cast("long")).join(lists.withColumnRenamed("doc_id", "_id"), "_id", "left").select(*columns, "_cuts")
+    marked = docs.withColumn(id_name, F.col("doc_id").cast("long")).join(lists, id_name, "left").select(*(f"`{c}`" for c in columns), cuts_name)
     return marked.mapInArrow(cut, docs.schema)
