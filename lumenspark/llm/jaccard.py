@@ -38,8 +38,10 @@ from lumenspark.llm.packed import SMALL_ROWS, BitTable, groups, shared_pairs, sm
 from lumenspark.llm.shared import components, keep, width
 
 BITS = 52
-CELLS = 4096
-BLOCK = 512
+CELLS = 1024
+LARGE = 1024
+WIDE_CELLS = 16384
+BLOCK = 2048
 _MASK = np.uint64((1 << BITS) - 1)
 assert SMALL_ROWS <= 1 << (64 - BITS)
 
@@ -144,25 +146,36 @@ def _of_classes(texts: DataFrame, classes: DataFrame, k: int, column: str, blob_
     return keep(found.groupBy("class").agg(F.first("n").alias("n"), F.first(column).alias(column)))
 
 
-def parities(elements: np.ndarray) -> bytes:
-    """Parity of the number of elements in each of ``CELLS`` cells, as bits: two sets differ by at least as many elements
-    as their parities differ in bits."""
-    cell = (textops.mix(elements) >> np.uint64(64 - CELLS.bit_length() + 1)).astype(np.int64)
-    return np.packbits(np.bincount(cell, minlength=CELLS) & 1).tobytes()
+def parities(elements: np.ndarray, cells: int = CELLS) -> bytes:
+    """Parity of the number of elements in each cell, as bits: two sets differ by at least as many elements as their
+    parities differ in bits."""
+    cell = (textops.mix(elements) >> np.uint64(64 - cells.bit_length() + 1)).astype(np.int64)
+    return np.packbits(np.bincount(cell, minlength=cells) & 1).tobytes()
+
+
+def sketch(elements: np.ndarray) -> bytes:
+    """Parities over ``CELLS`` cells; of a large set over ``WIDE_CELLS`` as well."""
+    return parities(elements) + (parities(elements, WIDE_CELLS) if len(elements) > LARGE else b"")
 
 
 def _words(blobs) -> np.ndarray:
-    return np.frombuffer(b"".join(blobs), np.uint64).reshape(-1, CELLS // 64)
+    return np.frombuffer(b"".join(blobs), np.uint64).reshape(len(blobs), -1)
 
 
 def fitting(pairs: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (a, b) that sizes and parities allow to be similar. Loses no similar pair."""
+    short = CELLS // 8
 
     def run(batches):
         for batch in batches:
             n = (batch.column(2).to_numpy() + batch.column(3).to_numpy()).astype(np.int64)
-            x, y = (_words(batch.column(i).to_pylist()) for i in (4, 5))
-            ok = np.bitwise_count(x ^ y).sum(1, dtype=np.int64) * (den + num) <= n * (den - num)
+            x, y = (batch.column(i).to_pylist() for i in (4, 5))
+            apart = np.bitwise_count(_words([i[:short] for i in x]) ^ _words([i[:short] for i in y])).sum(1, dtype=np.int64)
+            both = [i for i, (p, q) in enumerate(zip(x, y, strict=True)) if len(p) > short and len(q) > short]
+            if both:
+                wide = np.bitwise_count(_words([x[i][short:] for i in both]) ^ _words([y[i][short:] for i in both])).sum(1, dtype=np.int64)
+                apart[both] = np.maximum(apart[both], wide)
+            ok = apart * (den + num) <= n * (den - num)
             yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(ok)) for i in (0, 1)], names=["a", "b"])
 
     of = lambda name: sketches.select(F.col("class").alias(name), F.col("n").alias(f"n_{name}"), F.col("bits").alias(f"bits_{name}"))
@@ -183,7 +196,8 @@ def fitting_within(placed: DataFrame, sketches: DataFrame, num: int, den: int, e
     chosen = keep(found.groupBy("m", "x0", "x1").agg(F.min("sig").alias("sig")).select("sig", F.ceil(F.col("m") / BLOCK).cast("int").alias("q")))
     rows = placed.join(chosen, "sig").withColumn("mine", F.pmod(F.xxhash64("class"), F.col("q")).cast("int"))
     blocks = F.explode(F.transform(F.sequence(F.lit(0), F.col("q") - 1), lambda x: F.struct(F.least("mine", x).alias("i"), F.greatest("mine", x).alias("j"))))
-    dealt = rows.join(sketches, "class").select("sig", blocks.alias("ij"), "mine", "class", "of", "n", "bits").select("sig", "ij.i", "ij.j", "mine", "class", "of", "n", "bits")
+    short = sketches.select("class", "n", F.substring("bits", 1, CELLS // 8).alias("bits"))
+    dealt = rows.join(short, "class").select("sig", blocks.alias("ij"), "mine", "class", "of", "n", "bits").select("sig", "ij.i", "ij.j", "mine", "class", "of", "n", "bits")
 
     def run(batches):
         out: list[np.ndarray] = []
@@ -263,7 +277,7 @@ def class_components(texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
         return components(links).withColumnRenamed("id", "class")
 
     shared = keep(shared_pairs(texts, keys, width(texts.sparkSession)).withColumnsRenamed({"key": "sig", "owner": "class"}))
-    sketches = _of_classes(texts, shared.select("class").distinct(), k, "bits", parities)
+    sketches = _of_classes(texts, shared.select("class").distinct(), k, "bits", sketch)
     links = star(shared.groupBy("sig").agg(F.min("class").alias("pivot")))
     # Then the class with the most links: the centre of a group of near copies reaches most of them.
     degree = links.select(F.col("a").alias("class")).union(links.select(F.col("b").alias("class"))).groupBy("class").agg(F.count("*").alias("degree"))
@@ -275,7 +289,7 @@ def class_components(texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
     while True:
         label = lambda df, c, out: df.join(labels.withColumnsRenamed({"class": c, "component": "_to"}), c, "left").withColumn(out, F.coalesce("_to", c)).drop("_to")  # noqa: B023, E731
         found = fitting_within(label(crowded, "class", "of"), sketches, num, den, every)
-        new = verified(keep(found.select("a", "b").distinct()), texts, k, num, den)
+        new = verified(fitting(found.select("a", "b").distinct(), sketches, num, den), texts, k, num, den)
         if new.limit(1).count():
             links = keep(links.union(new))
             labels = place(links)
