@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from lumenspark.llm import textops
 from lumenspark.llm.packed import SMALL_ROWS, BitTable, groups, shared_pairs, small_batches
-from lumenspark.llm.shared import components, keep, width
+from lumenspark.llm.shared import components, keep, release, width
 
 BITS = 52
 CELLS = 1024
@@ -262,6 +262,7 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) ->
 
 def class_components(texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """(class, component) of all classes that are linked with another one; the component is a class as well."""
+    spark = texts.sparkSession
 
     def keys(batch):
         sets, offsets = shingle_sets(batch.column(0), k)
@@ -271,18 +272,22 @@ def class_components(texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
     def star(pivots: DataFrame) -> DataFrame:
         """Links of the classes of each signature with its pivot."""
         pairs = shared.join(keep(pivots), "sig").where("class != pivot").select(F.least("class", "pivot").alias("a"), F.greatest("class", "pivot").alias("b")).distinct()
-        return verified(fitting(pairs, sketches, num, den), texts, k, num, den)
+        found = verified(fitting(pairs, sketches, num, den), texts, k, num, den)
+        release(spark)
+        return found
 
     def place(links: DataFrame) -> DataFrame:
         return components(links).withColumnRenamed("id", "class")
 
-    shared = keep(shared_pairs(texts, keys, width(texts.sparkSession)).withColumnsRenamed({"key": "sig", "owner": "class"}))
+    shared = keep(shared_pairs(texts, keys, width(spark)).withColumnsRenamed({"key": "sig", "owner": "class"}))
+    release(spark)  # the signatures' shuffle is the largest
     sketches = _of_classes(texts, shared.select("class").distinct(), k, "bits", sketch)
     links = star(shared.groupBy("sig").agg(F.min("class").alias("pivot")))
     # Then the class with the most links: the centre of a group of near copies reaches most of them.
     degree = links.select(F.col("a").alias("class")).union(links.select(F.col("b").alias("class"))).groupBy("class").agg(F.count("*").alias("degree"))
     links = links.union(star(shared.join(keep(degree), "class").groupBy("sig").agg(F.max_by("class", "degree").alias("pivot")))).distinct()
     labels = place(links)
+    release(spark)
     # Of signatures of two classes the only pair has been seen.
     crowded = keep(shared.join(keep(shared.groupBy("sig").agg(F.count("*").alias("m")).where("m > 2").select("sig")), "sig"))
     every = False
@@ -319,6 +324,7 @@ def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 10
     base = keep(document_sets(docs, k))
     texts = docs.select(F.col("text").cast("string").alias("text"))
     labels = class_components(texts, k, num, den)
+    release(docs.sparkSession)
     full = base.where("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("least"))
     of_class = keep(full.join(labels, "class", "left").select("class", "least", F.coalesce("component", "class").alias("of")))
     least = keep(of_class.groupBy("of").agg(F.min("least").alias("component_id")))

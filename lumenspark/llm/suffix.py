@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from lumenspark.llm import textops
 from lumenspark.llm.packed import BitTable, shared_pairs, small_batches
-from lumenspark.llm.shared import fresh, keep, width
+from lumenspark.llm.shared import fresh, keep, release, width
 
 LENGTH = 50
 HEAD = 16
@@ -102,6 +102,7 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, head: int = HEAD) ->
         return h, batch.column(0).to_numpy()[_rows_of(at, t)]
 
     shared = keep(shared_pairs(source, head_keys, width(spark)))
+    release(spark)
     table = BitTable(shared, "key")
 
     def extend(batches):
@@ -127,6 +128,7 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, head: int = HEAD) ->
     heads = keep(shared.groupBy("key").agg(F.min("owner").alias("head_low"), F.max("owner").alias("head_high")))
     holders = shared.join(heads, "key").withColumnRenamed("owner", "doc_id")
     found = keep(found.join(holders, ["key", "doc_id"]).drop("key"))
+    release(spark)
     bounds = lambda df, by: keep(df.groupBy(by).agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low != high"))
     wholes = bounds(found.select("whole", "doc_id"), "whole")
     # Other holders of the head than of the whole stretch may have some of its windows.
@@ -134,6 +136,7 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, head: int = HEAD) ->
     joined = keep(found.join(wholes, "whole", "left").select("doc_id", "first", "end", "low", "high", F.when(F.coalesce(done, F.lit(False)), F.lit(None)).otherwise(F.col("windows")).alias("windows")))
     rest = joined.where("windows is not null").select("doc_id", "first", F.posexplode("windows").alias("at", "window")).select("doc_id", (F.col("first") + F.col("at")).alias("first"), "window")
     rest = keep(rest)
+    release(spark)
     single = rest.join(bounds(rest.select("window", "doc_id"), "window"), "window").select("doc_id", "first", (F.col("first") + length).alias("end"), "low", "high")
     return joined.where("low is not null").select("doc_id", "first", "end", "low", "high").union(single)
 
