@@ -32,11 +32,14 @@ CELL_BYTES_LIMIT = 256 << 20
 
 
 def chords() -> list[tuple[int, float, float]]:
-    """(anchor, share of the way to the next anchor, half chord in degrees) of the 16 ticks over the disk."""
+    """(anchor, share of the way to the next anchor, half chord in degrees) of the 16 ticks over the disk.
+
+    Half chords have single precision, as the weight that they are normalised by; a full disk comes to 1.00000001.
+    """
     out = []
     for i in range(16):
         place = (i + 0.5) * 7 / 16
-        out.append((int(place), place - int(place), SUN_HALF_ANGLE * math.sqrt(64 - (7.5 - i) ** 2) / 8))
+        out.append((int(place), place - int(place), float(np.float32(math.sqrt(64 - (7.5 - i) ** 2) / 8) * np.float32(SUN_HALF_ANGLE))))
     return out
 
 

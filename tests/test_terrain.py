@@ -43,7 +43,7 @@ def test_flat_ground_is_lit_and_a_spike_casts_a_shadow(spark, degrees, spike, su
 def test_a_window_of_flat_ground_is_uniform(spark):
     terrain = mapset.Terrain(ground(spark, 32), G.Grid(15.5, 15.5, 0.001))
     out = mapset.render(terrain, bodies(spark, 2), times(spark), (8, 8, 16, 16), 0.0, 40.0).collect()
-    assert len(out) == 256 and {r["sun"] for r in out} == {255} and len({r["dsn"] for r in out}) == 1
+    assert len(out) == 256 and {r["sun"] for r in out} == {255} and max(r["dsn"] for r in out) - min(r["dsn"] for r in out) <= 1
 
 
 def test_cutoff_drops_terrain_outside_the_window(spark):
