@@ -10,6 +10,8 @@ import gc
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -69,24 +71,50 @@ def numbered(df: DataFrame, order: list, name: str = "rank", weight: str | None
     return dealt.withColumn("_inside", inside).join(F.broadcast(before), "_range").withColumn(name, F.col("_before") + F.col("_inside")).drop("_range", "_inside", "_before")
 
 
-def components(edges: DataFrame) -> DataFrame:
+ONE_TASK_EDGES = 1 << 20
+
+
+def components(edges: DataFrame, one_task_edges: int = ONE_TASK_EDGES) -> DataFrame:
     """Smallest id reachable over undirected ``edges`` (a, b): one row (id, component) for each id in an edge.
 
-    Each round every id takes the smallest label among its neighbours and then the label of that label (pointer jumping),
-    so labels fall along long paths in a number of rounds that grows with the logarithm of their length. Hot ids are
-    pre-aggregated (``min``) before they are shuffled. Only a count of changes reaches the driver.
+    Up to ``one_task_edges`` distinct edges (16 MB) are settled by one task. Beyond, each round every id takes the smallest
+    label among its neighbours and then the label of that label (pointer jumping), so labels fall along long paths in a
+    number of rounds that grows with the logarithm of their length. Hot ids are pre-aggregated (``min``) before they are
+    shuffled. Only counts reach the driver.
     """
-    both = keep(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a != b").distinct())
+    each = keep(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a != b").distinct())
+    if each.count() <= one_task_edges:
+        return keep(each.coalesce(1).mapInArrow(_settle, "id long, component long"))
+    both = keep(each.union(each.select(F.col("b").alias("a"), F.col("a").alias("b"))))
     labels = keep(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("id")).alias("component")))
     while True:
         near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
         lower = labels.join(near, "id").select("id", F.least("component", "near").alias("to"), F.col("component").alias("was"))
         # The label is itself an id: its own label is at least as small. Also hook the old label onto the new one.
         hooks = lower.where("to < was").groupBy(F.col("was").alias("id")).agg(F.min("to").alias("hook"))
-        step = lower.join(hooks, "id", "left").select("id", "was", F.least("to", F.coalesce("hook", "to")).alias("to"))
-        step = keep(step)
+        step = keep(lower.join(hooks, "id", "left").select("id", "was", F.least("to", F.coalesce("hook", "to")).alias("to")))
         up = step.select(F.col("id").alias("to"), F.col("to").alias("up"))
         new = keep(step.join(up, "to", "left").select("id", "was", F.least("to", F.coalesce("up", "to")).alias("component")))
         if not new.where("component != was").limit(1).count():
             return labels
         labels = new.select("id", "component")
+
+
+def _settle(batches):
+    """Components of all edges of one task, by the same rounds on arrays."""
+    ends = [np.stack((b.column(0).to_numpy(), b.column(1).to_numpy())) for b in batches if b.num_rows]
+    if not ends:
+        return
+    ids, place = np.unique(np.concatenate(ends, 1), return_inverse=True)
+    a, b = place.reshape(2, -1)
+    label = np.arange(len(ids))
+    while True:
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        for side in (a, b, label[a], label[b]):
+            np.minimum.at(new, side, low)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids[label])], names=["id", "component"])

@@ -157,8 +157,10 @@ def test_bit_table_lets_all_members_through(spark):
 
 def test_components_of_long_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(1000, 1200)] + [(5000, 5000 + i) for i in range(1, 300)] + [(7, 9), (9, 8), (3, 3)]
-    got = dict(shared.components(spark.createDataFrame(edges, "a long, b long")).collect())
-    assert got == {i: 1000 for i in range(1000, 1201)} | {i: 5000 for i in range(5000, 5300)} | {7: 7, 8: 7, 9: 7}
+    df = spark.createDataFrame(edges, "a long, b long")
+    got = dict(shared.components(df).collect())
+    assert got == dict(shared.components(df, 10).collect()) == {i: 1000 for i in range(1000, 1201)} | {i: 5000 for i in range(5000, 5300)} | {7: 7, 8: 7, 9: 7}
+    assert shared.components(df.where("a = 3")).count() == 0
 
 
 def test_ranks_and_prefix_sums(spark):
