@@ -199,13 +199,23 @@ def fitting_within(placed: DataFrame, sketches: DataFrame, num: int, den: int, e
     short = sketches.select("class", "n", F.substring("bits", 1, CELLS // 8).alias("bits"))
     dealt = rows.join(short, "class").select("sig", blocks.alias("ij"), "mine", "class", "of", "n", "bits").select("sig", "ij.i", "ij.j", "mine", "class", "of", "n", "bits")
 
+    def closest(parts: list[np.ndarray]) -> np.ndarray:
+        """One row for two components, the closest pair; its flag says whether there were others."""
+        got = np.concatenate(parts)
+        got = got[np.lexsort((got[:, 1], got[:, 0], got[:, 5], got[:, 3], got[:, 2]))]
+        first = np.flatnonzero(np.concatenate(([True], (got[1:, 2:4] != got[:-1, 2:4]).any(1))))
+        flag = np.maximum.reduceat(got[:, 4], first) | (np.diff(np.append(first, len(got))) > 1)
+        got = got[first]
+        got[:, 4] = flag
+        return got
+
     def run(batches):
         out: list[np.ndarray] = []
         held = 0
         for _, i, j, mine, classes, of, n, bits in groups(batches, 3):
             x = _words(bits)
             left, right = np.flatnonzero(mine == i[0]), np.flatnonzero(mine == j[0])
-            parts = []
+            parts, waiting = [], 0
             for at in range(0, len(left), 64):
                 rows = left[at : at + 64]
                 small, large = np.minimum(n[rows][:, None], n[right][None]), np.maximum(n[rows][:, None], n[right][None])
@@ -215,16 +225,19 @@ def fitting_within(placed: DataFrame, sketches: DataFrame, num: int, den: int, e
                     apart = np.bitwise_count(x[p] ^ x[q]).sum(1, dtype=np.int64)
                     ok = apart * (den + num) <= (n[p] + n[q]) * (den - num)
                     p, q = p[ok], q[ok]
-                    parts.append(np.stack((np.minimum(classes[p], classes[q]), np.maximum(classes[p], classes[q]), np.minimum(of[p], of[q]), np.maximum(of[p], of[q]), np.zeros(len(p), np.int64), apart[ok]), 1))
-            got = np.concatenate(parts) if parts else np.empty((0, 6), np.int64)
-            if len(got) and not every:
-                got = got[np.lexsort((got[:, 1], got[:, 0], got[:, 5], got[:, 3], got[:, 2]))]
-                first = np.concatenate(([True], (got[1:, 2:4] != got[:-1, 2:4]).any(1)))
-                size = np.diff(np.append(np.flatnonzero(first), len(got)))
-                got = got[first]
-                got[:, 4] = size > 1
-            if len(got):
-                out.append(got[:, :5])
+                    if len(p):
+                        parts.append(np.stack((np.minimum(classes[p], classes[q]), np.maximum(classes[p], classes[q]), np.minimum(of[p], of[q]), np.maximum(of[p], of[q]), np.zeros(len(p), np.int64), apart[ok]), 1))
+                        waiting += len(p)
+                if waiting >= 1 << 16:
+                    if every:
+                        yield rows_of(np.unique(np.concatenate(parts)[:, :5], axis=0))
+                        parts, waiting = [], 0
+                    else:
+                        parts = [closest(parts)]
+                        waiting = len(parts[0]) // 2  # what cannot shrink further does not ask again at once
+            if parts:
+                got = (np.concatenate(parts) if every else closest(parts))[:, :5]
+                out.append(got)
                 held += len(got)
             if held >= 1 << 14:
                 yield rows_of(np.unique(np.concatenate(out), axis=0))
