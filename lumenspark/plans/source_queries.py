@@ -118,9 +118,9 @@ def _(spark, sf):
     return table(spark, sf, "pages").select("page_id", tables.safe_name(F.col("url")).alias("name"))
 
 
-@query("human_bytes", "SELECT doc_id, CASE WHEN n_chars >= 1000 THEN format('{:.1f} KB', n_chars / 1000.0::DOUBLE) ELSE n_chars || ' B' END AS size FROM documents WHERE n_chars < 1000000")
+@query("human_bytes", "SELECT doc_id, CASE WHEN n_chars >= 1000000 THEN ((n_chars + 50000) // 100000) // 10 || '.' || ((n_chars + 50000) // 100000) % 10 || ' MB' WHEN n_chars >= 1000 THEN ((n_chars + 50) // 100) // 10 || '.' || ((n_chars + 50) // 100) % 10 || ' KB' ELSE n_chars || ' B' END AS size FROM documents")
 def _(spark, sf):
-    return table(spark, sf, "documents").where("n_chars < 1000000").select("doc_id", tables.human_bytes(F.col("n_chars")).alias("size"))
+    return table(spark, sf, "documents").select("doc_id", tables.human_bytes(F.col("n_chars")).alias("size"))
 
 
 @query("s22_constant_columns", "SELECT count(DISTINCT r_regionkey) > 1 AS r_regionkey, count(DISTINCT 'x') > 1 AS fixed FROM region")

@@ -150,7 +150,10 @@ def safe_name(c: Column) -> Column:
 
 
 def human_bytes(n: Column) -> Column:
-    out = F.format_string("%d B", n.cast("long"))
+    """Size with one decimal (halves up, in whole numbers): 999 B, 1.0 KB, 12.3 MB."""
+    n = n.cast("long")
+    out = F.format_string("%d B", n)
     for i, unit in enumerate(("KB", "MB", "GB", "TB"), 1):
-        out = F.when(n >= 1000**i, F.format_string(f"%.1f {unit}", n / 1000**i)).otherwise(out)
+        tenths = F.floor((n + 1000**i // 20) / (1000**i // 10))
+        out = F.when(n >= 1000**i, F.format_string(f"%d.%d {unit}", F.floor(tenths / 10), tenths % 10)).otherwise(out)
     return out
