@@ -36,9 +36,10 @@ def directed(pixels: DataFrame, bodies: DataFrame, grid: G.Grid, observer_m: flo
     return both.select("ts", "qr", "qc", "z", s[0].alias("sun_cos"), s[1].alias("sun_sin"), s[2].alias("sun_el"), e[0].alias("earth_cos"), e[1].alias("earth_sin"), e[2].alias("earth_el"))
 
 
-def render(terrain: Terrain, ephemeris: DataFrame, times: DataFrame, window: tuple[int, int, int, int] | None = None, observer_m: float = 2.0, max_pixels: float = X.HARD_CAP, cutoff: bool = False, tile: int = 256) -> DataFrame:
+def render(terrain: Terrain, ephemeris: DataFrame, times: DataFrame, window: tuple[int, int, int, int] | None = None, observer_m: float = 2.0, max_pixels: float = X.HARD_CAP, cutoff: bool = False, tile: int = 256, farther: tuple[Terrain, ...] = ()) -> DataFrame:
     """Frames (ts, r, c, sun, dsn) over a window (row, column, height, width) of the terrain.
 
+    ``farther``: one or two coarser terrains, near to far, in which rays go on that met nothing.
     ``cutoff``: terrain outside the window casts no shadow; else the window restricts the output only.
     """
     cells = terrain.cells
@@ -47,7 +48,7 @@ def render(terrain: Terrain, ephemeris: DataFrame, times: DataFrame, window: tup
     ground = out if cutoff else cells
     pixels = out.select(F.col("r").alias("qr"), F.col("c").alias("qc"), "z", *tile_of(tile, tile)).repartition("tr", "tc").drop("tr", "tc")
     facing = directed(pixels, at_times(times, ephemeris), terrain.grid, observer_m)
-    found = X.illuminate(facing, quads(ground), terrain.grid, observer_m, max_pixels, ("ts", "qr", "qc"))
+    found = X.illuminate(facing, quads(ground), terrain.grid, observer_m, max_pixels, ("ts", "qr", "qc"), tuple((quads(t.cells), t.grid, max_pixels) for t in farther))
     return found.select("ts", (F.col("qr") - r0).alias("r"), (F.col("qc") - c0).alias("c"), "sun", "dsn")
 
 

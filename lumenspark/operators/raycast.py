@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenspark.functions.geometry import Grid, Vector, stereo_to_body, up_and_depth
+from lumenspark.functions.geometry import Grid, Vector, body_to_stereo, encode_contact, encode_sun, stereo_to_body, up_and_depth
 from lumenspark.operators.raster import bilinear
 
 STEP = 0.70710698
@@ -103,20 +103,51 @@ def ray_fan(df: DataFrame) -> DataFrame:
     return df.withColumn("_ray", F.explode(both)).select("*", "_ray.*").drop("_ray")
 
 
-def illuminate(pixels: DataFrame, quads: DataFrame, grid: Grid, observer_m: float, max_pixels: float, keys: tuple[str, ...] = ("frame", "qr", "qc")) -> DataFrame:
-    """Sun and contact bytes of pixels (frame, qr, qc, z, directions as in ``ray_fan``): keys, sun, dsn, horizon, over."""
-    from lumenspark.functions.geometry import encode_contact, encode_sun
+def layered(rays: DataFrame, layers: list[tuple[DataFrame, Grid, float]], observer_m: float, keys: list[str]) -> DataFrame:
+    """(keys, slope): horizons of rays over one to three layers (quads, grid, farthest pixel), near to far.
 
+    Rays have qc, qr in the first layer's pixels, z, the query's position (px, py, pz) and up (ux, uy, uz), a direction and
+    a threshold. A ray that reaches its threshold stops; others go on in the next layer from the distance at which they
+    left the last one. The query is placed in a farther layer by its datum, not by its elevated position. Slopes of
+    earlier layers lie under the threshold, so the largest is the horizon.
+    """
+    if not 1 <= len(layers) <= 3:
+        raise ValueError("a stack has one to three layers")
+    at, above = Vector(*(F.col(f"p{i}") for i in "xyz")), Vector(*(F.col(f"u{i}") for i in "xyz"))
+    found, start, before = [], F.lit(1.0), None
+    for cells, grid, farthest in layers:
+        if before is not None:
+            r = F.sqrt(at.dot(at))
+            datum = Vector(*(c * (before.radius_km / r) for c in at))
+            col, row = body_to_stereo(datum, grid)
+            rays = rays.withColumns({"qc": col, "qr": row})
+            start = next_layer_start(F.coalesce("exit_d", F.lit(1.0)), before.pixel_km * 1000, grid.pixel_km * 1000)
+        samples = march(rays.withColumn("_start", start), cells, F.least(reach(F.col("threshold"), grid.pixel_km * 1000), F.lit(farthest)), F.col("_start"))
+        sloped = samples.withColumn("slope", sphere_slope(F.col("x"), F.col("y"), bilinear(F.col("x"), F.col("y")), at, above, grid, observer_m))
+        here = horizon(sloped.select(*keys, "d", "slope", "threshold"), keys)
+        found.append(here.select(*keys, "slope"))
+        # Of a ray that had no sample the last distance stays.
+        rays = rays.drop("exit_d").join(here.select(*keys, "hit", "exit_d"), keys, "left").where(~F.coalesce("hit", F.lit(False))).drop("hit")
+        before = grid
+    every = found[0]
+    for other in found[1:]:
+        every = every.union(other)
+    return every.groupBy(*keys).agg(F.max("slope").alias("slope"))
+
+
+def illuminate(pixels: DataFrame, quads: DataFrame, grid: Grid, observer_m: float, max_pixels: float, keys: tuple[str, ...] = ("frame", "qr", "qc"), farther: tuple[tuple[DataFrame, Grid, float], ...] = ()) -> DataFrame:
+    """Sun and contact bytes of pixels (frame, qr, qc, z, directions as in ``ray_fan``): keys, sun, dsn, horizon, over.
+
+    ``farther``: more layers (quads, grid, farthest pixel) in which rays go on.
+    """
     qc, qr = F.col("qc").cast("double"), F.col("qr").cast("double")
     query = stereo_to_body(qc, qr, F.col("z"), grid)
     up, _ = up_and_depth(qc, qr, F.col("z"), grid)
     placed = pixels.withColumns({"px": query.x, "py": query.y, "pz": query.z, "ux": up.x, "uy": up.y, "uz": up.z})
-    rays = ray_fan(placed)
-    samples = march(rays, quads, F.least(reach(F.col("threshold"), grid.pixel_km * 1000), F.lit(max_pixels)))
-    at, above = Vector(*(F.col(f"p{i}") for i in "xyz")), Vector(*(F.col(f"u{i}") for i in "xyz"))
-    sloped = samples.withColumn("slope", sphere_slope(F.col("x"), F.col("y"), bilinear(F.col("x"), F.col("y")), at, above, grid, observer_m))
-    found = horizon(sloped.select(*keys, "ray", "d", "slope", "threshold"), [*keys, "ray"]).withColumn("deg", F.degrees(F.atan("slope")))
-    by_ray = found.groupBy(*keys).agg(*(F.coalesce(F.max(F.when(F.col("ray") == i, F.col("deg"))), F.lit(-90.0)).alias(f"h{i}") for i in range(9)))
+    own = [f"k_{k}" for k in keys]  # the query's place in a farther layer overwrites qr and qc
+    rays = ray_fan(placed.withColumns({f"k_{k}": F.col(k) for k in keys}))
+    found = layered(rays, [(quads, grid, max_pixels), *farther], observer_m, [*own, "ray"]).withColumn("deg", F.degrees(F.atan("slope")))
+    by_ray = found.groupBy(*(F.col(o).alias(k) for o, k in zip(own, keys, strict=True))).agg(*(F.coalesce(F.max(F.when(F.col("ray") == i, F.col("deg"))), F.lit(-90.0)).alias(f"h{i}") for i in range(9)))
     # Pixels whose rays were not cast come back here.
     out = pixels.join(by_ray, list(keys), "left").withColumn("h", F.array(*(F.coalesce(F.col(f"h{i}"), F.lit(-90.0)) for i in range(8))))
     fraction = F.when(F.col("sun_el") + SUN_HALF_ANGLE > -10, sun_fraction(F.col("sun_el"), F.col("h"))).otherwise(0.0)

@@ -46,6 +46,16 @@ def test_a_window_of_flat_ground_is_uniform(spark):
     assert len(out) == 256 and {r["sun"] for r in out} == {255} and max(r["dsn"] for r in out) - min(r["dsn"] for r in out) <= 1
 
 
+@pytest.mark.parametrize(("spike", "sun"), [(None, 255), ((32, 45, 1000.0), 0)])
+def test_a_third_layer_blocks_the_sun(spark, spike, sun):
+    site = mapset.Terrain(ground(spark, 16), G.Grid(7.5, 7.5, 0.001))
+    middle, outer = mapset.Terrain(ground(spark, 32), G.Grid(15.5, 15.5, 0.005)), mapset.Terrain(ground(spark, 64, spike), G.Grid(31.5, 31.5, 0.02))
+    out = mapset.render(site, bodies(spark, 1), times(spark), (8, 8, 1, 1), 0.0, 40.0, farther=(middle, outer)).collect()
+    assert [r["sun"] for r in out] == [sun]
+    with pytest.raises(ValueError, match="three"):
+        mapset.render(site, bodies(spark, 1), times(spark), (8, 8, 1, 1), 0.0, 40.0, farther=(middle, outer, outer))
+
+
 def test_cutoff_drops_terrain_outside_the_window(spark):
     terrain = mapset.Terrain(ground(spark, 64, (32, 50, 1000.0)), G.Grid(31.5, 31.5, 0.02))
     args = (bodies(spark, 1), times(spark), (24, 24, 16, 16), 0.0, 60.0)
