@@ -234,7 +234,10 @@ def fitting_within(placed: DataFrame, sketches: DataFrame, num: int, den: int, e
                         parts, waiting = [], 0
                     else:
                         parts = [closest(parts)]
-                        waiting = len(parts[0]) // 2  # what cannot shrink further does not ask again at once
+                        waiting = len(parts[0])
+                        if waiting > 1 << 15:  # many components: their pairs leave now, and may be joined by others later
+                            yield rows_of(parts[0])
+                            parts, waiting = [], 0
             if parts:
                 got = (np.concatenate(parts) if every else closest(parts))[:, :5]
                 out.append(got)
