@@ -20,10 +20,12 @@ from lumenspark.sources.ephemeris import at_times
 
 @dataclass(frozen=True)
 class Terrain:
-    """A raster of elevations in metres and its grid."""
+    """A raster of elevations in metres and its grid. With its size known, small rasters are marched as arrays."""
 
     cells: DataFrame
     grid: G.Grid
+    height: int = 0
+    width: int = 0
 
 
 def directed(pixels: DataFrame, bodies: DataFrame, grid: G.Grid, observer_m: float) -> DataFrame:
@@ -48,7 +50,7 @@ def render(terrain: Terrain, ephemeris: DataFrame, times: DataFrame, window: tup
     ground = out if cutoff else cells
     pixels = out.select(F.col("r").alias("qr"), F.col("c").alias("qc"), "z", *tile_of(tile, tile)).repartition("tr", "tc").drop("tr", "tc")
     facing = directed(pixels, at_times(times, ephemeris), terrain.grid, observer_m)
-    found = X.illuminate(facing, quads(ground), terrain.grid, observer_m, max_pixels, ("ts", "qr", "qc"), tuple((quads(t.cells), t.grid, max_pixels) for t in farther))
+    found = X.illuminate(facing, quads(ground), terrain.grid, observer_m, max_pixels, ("ts", "qr", "qc"), tuple((quads(t.cells), t.grid, max_pixels) for t in farther), (ground, terrain.height, terrain.width) if terrain.height else None)
     return found.select("ts", (F.col("qr") - r0).alias("r"), (F.col("qc") - c0).alias("c"), "sun", "dsn")
 
 

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from lumenspark.functions.geometry import Grid, Vector, body_to_stereo, encode_contact, encode_sun, stereo_to_body, up_and_depth
 from lumenspark.operators.raster import bilinear
+from lumenspark.session import ship_package
 
 STEP = 0.70710698
 HARD_CAP = 15000.0
@@ -28,7 +29,7 @@ SUN_HALF_ANGLE = 0.27
 #: Offsets of the sun rays in half angles, and the weight that normalises the disk (fixed values).
 RAY_OFFSETS = (-1.0, -5 / 7, -3 / 7, -1 / 7, 1 / 7, 3 / 7, 5 / 7, 1.0)
 INV_MAX_PHOTONS = 0.14666102826595306
-CELL_BYTES_LIMIT = 256 << 20
+CELL_BYTES_LIMIT = 64 << 20
 
 
 def chords() -> list[tuple[int, float, float]]:
@@ -135,10 +136,11 @@ def layered(rays: DataFrame, layers: list[tuple[DataFrame, Grid, float]], observ
     return every.groupBy(*keys).agg(F.max("slope").alias("slope"))
 
 
-def illuminate(pixels: DataFrame, quads: DataFrame, grid: Grid, observer_m: float, max_pixels: float, keys: tuple[str, ...] = ("frame", "qr", "qc"), farther: tuple[tuple[DataFrame, Grid, float], ...] = ()) -> DataFrame:
+def illuminate(pixels: DataFrame, quads: DataFrame, grid: Grid, observer_m: float, max_pixels: float, keys: tuple[str, ...] = ("frame", "qr", "qc"), farther: tuple[tuple[DataFrame, Grid, float], ...] = (), whole: tuple[DataFrame, int, int] | None = None) -> DataFrame:
     """Sun and contact bytes of pixels (frame, qr, qc, z, directions as in ``ray_fan``): keys, sun, dsn, horizon, over.
 
-    ``farther``: more layers (quads, grid, farthest pixel) in which rays go on.
+    ``farther``: more layers (quads, grid, farthest pixel) in which rays go on. ``whole``: the terrain's cells, rows and
+    columns; if they are few enough to be broadcast, and there is one layer, rays are marched by ``horizon_kernel``.
     """
     qc, qr = F.col("qc").cast("double"), F.col("qr").cast("double")
     query = stereo_to_body(qc, qr, F.col("z"), grid)
@@ -146,7 +148,11 @@ def illuminate(pixels: DataFrame, quads: DataFrame, grid: Grid, observer_m: floa
     placed = pixels.withColumns({"px": query.x, "py": query.y, "pz": query.z, "ux": up.x, "uy": up.y, "uz": up.z})
     own = [f"k_{k}" for k in keys]  # the query's place in a farther layer overwrites qr and qc
     rays = ray_fan(placed.withColumns({f"k_{k}": F.col(k) for k in keys}))
-    found = layered(rays, [(quads, grid, max_pixels), *farther], observer_m, [*own, "ray"]).withColumn("deg", F.degrees(F.atan("slope")))
+    if whole and not farther and whole[1] * whole[2] * 8 <= CELL_BYTES_LIMIT:
+        found = horizon_kernel(rays.select(*own, "ray", "qr", "qc", "z", "dc", "dr", "threshold"), *whole, grid, observer_m, max_pixels, (*own, "ray"))
+    else:
+        found = layered(rays, [(quads, grid, max_pixels), *farther], observer_m, [*own, "ray"])
+    found = found.withColumn("deg", F.degrees(F.atan("slope")))
     by_ray = found.groupBy(*(F.col(o).alias(k) for o, k in zip(own, keys, strict=True))).agg(*(F.coalesce(F.max(F.when(F.col("ray") == i, F.col("deg"))), F.lit(-90.0)).alias(f"h{i}") for i in range(9)))
     # Pixels whose rays were not cast come back here.
     out = pixels.join(by_ray, list(keys), "left").withColumn("h", F.array(*(F.coalesce(F.col(f"h{i}"), F.lit(-90.0)) for i in range(8))))
@@ -166,7 +172,7 @@ def horizon_kernel(rays: DataFrame, cells: DataFrame, height: int, width: int, g
     terrain = np.full((height, width), np.nan)
     for batch in cells.select("r", "c", "z").toArrow().to_batches():
         terrain[batch.column(0).to_numpy(), batch.column(1).to_numpy()] = batch.column(2).to_numpy()
-    shared = cells.sparkSession.sparkContext.broadcast(terrain)
+    shared = ship_package(cells.sparkSession).sparkContext.broadcast(terrain)
     radius, s0, l0, pixel = grid.radius_km, grid.s0, grid.l0, grid.pixel_km
 
     def place(x, y, z):

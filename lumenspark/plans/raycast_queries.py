@@ -132,9 +132,20 @@ fr AS (SELECT az.qr, az.qc, az.sl AS el, az.el AS earth, [{', '.join(f"coalesce(
 out AS (SELECT qr, qc, CASE WHEN el + {X.SUN_HALF_ANGLE} > -10 THEN ({tick_sql()}) * {X.INV_MAX_PHOTONS!r} ELSE 0 END AS f, h8, CASE WHEN earth > -10 THEN earth - h8 ELSE -90.0 END AS over FROM fr)"""
 
 
-@query("x12_illumination", f"WITH {ILLUMINATION} SELECT 1 AS frame, qr, qc, least(greatest(floor(255 * f), 0), 255)::BIGINT AS sun, least(greatest(floor(over * 10), 0), 250)::BIGINT AS dsn, round(h8, 5) AS horizon FROM out")
+FRAME = f"WITH {ILLUMINATION} SELECT 1 AS frame, qr, qc, least(greatest(floor(255 * f), 0), 255)::BIGINT AS sun, least(greatest(floor(over * 10), 0), 250)::BIGINT AS dsn, round(h8, 5) AS horizon FROM out"
+
+
+@query("x12_illumination", FRAME)
 def illumination(spark, sf):
     """Flagship: one frame of sun and contact bytes over the whole raster (eight sun rays and one to Earth from each cell)."""
+    cells = dem(spark, sf)
+    found = X.illuminate(frame_pixels(spark, sf), quads(cells), GRID, 2.0, FAR, whole=(cells, height(spark, sf), W))
+    return found.select("frame", "qr", "qc", "sun", "dsn", F.round("horizon", 5).alias("horizon"))
+
+
+@query("x12_relational", FRAME)
+def _(spark, sf):
+    """The same by joins and aggregates, as for terrain that is too large to broadcast."""
     found = X.illuminate(frame_pixels(spark, sf), quads(dem(spark, sf)), GRID, 2.0, FAR)
     return found.select("frame", "qr", "qc", "sun", "dsn", F.round("horizon", 5).alias("horizon"))
 

@@ -35,9 +35,10 @@ def times(spark):
 
 @pytest.mark.parametrize(("degrees", "spike", "sun"), [(1, None, 255), (1, (32, 35, 1000.0), 0), (-6, None, 0), (6, None, 255)])
 def test_flat_ground_is_lit_and_a_spike_casts_a_shadow(spark, degrees, spike, sun):
-    terrain = mapset.Terrain(ground(spark, 64, spike), G.Grid(31.5, 31.5, 0.02))
-    out = mapset.render(terrain, bodies(spark, degrees), times(spark), (32, 32, 1, 1), 0.0, 60.0).collect()
-    assert [(r["r"], r["c"], r["sun"]) for r in out] == [(0, 0, sun)]
+    for size in ((), (64, 64)):
+        terrain = mapset.Terrain(ground(spark, 64, spike), G.Grid(31.5, 31.5, 0.02), *size)
+        out = mapset.render(terrain, bodies(spark, degrees), times(spark), (32, 32, 1, 1), 0.0, 60.0).collect()
+        assert [(r["r"], r["c"], r["sun"]) for r in out] == [(0, 0, sun)]
 
 
 def test_a_window_of_flat_ground_is_uniform(spark):
