@@ -255,6 +255,15 @@ def fitting_within(placed: DataFrame, sketches: DataFrame, num: int, den: int, e
     return keep(order.mapInArrow(run, "a long, b long, lo long, hi long, more boolean").distinct())
 
 
+def _planes(elements: np.ndarray) -> bytes:
+    """Sorted numbers by byte planes: their high bytes repeat, so Spark's compression takes them."""
+    return np.ascontiguousarray(np.ascontiguousarray(elements).view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def _from_planes(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
+
+
 def verified(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) whose sets are similar, by their exact intersection."""
 
@@ -262,7 +271,7 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) ->
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                x, y = ([np.frombuffer(b, np.uint64) for b in part.column(i).to_pylist()] for i in (2, 3))
+                x, y = ([_from_planes(b) for b in part.column(i).to_pylist()] for i in (2, 3))
                 sizes = np.array([len(a) + len(b) for a, b in zip(x, y, strict=True)], np.int64)
                 index = np.arange(part.num_rows, dtype=np.uint64) << np.uint64(BITS)
                 keys = np.sort(np.concatenate([a | i for a, i in zip(x, index, strict=True)] + [b | i for b, i in zip(y, index, strict=True)]))
@@ -271,7 +280,7 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) ->
                 yield pa.RecordBatch.from_arrays([part.column(i).filter(pa.array(ok)) for i in (0, 1)], names=["a", "b"])
 
     classes = keep(pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).distinct())
-    sets = _of_classes(texts, classes, k, "elements", lambda x: x.tobytes())
+    sets = _of_classes(texts, classes, k, "elements", _planes)
     of = lambda name: sets.select(F.col("class").alias(name), F.col("elements").alias(f"set_{name}"))
     return keep(pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long"))
 
@@ -287,7 +296,7 @@ def class_components(texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
 
     def star(pivots: DataFrame) -> DataFrame:
         """Links of the classes of each signature with its pivot."""
-        pairs = shared.join(keep(pivots), "sig").where("class != pivot").select(F.least("class", "pivot").alias("a"), F.greatest("class", "pivot").alias("b")).distinct()
+        pairs = shared.join(pivots, "sig").where("class != pivot").select(F.least("class", "pivot").alias("a"), F.greatest("class", "pivot").alias("b")).distinct()
         found = verified(fitting(pairs, sketches, num, den), texts, k, num, den)
         release(spark)
         return found
@@ -298,14 +307,18 @@ def class_components(texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
     shared = keep(shared_pairs(texts, keys, width(spark)).withColumnsRenamed({"key": "sig", "owner": "class"}))
     release(spark)  # the signatures' shuffle is the largest
     sketches = _of_classes(texts, shared.select("class").distinct(), k, "bits", sketch)
-    links = star(shared.groupBy("sig").agg(F.min("class").alias("pivot")))
+    smallest = keep(shared.groupBy("sig").agg(F.min("class").alias("pivot")))
+    links = star(smallest)
     # Then the class with the most links: the centre of a group of near copies reaches most of them.
     degree = links.select(F.col("a").alias("class")).union(links.select(F.col("b").alias("class"))).groupBy("class").agg(F.count("*").alias("degree"))
-    links = links.union(star(shared.join(keep(degree), "class").groupBy("sig").agg(F.max_by("class", "degree").alias("pivot")))).distinct()
+    central = keep(shared.join(keep(degree), "class").groupBy("sig").agg(F.max_by("class", "degree").alias("pivot")))
+    links = links.union(star(central)).distinct()
     labels = place(links)
     release(spark)
-    # Of signatures of two classes the only pair has been seen.
-    crowded = keep(shared.join(keep(shared.groupBy("sig").agg(F.count("*").alias("m")).where("m > 2").select("sig")), "sig"))
+    # A pivot's pairs have all been seen; what is left of a signature needs two classes to make a pair.
+    rest = shared.join(smallest, "sig").where("class != pivot").drop("pivot").join(central, "sig", "left").where("pivot is null or class != pivot").drop("pivot")
+    rest = keep(rest)
+    crowded = keep(rest.join(keep(rest.groupBy("sig").agg(F.count("*").alias("m")).where("m > 1").select("sig")), "sig"))
     every = False
     while True:
         label = lambda df, c, out: df.join(labels.withColumnsRenamed({"class": c, "component": "_to"}), c, "left").withColumn(out, F.coalesce("_to", c)).drop("_to")  # noqa: B023, E731
