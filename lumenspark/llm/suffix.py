@@ -7,8 +7,8 @@ repeated passage always holds a kept suffix on both sides.
 1. The kept suffixes' heads are sorted and neighbours compared (in packed arrays, see ``packed``): what stays are suffixes
    that begin like one of another document, about one to LENGTH / 3 words of those documents.
 2. Each is extended to the left and right over all windows that chose it. Where the whole stretch equals another
-   document's, it is repeated; where it does not, or where further documents share the head, its windows of LENGTH words
-   are compared one by one, which finds a passage's exact ends and all its holders.
+   document's, it is repeated; unless all stretches around a head are one, its windows of LENGTH words are compared one by
+   one, which finds a passage's exact ends and all its holders.
 3. Repeated windows of a document that touch or overlap are one span. A span says which is the smallest and the largest
    document that shares part of it.
 
@@ -125,19 +125,18 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, head: int = HEAD) ->
 
     # The bit table lets few others through; the join makes it exact.
     found = source.mapInArrow(extend, "doc_id long, key long, first long, end long, whole long, windows array<long>")
-    heads = keep(shared.groupBy("key").agg(F.min("owner").alias("head_low"), F.max("owner").alias("head_high")))
-    holders = shared.join(heads, "key").withColumnRenamed("owner", "doc_id")
-    found = keep(found.join(holders, ["key", "doc_id"]).drop("key"))
+    found = keep(found.join(shared.withColumnRenamed("owner", "doc_id"), ["key", "doc_id"]))
     release(spark)
-    bounds = lambda df, by: keep(df.groupBy(by).agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low != high"))
-    wholes = bounds(found.select("whole", "doc_id"), "whole")
-    # Other holders of the head than of the whole stretch may have some of its windows.
-    done = (F.col("low") == F.col("head_low")) & (F.col("high") == F.col("head_high"))
-    joined = keep(found.join(wholes, "whole", "left").select("doc_id", "first", "end", "low", "high", F.when(F.coalesce(done, F.lit(False)), F.lit(None)).otherwise(F.col("windows")).alias("windows")))
+    bounds = lambda df, *by: keep(df.groupBy(*by).agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")))
+    wholes = bounds(found.select("key", "whole", "doc_id"), "key", "whole")
+    # Where all stretches around a head are one, that settles its windows; else any other stretch may have some of them.
+    alone = wholes.groupBy("key").agg((F.min("whole") == F.max("whole")).alias("alone"))
+    wholes = keep(wholes.join(alone, "key").where("low != high"))
+    joined = keep(found.join(wholes, ["key", "whole"], "left").select("doc_id", "first", "end", "low", "high", F.when(F.coalesce("alone", F.lit(False)), F.lit(None)).otherwise(F.col("windows")).alias("windows")))
     rest = joined.where("windows is not null").select("doc_id", "first", F.posexplode("windows").alias("at", "window")).select("doc_id", (F.col("first") + F.col("at")).alias("first"), "window")
     rest = keep(rest)
     release(spark)
-    single = rest.join(bounds(rest.select("window", "doc_id"), "window"), "window").select("doc_id", "first", (F.col("first") + length).alias("end"), "low", "high")
+    single = rest.join(bounds(rest.select("window", "doc_id"), "window").where("low != high"), "window").select("doc_id", "first", (F.col("first") + length).alias("end"), "low", "high")
     return joined.where("low is not null").select("doc_id", "first", "end", "low", "high").union(single)
 
 

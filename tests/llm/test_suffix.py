@@ -83,3 +83,24 @@ def test_cut_takes_what_a_smaller_document_has(spark):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], SCHEMA)
     assert suffix.repeated_passages(docs).count() == 0 and suffix.cut_repeats(docs).count() == 0
+
+
+@pytest.mark.parametrize("n", [50, 60, 80, 100])
+def test_excerpts_between_copies(spark, n):
+    """Copies at the smallest and greatest id, excerpts of them between, one in a document that has the whole too."""
+    rng = random.Random(n)
+    text = lambda k: [f"w{rng.randrange(10**9)}" for _ in range(k)]
+    rows = []
+    for g in range(12):
+        whole, at = text(200), rng.randint(0, 200 - n)
+        part = whole[at : at + n]
+        rows += [(g, whole), (900 + g, whole), (100 + g, text(30) + part + text(30))]
+        rows += [(200 + g, text(20) + whole + text(20) + part + text(9))] if g % 3 == 0 else []
+        rows += [(300 + g, text(8) + part + text(5))] if g % 3 == 1 else []
+    rows = [(d, " ".join(w)) for d, w in rows]
+    docs = spark.createDataFrame([(d, t, "en", "s", 0) for d, t in rows], SCHEMA)
+    got: dict[int, set] = {}
+    for r in suffix.repeated_passages(docs).collect():
+        got.setdefault(r["doc_id"], set()).update(range(r["first_word"], r["end_word"]))
+        assert r["least_doc"] == r["doc_id"] % 100 and r["greatest_doc"] == 900 + r["doc_id"] % 100
+    assert got == brute(rows, 50)
