@@ -293,3 +293,19 @@ def test_fuzzy_passages_find_planted_ones(spark):
     for r in found:
         size = (70 if r["doc_id"] % 6 == 0 else 90) + 2
         assert r["doc_id"] % 6 == r["other_doc"] % 6 and 50 <= r["end_word"] - r["first_word"] <= size and r["matching_words"] >= 0.8 * (r["end_word"] - r["first_word"])
+
+
+def test_passages_of_frequent_lines_between_others(spark):
+    """Each line of a passage of two documents in the middle is also in one smaller and one greater document."""
+    rng = random.Random(12)
+    text = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    rows, want = [], set()
+    for g, (n, size) in enumerate([(2, 45), (3, 40), (4, 30), (2, 45), (3, 40), (4, 30)]):
+        lines = [text(size) for _ in range(n)]
+        for d in (1000 + 10 * g, 1005 + 10 * g):
+            rows.append((d, " ".join(text(20) + sum(lines, []) + text(20))))
+        want.add((1005 + 10 * g, 1000 + 10 * g, n * size))
+        for i, line in enumerate(lines):
+            rows += [(10 * g + i, " ".join(text(30) + line + text(30))), (5000 + 10 * g + i, " ".join(text(30) + line + text(30)))]
+    found = chaining.fuzzy_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["other_doc"], r["matching_words"]) for r in found} == want
