@@ -9,19 +9,23 @@ a band's upper end also gets the next band's signatures, so pairs across a borde
 1. Documents with equal sets form a class, known by a 64-bit hash of the set; only classes are joined.
 2. Signatures travel as packed arrays. A signature met once stops there; one repeated within a task is known to be shared
    at once, and only one entry of it goes on to be counted, so frequent signatures are pre-aggregated.
-3. Each shared signature links all its classes to a pivot (the smallest class, then the one with most links). Pairs whose
-   ``CELLS`` parities differ more than similar sets may (a lower bound of the difference) go; the others are verified on
-   whole sets, and links become components. Classes of a signature that are in different components are then compared
-   inside its task, and what fits is verified, until no two components are left of which a fitting pair was not. So no two
-   components are linked, while classes that a pivot links are never paired.
-4. Every document gets its class's component.
-
-Pivots, components and hot classes are found by pre-aggregated minima and sort-merge joins that can be split. The only
-thing broadcast is a bit table of fixed size that keeps sets of unshared signatures from being shuffled.
+3. Each signature's classes are compared inside its task by sizes and by parity sketches, which give a lower bound of the
+   difference. What leaves the task is a spanning forest of the pairs that fit. Its components are families: a link never
+   leaves one.
+4. Each family's sets are brought together once, in blocks of ``FAMILY_ELEMENTS`` elements; a task of two blocks counts all
+   intersections exactly and again gives a spanning forest, now of links. Its components are the result.
+5. Every document gets its class's component.
+
+So no step makes a row for each pair. The rows shuffled grow with the signatures and with sets times the blocks of their
+family; work inside tasks grows with the square of a signature's classes, or of a family beyond one block. Signatures of few
+elements (two cells of about three each) also meet by chance, which the sketches sort out; the number of such meetings grows
+faster than the input, their rows do not. The only thing broadcast is a bit table of bounded size that keeps other sets from
+being shuffled. Shingles are compared by 52-bit hashes, so results are exact but for collisions of hashes.
 
 Edge cases: null and empty texts have no set and are linked with nothing; a text of fewer words than a shingle is one
-shingle; rows with one id are one document (its smallest id is its component's at most); a null id gets its component but
-is no candidate for the smallest id; an empty table gives no rows.
+shingle; rows with one id are rows of their own (each with the component of its text); a null id gets its component but
+is no candidate for the smallest id; ids may be of any type that has an order; other columns play no part; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -32,16 +36,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from lumenspark.llm import textops
-from lumenspark.llm.packed import SMALL_ROWS, BitTable, groups, shared_pairs, small_batches
-from lumenspark.llm.shared import components, keep, release, width
+from lumenspark.llm.packed import SMALL_ROWS, BitTable, groups, runs, shared_pairs, small_batches
+from lumenspark.llm.shared import components, free, fresh, keep, width
 
 BITS = 52
-CELLS = 1024
-LARGE = 1024
-WIDE_CELLS = 16384
+LEAST_CELLS = 64
+MOST_CELLS = 4096
 BLOCK = 2048
+FAMILY_ELEMENTS = 1 << 20
 _MASK = np.uint64((1 << BITS) - 1)
 assert SMALL_ROWS <= 1 << (64 - BITS)
 
@@ -124,8 +129,8 @@ def signatures(sets: np.ndarray, offsets: np.ndarray, num: int, den: int) -> tup
     return np.concatenate(found), np.concatenate(rows)
 
 
-def _of_classes(texts: DataFrame, classes: DataFrame, k: int, column: str, blob_of) -> DataFrame:
-    """(class, n, column) of the classes asked for, once each; ``blob_of`` makes the column from a set."""
+def _of_classes(texts: DataFrame, classes: DataFrame, k: int, column: str, blobs_of) -> DataFrame:
+    """(class, n, column) of the classes asked for, once each; ``blobs_of`` makes the column from sets and the rows to take."""
     table = BitTable(classes, "class")
 
     def emit(batches):
@@ -140,119 +145,158 @@ def _of_classes(texts: DataFrame, classes: DataFrame, k: int, column: str, blob_
                     use.append(i)
             if len(seen) > 200_000:
                 seen.clear()
-            yield pa.RecordBatch.from_arrays([pa.array(h[use]), pa.array(np.diff(offsets)[use]), pa.array([blob_of(sets[offsets[i] : offsets[i + 1]]) for i in use], pa.binary())], names=["class", "n", column])
+            yield pa.RecordBatch.from_arrays([pa.array(h[use]), pa.array(np.diff(offsets)[use]), pa.array(blobs_of(sets, offsets, use), pa.binary())], names=["class", "n", column])
 
-    found = texts.mapInArrow(emit, f"class long, n long, {column} binary").join(classes, "class", "left_semi")
-    return keep(found.groupBy("class").agg(F.first("n").alias("n"), F.first(column).alias(column)))
+    found = texts.mapInArrow(emit, f"class long, n long, {column} binary").groupBy("class").agg(F.first("n").alias("n"), F.first(column).alias(column))
+    return found.join(classes, "class", "left_semi")
 
 
-def parities(elements: np.ndarray, cells: int = CELLS) -> bytes:
-    """Parity of the number of elements in each cell, as bits: two sets differ by at least as many elements as their
-    parities differ in bits."""
-    cell = (textops.mix(elements) >> np.uint64(64 - cells.bit_length() + 1)).astype(np.int64)
-    return np.packbits(np.bincount(cell, minlength=cells) & 1).tobytes()
+def cells_of(n: np.ndarray) -> np.ndarray:
+    """Cells of a set's sketch: a power of two, as many as it has elements or more (``LEAST_CELLS`` to ``MOST_CELLS``)."""
+    return np.clip(1 << np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64), LEAST_CELLS, MOST_CELLS)
 
 
-def sketch(elements: np.ndarray) -> bytes:
-    """Parities over ``CELLS`` cells; of a large set over ``WIDE_CELLS`` as well."""
-    return parities(elements) + (parities(elements, WIDE_CELLS) if len(elements) > LARGE else b"")
+def sketches_of(sets: np.ndarray, offsets: np.ndarray, use: list[int]) -> list[bytes]:
+    """Parity of the number of elements in each cell, as bits: two sets differ by at least as many elements as their
+    parities differ in bits. Halves of a sketch, added modulo two, are the sketch of half as many cells."""
+    n = np.diff(offsets)[use]
+    cells = cells_of(n)
+    ends = np.cumsum(cells)
+    at = textops.ragged(offsets[:-1][use], n)
+    cell = (textops.mix(sets[at]) & np.repeat(cells - 1, n).astype(np.uint64)).astype(np.int64) + np.repeat(ends - cells, n)
+    bits = np.packbits(np.bincount(cell, minlength=int(ends[-1]) if len(ends) else 0) & 1).tobytes()
+    return [bits[a:b] for a, b in zip(((ends - cells) // 8).tolist(), (ends // 8).tolist(), strict=True)]
 
 
 def _words(blobs) -> np.ndarray:
     return np.frombuffer(b"".join(blobs), np.uint64).reshape(len(blobs), -1)
 
 
-def fitting(pairs: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) that sizes and parities allow to be similar. Loses no similar pair."""
-    short = CELLS // 8
-
-    def run(batches):
-        for batch in batches:
-            n = (batch.column(2).to_numpy() + batch.column(3).to_numpy()).astype(np.int64)
-            x, y = (batch.column(i).to_pylist() for i in (4, 5))
-            apart = np.bitwise_count(_words([i[:short] for i in x]) ^ _words([i[:short] for i in y])).sum(1, dtype=np.int64)
-            both = [i for i, (p, q) in enumerate(zip(x, y, strict=True)) if len(p) > short and len(q) > short]
-            if both:
-                wide = np.bitwise_count(_words([x[i][short:] for i in both]) ^ _words([y[i][short:] for i in both])).sum(1, dtype=np.int64)
-                apart[both] = np.maximum(apart[both], wide)
-            ok = apart * (den + num) <= n * (den - num)
-            yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(ok)) for i in (0, 1)], names=["a", "b"])
-
-    of = lambda name: sketches.select(F.col("class").alias(name), F.col("n").alias(f"n_{name}"), F.col("bits").alias(f"bits_{name}"))
-    fits = F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num
-    return keep(pairs.join(of("a"), "a").join(of("b"), "b").where(fits).select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(run, "a long, b long"))
-
-
-def fitting_within(placed: DataFrame, sketches: DataFrame, num: int, den: int, every: bool) -> DataFrame:
-    """Pairs (a, b) of classes that share a signature but no component and that sizes and parities allow to be similar,
-    with their components (lo, hi). Unless ``every``, a task gives one pair (the closest) for two components, and ``more``
-    says whether it had others.
-
-    Of signatures that the same classes have one is enough. Classes are compared inside the signature's task, as arrays,
-    and only fitting pairs leave it; a signature of many classes is dealt into blocks, and each pair of blocks is a task's.
+def _folded(words: np.ndarray, width: int) -> np.ndarray:
+    """Sketches of ``width`` words from wider ones."""
+    while words.shape[1] > width:
+        half = words.shape[1] // 2
+        words = words[:, :half] ^ words[:, half:]
+    return words
+
+
+class Sketches:
+    """Classes of one group: which of them sizes and parities allow to be similar to a given one."""
+
+    def __init__(self, n: np.ndarray, bits, num: int, den: int):
+        self.n, self.num, self.den = n, num, den
+        self.width = np.fromiter(map(len, bits), np.int64, len(bits)) // 8
+        widths = np.unique(self.width).tolist()
+        # at[w] holds the sketches of w words of all that have so many or more.
+        self.at: dict[int, np.ndarray] = {}
+        for w in widths:
+            self.at[w] = np.zeros((len(n), w), np.uint64)
+            for own in widths:
+                rows = np.flatnonzero(self.width == own)
+                if own >= w:
+                    self.at[w][rows] = _folded(_words([bits[i] for i in rows.tolist()]), w)
+
+    def fit(self, x: int, others: np.ndarray) -> np.ndarray:
+        small, large = np.minimum(self.n[x], self.n[others]), np.maximum(self.n[x], self.n[others])
+        others = others[small * self.den >= large * self.num]
+        width = np.minimum(self.width[x], self.width[others])
+        apart = np.empty(len(others), np.int64)
+        for w in np.unique(width).tolist():
+            mine = width == w
+            apart[mine] = np.bitwise_count(self.at[w][others[mine]] ^ self.at[w][x]).sum(1, dtype=np.int64)
+        return others[apart * (self.den + self.num) <= (self.n[x] + self.n[others]) * (self.den - self.num)]
+
+
+def fitting_forest(sketches: Sketches, side: np.ndarray | None) -> list[tuple[int, np.ndarray]]:
+    """Spanning forest of the pairs that fit (between the two sides, if given): a class, and those that it reaches first."""
+    m = len(sketches.n)
+    left = np.ones(m, bool)
+    out = []
+    for start in range(m):
+        if not left[start]:
+            continue
+        left[start] = False
+        waiting = [start]
+        while waiting:
+            x = waiting.pop()
+            others = np.flatnonzero(left if side is None else left & (side != side[x]))
+            if not len(others):
+                if side is None:
+                    return out
+                continue
+            found = sketches.fit(x, others)
+            if len(found):
+                left[found] = False
+                out.append((x, found))
+                waiting.extend(found.tolist())
+    return out
+
+
+def _blocks(q: str = "q"):
+    """Each row's pairs of blocks (i, j), of ``q`` blocks, that its own block ``mine`` is part of."""
+    return F.explode(F.transform(F.sequence(F.lit(0), F.col(q) - 1), lambda x: F.struct(F.least("mine", x).alias("i"), F.greatest("mine", x).alias("j")))).alias("ij")
+
+
+def families(shared: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:
+    """(class, component) of classes that chains of fitting pairs connect, each pair within a signature.
+
+    Of signatures that the same classes have one is enough. Classes are compared inside the signature's task, as arrays, and
+    a spanning forest leaves it, never pairs of all; a signature of many classes is dealt into blocks, and each pair of
+    blocks is a task's.
     """
     mark = [F.bit_xor(F.xxhash64("class", F.lit(i))).alias(f"x{i}") for i in range(2)]
-    found = placed.groupBy("sig").agg(F.min("of").alias("lo"), F.max("of").alias("hi"), F.count("*").alias("m"), *mark).where("lo != hi")
+    found = shared.groupBy("sig").agg(F.count("*").alias("m"), *mark)
     chosen = keep(found.groupBy("m", "x0", "x1").agg(F.min("sig").alias("sig")).select("sig", F.ceil(F.col("m") / BLOCK).cast("int").alias("q")))
-    rows = placed.join(chosen, "sig").withColumn("mine", F.pmod(F.xxhash64("class"), F.col("q")).cast("int"))
-    blocks = F.explode(F.transform(F.sequence(F.lit(0), F.col("q") - 1), lambda x: F.struct(F.least("mine", x).alias("i"), F.greatest("mine", x).alias("j"))))
-    short = sketches.select("class", "n", F.substring("bits", 1, CELLS // 8).alias("bits"))
-    dealt = rows.join(short, "class").select("sig", blocks.alias("ij"), "mine", "class", "of", "n", "bits").select("sig", "ij.i", "ij.j", "mine", "class", "of", "n", "bits")
-
-    def closest(parts: list[np.ndarray]) -> np.ndarray:
-        """One row for two components, the closest pair; its flag says whether there were others."""
-        got = np.concatenate(parts)
-        got = got[np.lexsort((got[:, 1], got[:, 0], got[:, 5], got[:, 3], got[:, 2]))]
-        first = np.flatnonzero(np.concatenate(([True], (got[1:, 2:4] != got[:-1, 2:4]).any(1))))
-        flag = np.maximum.reduceat(got[:, 4], first) | (np.diff(np.append(first, len(got))) > 1)
-        got = got[first]
-        got[:, 4] = flag
-        return got
+    rows = shared.join(chosen, "sig").withColumn("mine", F.pmod(F.xxhash64("class"), F.col("q")).cast("int"))
+    dealt = rows.join(sketches, "class").select("sig", _blocks(), "mine", "class", "n", "bits").select("sig", "ij.i", "ij.j", "mine", "class", "n", "bits")
 
     def run(batches):
         out: list[np.ndarray] = []
         held = 0
-        for _, i, j, mine, classes, of, n, bits in groups(batches, 3):
-            x = _words(bits)
-            left, right = np.flatnonzero(mine == i[0]), np.flatnonzero(mine == j[0])
-            parts, waiting = [], 0
-            for at in range(0, len(left), 64):
-                rows = left[at : at + 64]
-                small, large = np.minimum(n[rows][:, None], n[right][None]), np.maximum(n[rows][:, None], n[right][None])
-                a, b = np.nonzero((small * den >= large * num) & (of[rows][:, None] != of[right][None]) & (classes[rows][:, None] < classes[right][None] if i[0] == j[0] else True))
-                for cut in range(0, len(a), 1 << 13):
-                    p, q = rows[a[cut : cut + (1 << 13)]], right[b[cut : cut + (1 << 13)]]
-                    apart = np.bitwise_count(x[p] ^ x[q]).sum(1, dtype=np.int64)
-                    ok = apart * (den + num) <= (n[p] + n[q]) * (den - num)
-                    p, q = p[ok], q[ok]
-                    if len(p):
-                        parts.append(np.stack((np.minimum(classes[p], classes[q]), np.maximum(classes[p], classes[q]), np.minimum(of[p], of[q]), np.maximum(of[p], of[q]), np.zeros(len(p), np.int64), apart[ok]), 1))
-                        waiting += len(p)
-                if waiting >= 1 << 16:
-                    if every:
-                        yield rows_of(np.unique(np.concatenate(parts)[:, :5], axis=0))
-                        parts, waiting = [], 0
-                    else:
-                        parts = [closest(parts)]
-                        waiting = len(parts[0])
-                        if waiting > 1 << 15:  # many components: their pairs leave now, and may be joined by others later
-                            yield rows_of(parts[0])
-                            parts, waiting = [], 0
-            if parts:
-                got = (np.concatenate(parts) if every else closest(parts))[:, :5]
-                out.append(got)
-                held += len(got)
-            if held >= 1 << 14:
-                yield rows_of(np.unique(np.concatenate(out), axis=0))
-                out, held = [], 0
+        for (_, i, j, mine, classes, n, bits), starts in runs(batches, 3):
+            ends = np.append(starts[1:], len(n))
+            two = np.flatnonzero((ends - starts == 2) & (i[starts] == j[starts]))
+            if len(two):
+                out.append(_fitting_twos(starts[two], classes, n, bits, num, den))
+                held += len(out[-1])
+            for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
+                if b - a < 2 or b - a == 2 and i[a] == j[a]:
+                    continue
+                for x, others in fitting_forest(Sketches(n[a:b], bits[a:b], num, den), None if i[a] == j[a] else mine[a:b] == i[a]):
+                    out.append(np.stack((np.full(len(others), classes[a + x]), classes[a + others]), 1))
+                    held += len(others)
+                    if held >= 1 << 16:
+                        yield _edges(out)
+                        out, held = [], 0
         if out:
-            yield rows_of(np.unique(np.concatenate(out), axis=0))
+            yield _edges(out)
+
+    order = dealt.repartition(width(shared.sparkSession), "sig", "i", "j").sortWithinPartitions("sig", "i", "j")
+    out = components(order.mapInArrow(run, "a long, b long"))
+    free(chosen)
+    renamed = out.withColumnRenamed("id", "class")
+    renamed._kept = out._kept
+    return renamed
+
 
-    def rows_of(x: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([*(pa.array(x[:, i].copy()) for i in range(4)), pa.array(x[:, 4] > 0)], names=["a", "b", "lo", "hi", "more"])
+def _fitting_twos(first: np.ndarray, classes: np.ndarray, n: np.ndarray, bits: np.ndarray, num: int, den: int) -> np.ndarray:
+    """The fitting ones of pairs (first, first + 1), as classes."""
+    small, large = np.minimum(n[first], n[first + 1]), np.maximum(n[first], n[first + 1])
+    first = first[small * den >= large * num]
+    size = np.fromiter(map(len, bits), np.int64, len(bits)) // 8
+    got = []
+    for w, v in {*zip(size[first].tolist(), size[first + 1].tolist(), strict=True)}:
+        at = first[(size[first] == w) & (size[first + 1] == v)]
+        least = min(w, v)
+        apart = np.bitwise_count(_folded(_words(bits[at].tolist()), least) ^ _folded(_words(bits[at + 1].tolist()), least)).sum(1, dtype=np.int64)
+        got.append(at[apart * (den + num) <= (n[at] + n[at + 1]) * (den - num)])
+    at = np.concatenate([*got, np.empty(0, np.int64)])
+    return np.stack((classes[at], classes[at + 1]), 1)
 
-    order = dealt.repartition(width(placed.sparkSession), "sig", "i", "j").sortWithinPartitions("sig", "i", "j")
-    return keep(order.mapInArrow(run, "a long, b long, lo long, hi long, more boolean").distinct())
+
+def _edges(parts: list[np.ndarray]) -> pa.RecordBatch:
+    got = np.unique(np.sort(np.concatenate(parts), 1), axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(got[:, i].copy()) for i in (0, 1)], names=["a", "b"])
 
 
 def _planes(elements: np.ndarray) -> bytes:
@@ -264,29 +308,74 @@ def _from_planes(raw: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
 
 
-def verified(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar, by their exact intersection."""
+def intersections(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Exact sizes of the intersections of each left set with each right one.
 
-    def run(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                x, y = ([_from_planes(b) for b in part.column(i).to_pylist()] for i in (2, 3))
-                sizes = np.array([len(a) + len(b) for a, b in zip(x, y, strict=True)], np.int64)
-                index = np.arange(part.num_rows, dtype=np.uint64) << np.uint64(BITS)
-                keys = np.sort(np.concatenate([a | i for a, i in zip(x, index, strict=True)] + [b | i for b, i in zip(y, index, strict=True)]))
-                shared = np.bincount((keys[1:][keys[1:] == keys[:-1]] >> np.uint64(BITS)).astype(np.int64), minlength=part.num_rows)
-                ok = den * shared >= num * (sizes - shared)
-                yield pa.RecordBatch.from_arrays([part.column(i).filter(pa.array(ok)) for i in (0, 1)], names=["a", "b"])
-
-    classes = keep(pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).distinct())
-    sets = _of_classes(texts, classes, k, "elements", _planes)
-    of = lambda name: sets.select(F.col("class").alias(name), F.col("elements").alias(f"set_{name}"))
-    return keep(pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long"))
+    Elements that a tenth of the sets hold are counted by products of 0-1 matrices, the others by their pairs of holders.
+    """
+    m = len(sets)
+    sizes = np.fromiter(map(len, sets), np.int64, m)
+    element = np.concatenate(sets)
+    owner = np.repeat(np.arange(m), sizes)
+    order = np.argsort(element, kind="stable")
+    element, owner = element[order], owner[order]
+    start = np.flatnonzero(np.concatenate(([True], element[1:] != element[:-1])))
+    holders = np.diff(np.append(start, len(element)))
+    place_l, place_r = np.full(m, -1), np.full(m, -1)
+    place_l[left], place_r[right] = np.arange(len(left)), np.arange(len(right))
+    out = np.zeros((len(left), len(right)), np.float64)
+    often = np.flatnonzero((holders > 1) & (holders * 10 >= m))
+    step = max(64, (1 << 23) // m)
+    for at in range(0, len(often), step):
+        use = often[at : at + step]
+        rows = owner[textops.ragged(start[use], holders[use])]
+        column = np.repeat(np.arange(len(use)), holders[use])
+        grid = np.zeros((m, len(use)), np.float32)
+        grid[rows, column] = 1
+        out += grid[left] @ grid[right].T  # counts below 2^24: exact
+    rare = np.flatnonzero((holders > 1) & (holders * 10 < m))
+    for p in np.unique(holders[rare]).tolist():
+        use = rare[holders[rare] == p]
+        for at in range(0, len(use), max(1, (1 << 21) // (p * p))):
+            held = owner[start[use[at : at + max(1, (1 << 21) // (p * p))]][:, None] + np.arange(p)[None]]
+            a = np.broadcast_to(place_l[held][:, :, None], (len(held), p, p)).ravel()
+            b = np.broadcast_to(place_r[held][:, None, :], (len(held), p, p)).ravel()
+            ok = (a >= 0) & (b >= 0)
+            out += np.bincount(a[ok] * len(right) + b[ok], minlength=out.size).reshape(out.shape)
+    return out.astype(np.int64)
+
+
+def linked_forest(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
+    """Spanning forest of the similar pairs between left and right sets (all sets, if both are the same)."""
+    if len(sets) == 2:
+        shared = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
+        return [(0, 1)] if den * shared >= num * (len(sets[0]) + len(sets[1]) - shared) else []
+    same = len(left) == len(right) == len(sets)
+    shared = intersections(sets, left, right)
+    n = np.fromiter(map(len, sets), np.int64, len(sets))
+    link = den * shared >= num * (n[left][:, None] + n[right][None] - shared)
+    open_l, open_r, out = np.ones(len(left), bool), np.ones(len(right), bool), []
+    for root in range(len(left)):
+        if not open_l[root]:
+            continue
+        rows, open_l[root] = np.array([root]), False
+        if same:
+            open_r[root] = False
+        while len(rows):
+            columns = np.flatnonzero(link[rows].any(0) & open_r)
+            open_r[columns] = False
+            out += [(int(left[root]), int(right[c])) for c in columns.tolist()]
+            if same:
+                rows, open_l[columns] = columns, False
+            else:
+                rows = np.flatnonzero(link[:, columns].any(1) & open_l)
+                open_l[rows] = False
+                out += [(int(left[root]), int(left[r])) for r in rows.tolist()]
+    return out
 
 
 def class_components(texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """(class, component) of all classes that are linked with another one; the component is a class as well."""
+    """(class, component) of all classes that are linked with another one; the component is a class as well. Kept."""
     spark = texts.sparkSession
 
     def keys(batch):
@@ -294,46 +383,39 @@ def class_components(texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
         found, row = signatures(sets, offsets, num, den)
         return found, set_hashes(sets, offsets)[row]
 
-    def star(pivots: DataFrame) -> DataFrame:
-        """Links of the classes of each signature with its pivot."""
-        pairs = shared.join(pivots, "sig").where("class != pivot").select(F.least("class", "pivot").alias("a"), F.greatest("class", "pivot").alias("b")).distinct()
-        found = verified(fitting(pairs, sketches, num, den), texts, k, num, den)
-        release(spark)
-        return found
+    shared = keep(shared_pairs(texts, keys, width(spark)).withColumnsRenamed({"key": "sig", "owner": "class"}))
+    sketches = keep(_of_classes(texts, shared.select("class").distinct(), k, "bits", sketches_of))
+    family = families(shared, sketches, num, den)
+    free(shared)
+    sized = family.join(sketches.select("class", "n"), "class")
+    blocks = F.greatest(F.ceil(F.sum("n") / FAMILY_ELEMENTS), F.ceil(F.count("*") / BLOCK)).cast("int").alias("q")
+    placed = keep(family.join(sized.groupBy("component").agg(blocks), "component"))
+    free(sketches)
+    sets = _of_classes(texts, placed, k, "elements", lambda sets, offsets, use: [_planes(sets[offsets[i] : offsets[i + 1]]) for i in use])
+    rows = sets.join(placed, "class").withColumn("mine", F.pmod(F.xxhash64("class"), F.col("q")).cast("int"))
+    dealt = rows.select("component", _blocks(), "mine", "class", "elements").select("component", "ij.i", "ij.j", "mine", "class", "elements")
 
-    def place(links: DataFrame) -> DataFrame:
-        return components(links).withColumnRenamed("id", "class")
+    def run(batches):
+        out, held = [], 0
+        for _, i, j, mine, classes, blobs in groups(batches, 3):
+            left = np.flatnonzero(mine == i[0])
+            right = np.flatnonzero(mine == j[0])
+            if not len(left) or not len(right) or len(classes) < 2:
+                continue
+            got = linked_forest([_from_planes(x) for x in blobs], left, right, num, den)
+            if got:
+                out.append(classes[np.array(got)])
+                held += len(got)
+            if held >= 1 << 16:
+                yield _edges(out)
+                out, held = [], 0
+        if out:
+            yield _edges(out)
 
-    shared = keep(shared_pairs(texts, keys, width(spark)).withColumnsRenamed({"key": "sig", "owner": "class"}))
-    release(spark)  # the signatures' shuffle is the largest
-    sketches = _of_classes(texts, shared.select("class").distinct(), k, "bits", sketch)
-    smallest = keep(shared.groupBy("sig").agg(F.min("class").alias("pivot")))
-    links = star(smallest)
-    # Then the class with the most links: the centre of a group of near copies reaches most of them.
-    degree = links.select(F.col("a").alias("class")).union(links.select(F.col("b").alias("class"))).groupBy("class").agg(F.count("*").alias("degree"))
-    central = keep(shared.join(keep(degree), "class").groupBy("sig").agg(F.max_by("class", "degree").alias("pivot")))
-    links = links.union(star(central)).distinct()
-    labels = place(links)
-    release(spark)
-    # A pivot's pairs have all been seen; what is left of a signature needs two classes to make a pair.
-    rest = shared.join(smallest, "sig").where("class != pivot").drop("pivot").join(central, "sig", "left").where("pivot is null or class != pivot").drop("pivot")
-    rest = keep(rest)
-    crowded = keep(rest.join(keep(rest.groupBy("sig").agg(F.count("*").alias("m")).where("m > 1").select("sig")), "sig"))
-    every = False
-    while True:
-        label = lambda df, c, out: df.join(labels.withColumnsRenamed({"class": c, "component": "_to"}), c, "left").withColumn(out, F.coalesce("_to", c)).drop("_to")  # noqa: B023, E731
-        found = fitting_within(label(crowded, "class", "of"), sketches, num, den, every)
-        new = verified(fitting(found.select("a", "b").distinct(), sketches, num, den), texts, k, num, den)
-        if new.limit(1).count():
-            links = keep(links.union(new))
-            labels = place(links)
-        # Components of which a task left pairs out and which are still apart need all their pairs looked at.
-        apart = label(label(found.where("more").select("lo", "hi").distinct(), "lo", "x"), "hi", "y").where("x != y")
-        if every or not apart.limit(1).count():
-            return labels
-        left = keep(apart.select(F.col("x").alias("of")).union(apart.select(F.col("y").alias("of"))).distinct())
-        crowded = keep(label(crowded, "class", "of").join(left, "of", "left_semi").select("sig", "class"))
-        every = True
+    order = dealt.repartition(width(spark), "component", "i", "j").sortWithinPartitions("component", "i", "j")
+    found = components(order.mapInArrow(run, "a long, b long")).withColumnRenamed("id", "class")
+    free(family, placed)
+    return found
 
 
 def document_sets(docs: DataFrame, k: int, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -348,27 +430,56 @@ def document_sets(docs: DataFrame, k: int, id_column: str = "doc_id", text_colum
     return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, n_shingles long, class long")
 
 
-def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest doc_id reachable by links) of every document."""
+def _labelled(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """doc_id, n_shingles, class of every document, and class, component_id of every class that has a shingle. Both kept."""
     base = keep(document_sets(docs, k))
-    texts = docs.select(F.col("text").cast("string").alias("text"))
-    labels = class_components(texts, k, num, den)
-    release(docs.sparkSession)
+    labels = class_components(docs.select(F.col("text").cast("string").alias("text")), k, num, den)
     full = base.where("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("least"))
     of_class = keep(full.join(labels, "class", "left").select("class", "least", F.coalesce("component", "class").alias("of")))
-    least = keep(of_class.groupBy("of").agg(F.min("least").alias("component_id")))
-    of_class = keep(of_class.join(least, "of").select("class", "component_id"))
+    least = of_class.groupBy("of").agg(F.min("least").alias("component_id"))
+    return base, keep(of_class.join(least, "of").select("class", "component_id"))
+
+
+def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> DataFrame:
+    """doc_id, n_shingles, component_id (the smallest doc_id reachable by links) of every document."""
+    base, of_class = _labelled(docs, k, num, den)
     alone = base.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     linked = base.where("n_shingles > 0").join(of_class, "class").select("doc_id", "n_shingles", "component_id")
     return linked.union(alone)
 
 
 def drop_near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """One document of each group of near copies: the one of the smallest id, once. Rows with a null id stay."""
-    found = jaccard_components(docs, k, num, den)
-    keepers = keep(found.where("doc_id = component_id").select("doc_id").distinct())
-    numbered = docs.join(keepers, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return numbered.select(*docs.columns).union(docs.where(F.col("doc_id").isNull()))
+    """One row of each group of near copies: of its smallest id the text of the smallest class, and of rows alike in both the
+    first by text and all other columns. Rows without words are linked with nothing: one of each id stays. An id on texts
+    of several groups stays once in each that it is the smallest of. Rows with a null id stay."""
+    base, of_class = _labelled(docs, k, num, den)
+    known = base.where("doc_id is not null").join(of_class, "class", "left")
+    # Copies of an id are counted, so that only ids that repeat are ever compared row by row.
+    mine = known.where("component_id is null or doc_id = component_id").groupBy("doc_id", "component_id", "class").agg(F.count("*").alias("rows"))
+    first = mine.groupBy("doc_id", "component_id").agg(F.min("class").alias("class"), F.min_by("rows", "class").alias("rows"))
+    id_name, class_name, its_id, its_class = (fresh(docs, x) for x in ("_id", "_class", "_its_id", "_its_class"))
+    chosen = keep(first.select(F.col("doc_id").alias(its_id), F.col("class").alias(its_class), "rows"))
+
+    def rows_of(wanted: DataFrame) -> DataFrame:
+        table = BitTable(wanted, its_class)
+
+        def mark(batches):
+            for batch in small_batches(batches):
+                h = set_hashes(*shingle_sets(batch.column(batch.schema.get_field_index("text")), k))
+                use = pa.array(table.may_hold(h))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(h)], names=[*batch.schema.names, class_name]).filter(use)
+
+        schema = StructType([*docs.schema.fields, StructField(class_name, LongType())])
+        marked = docs.mapInArrow(mark, schema).withColumn(id_name, F.col("doc_id"))
+        return marked.join(wanted, (F.col(id_name) == F.col(its_id)) & (F.col(class_name) == F.col(its_class)), "left_semi")
+
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    out = rows_of(chosen.where("rows = 1")).select(*columns)
+    if chosen.where("rows > 1").limit(1).count():
+        row = F.struct(*columns)
+        least = rows_of(chosen.where("rows > 1")).groupBy(id_name, class_name).agg(F.min_by(row, F.struct(F.col("text").cast("string"), F.to_json(row))).alias("_row"))
+        out = out.union(least.select("_row.*"))
+    return out.union(docs.where(F.col("doc_id").isNull()))
 
 
 ORACLE = r"""

@@ -16,10 +16,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenspark.llm import textops
+from lumenspark.llm.shared import tidy
 
 SMALL_ROWS = 4096
 FLUSH = 1 << 20
-SKETCH_BITS = 26
+BITS_EACH = 128
+MOST_BITS = 28
 
 _PAIR = [("k", np.uint64), ("o", np.int64)]
 
@@ -48,11 +50,14 @@ def small_batches(batches, column: str = "text"):
             yield batch.slice(at, SMALL_ROWS)
 
 
-def shared_pairs(df: DataFrame, keys_of: Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray]], parts: int) -> DataFrame:
+def shared_pairs(df: DataFrame, keys_of: Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray]], parts: int, buckets: int = 0) -> DataFrame:
     """(key, owner) of all keys that at least two owners have, once each.
 
-    ``keys_of`` gives the unsigned 64-bit keys and the owners of a batch of ``df``, which has a column text.
+    ``keys_of`` gives the unsigned 64-bit keys and the owners of a batch of ``df``, which has a column text. Keys are dealt
+    into ``buckets`` (several a partition), and a counting task holds one bucket at a time: Spark sorts its rows by bucket,
+    and spills them if it must.
     """
+    buckets = buckets or parts * max(1, min(16, 4096 // parts))
 
     def emit(batches):
         waiting: list[np.ndarray] = []
@@ -71,15 +76,15 @@ def shared_pairs(df: DataFrame, keys_of: Callable[[pa.RecordBatch], tuple[np.nda
             many = ~first
             many[:-1] |= ~first[1:]
             goes = np.flatnonzero(first)
-            to = (k[goes] % np.uint64(parts)).astype(np.int64)
+            to = (k[goes] % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(to, kind="stable")
             goes = goes[order]
-            cuts = np.searchsorted(to[order], np.arange(parts + 1)).tolist()
-            rows = [(p, _pack(pairs[goes[cuts[p] : cuts[p + 1]]]), np.packbits(many[goes[cuts[p] : cuts[p + 1]]]).tobytes(), b"") for p in range(parts) if cuts[p + 1] > cuts[p]]
+            cuts = np.searchsorted(to[order], np.arange(buckets + 1)).tolist()
+            rows = [(p, _pack(pairs[goes[cuts[p] : cuts[p + 1]]]), np.packbits(many[goes[cuts[p] : cuts[p + 1]]]).tobytes(), b"") for p in range(buckets) if cuts[p + 1] > cuts[p]]
             known = pairs[many]
             for x in np.array_split(known, 1 + len(known) // 4096):
                 if len(x):
-                    rows.append((int(textops.mix(x["k"][:1] + np.uint64(turn))[0] % np.uint64(parts)), b"", b"", x.tobytes()))
+                    rows.append((int(textops.mix(x["k"][:1] + np.uint64(turn))[0] % np.uint64(buckets)), b"", b"", x.tobytes()))
                     turn += 1
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[i] for r in rows], pa.binary()) for i in (1, 2, 3))], names=["p", "counted", "flags", "known"])
 
@@ -94,21 +99,29 @@ def shared_pairs(df: DataFrame, keys_of: Callable[[pa.RecordBatch], tuple[np.nda
                 yield from flush()
         yield from flush()
 
+    def out_of(x: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x["k"]).view(np.int64)), pa.array(np.ascontiguousarray(x["o"]))], names=["key", "owner"])
+
     def count(batches):
-        entries, flags = [], []
+        at, entries, flags = -1, [], []
         for batch in batches:
-            for counted, flag, known in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+            for p, counted, flag, known in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                if p != at:
+                    yield from shared_of(entries, flags)
+                    at, entries, flags = p, [], []
                 if known:
-                    x = np.frombuffer(known, _PAIR)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x["k"]).view(np.int64)), pa.array(np.ascontiguousarray(x["o"]))], names=["key", "owner"])
+                    yield out_of(np.frombuffer(known, _PAIR))
                 if counted:
                     x = _unpack(counted)
                     entries.append(x)
                     flags.append(np.unpackbits(np.frombuffer(flag, np.uint8), count=len(x)).astype(bool))
+        yield from shared_of(entries, flags)
+
+    def shared_of(entries: list[np.ndarray], flags: list[np.ndarray]):
+        """Entries of a bucket whose key another owner has too."""
         if not entries:
             return
         x, flag = np.concatenate(entries), np.concatenate(flags)
-        entries.clear()
         order = np.argsort(x["k"], kind="stable")
         k = x["k"][order]
         same = k[1:] == k[:-1]
@@ -122,13 +135,12 @@ def shared_pairs(df: DataFrame, keys_of: Callable[[pa.RecordBatch], tuple[np.nda
             start = np.flatnonzero(np.concatenate(([True], ~same)))
             low, high, flagged = np.minimum.reduceat(o, start), np.maximum.reduceat(o, start), np.maximum.reduceat(f, start)
             many &= ((low != high) | flagged)[run]
-            use = many & ~f
-            k, o = np.ascontiguousarray(k[use]).view(np.int64), np.ascontiguousarray(o[use])
-            for at in range(0, len(k), 1 << 16):
-                yield pa.RecordBatch.from_arrays([pa.array(k[at : at + (1 << 16)]), pa.array(o[at : at + (1 << 16)])], names=["key", "owner"])
+            use = order[many & ~f]
+            for at in range(0, len(use), 1 << 16):
+                yield out_of(x[use[at : at + (1 << 16)]])
 
     packed = df.mapInArrow(emit, "p int, counted binary, flags binary, known binary")
-    return packed.repartition(parts, "p").mapInArrow(count, "key long, owner long").distinct()
+    return packed.repartition(parts, "p").sortWithinPartitions("p").mapInArrow(count, "key long, owner long").distinct()
 
 
 def _array(c) -> np.ndarray:
@@ -136,55 +148,78 @@ def _array(c) -> np.ndarray:
     return c.to_numpy(zero_copy_only=False) if isinstance(c, pa.Array) else c.to_numpy()
 
 
-def groups(batches, keys: int):
-    """Rows of sorted batches as column lists, one group (equal first ``keys`` columns) at a time."""
+def runs(batches, keys: int):
+    """Sorted batches as (columns, starts): whole groups (equal first ``keys`` columns) only, many at a time."""
     held: list[pa.RecordBatch] = []
+    last = None
     for batch in batches:
         if not batch.num_rows:
             continue
+        ends = [batch.column(i)[batch.num_rows - 1].as_py() for i in range(keys)]
+        if last == [batch.column(i)[0].as_py() for i in range(keys)] == ends:  # one group still: no copy of what is held
+            held.append(batch)
+            continue
         table = pa.Table.from_batches([*held, batch]).combine_chunks()
         columns = [_array(c) for c in table.columns]
-        new = np.zeros(table.num_rows, bool)
-        for c in columns[:keys]:
-            new[1:] |= c[1:] != c[:-1]
-        starts = np.concatenate(([0], np.flatnonzero(new)))
-        for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
-            yield [c[a:b] for c in columns]
-        held = table.slice(int(starts[-1])).to_batches()
+        starts = _starts(columns[:keys], table.num_rows)
+        if len(starts) > 1:
+            yield [c[: starts[-1]] for c in columns], starts[:-1]
+        held, last = table.slice(int(starts[-1])).to_batches(), ends
     if held:
-        yield [_array(c) for c in pa.Table.from_batches(held).combine_chunks().columns]
+        columns = [_array(c) for c in pa.Table.from_batches(held).combine_chunks().columns]
+        yield columns, _starts(columns[:keys], len(columns[0]))
+
+
+def _starts(columns: list[np.ndarray], n: int) -> np.ndarray:
+    new = np.zeros(n, bool)
+    new[0] = True
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    return np.flatnonzero(new)
+
+
+def groups(batches, keys: int):
+    """Rows of sorted batches as column lists, one group (equal first ``keys`` columns) at a time."""
+    for columns, starts in runs(batches, keys):
+        for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(columns[0])], strict=True):
+            yield [c[a:b] for c in columns]
 
 
 class BitTable:
-    """Which 64-bit values may be among those of a column: 2^SKETCH_BITS bits, a fixed size whatever the column holds.
+    """Which 64-bit values may be among those of a column: ``BITS_EACH`` bits a value, from 2^16 to 2^MOST_BITS (32 MB).
 
-    When the table fills up it lets more through; what it lets through is always joined exactly afterwards.
+    Beyond 2^MOST_BITS / BITS_EACH values the table fills up and lets more through; what it lets through is always joined
+    exactly afterwards, so it only saves shuffling. 256 rows of it reach the driver.
     """
 
     def __init__(self, df: DataFrame, column: str):
-        place = F.shiftrightunsigned(F.xxhash64(column), 64 - SKETCH_BITS)
-        bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(xxhash64(`{column}`), {64 - SKETCH_BITS}) & 63 as int))")
-        words = df.select(F.shiftright(place, 6).alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
-        per_slice = 1 << (SKETCH_BITS - 6 - 8)
-
-        def slices(batches):
-            """The words of each slice of the table as one binary row: 256 rows reach the driver."""
-            held: dict[int, np.ndarray] = {}
-            for batch in batches:
-                word, bits = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-                for i in np.unique(word // per_slice).tolist():
-                    mine = word // per_slice == i
-                    held.setdefault(i, np.zeros(per_slice, np.int64))[word[mine] % per_slice] = bits[mine]
-            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array([x.tobytes() for x in held.values()], pa.binary())], names=["slice", "words"])
-
-        dealt = words.repartition(min(256, 4 * df.sparkSession.sparkContext.defaultParallelism), F.expr(f"word div {per_slice}"))
-        table = np.zeros(1 << (SKETCH_BITS - 6), np.int64)
-        for row in dealt.mapInArrow(slices, "slice long, words binary").collect():
-            table[row["slice"] * per_slice : (row["slice"] + 1) * per_slice] = np.frombuffer(row["words"], np.int64)
-        self._table = df.sparkSession.sparkContext.broadcast(table)
+        spark = df.sparkSession
+        with tidy(spark):
+            n = df.count()
+            self.bits = bits = min(MOST_BITS, max(16, (BITS_EACH * max(n, 1) - 1).bit_length()))
+            place = F.shiftrightunsigned(F.xxhash64(column), 64 - bits)
+            bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(xxhash64(`{column}`), {64 - bits}) & 63 as int))")
+            words = df.select(F.shiftright(place, 6).alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+            per_slice = 1 << (bits - 6 - 8)
+
+            def slices(batches):
+                """The words of each slice of the table as one binary row."""
+                held: dict[int, np.ndarray] = {}
+                for batch in batches:
+                    word, value = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+                    for i in np.unique(word // per_slice).tolist():
+                        mine = word // per_slice == i
+                        held.setdefault(i, np.zeros(per_slice, np.int64))[word[mine] % per_slice] = value[mine]
+                yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array([x.tobytes() for x in held.values()], pa.binary())], names=["slice", "words"])
+
+            dealt = words.repartition(min(256, 4 * spark.sparkContext.defaultParallelism), F.expr(f"word div {per_slice}"))
+            table = np.zeros(1 << (bits - 6), np.int64)
+            for row in dealt.mapInArrow(slices, "slice long, words binary").collect():
+                table[row["slice"] * per_slice : (row["slice"] + 1) * per_slice] = np.frombuffer(row["words"], np.int64)
+        self._table = spark.sparkContext.broadcast(table)
 
     def may_hold(self, values: np.ndarray) -> np.ndarray:
-        place = (xxhash64_of_longs(values) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+        place = (xxhash64_of_longs(values) >> np.uint64(64 - self.bits)).astype(np.int64)
         return ((self._table.value[place >> 6] >> (place & 63)) & 1).astype(bool)
 
 

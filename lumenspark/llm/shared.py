@@ -1,46 +1,81 @@
-"""Session helpers: reliable checkpoints, distributed ranks and connected components.
+"""Session helpers: kept tables, distributed ranks and connected components.
 
-Intermediate tables go to the folder in ``spark.checkpoint.dir`` (shared by driver and executors); a folder of our own is
-made only where that setting is missing, as in tests.
+Intermediate tables are Parquet files in the folder that ``spark.checkpoint.dir`` names (shared by driver and executors),
+under one folder for each application. Only in local mode, where that setting is missing as in tests, we make one of our own.
 """
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+_local: dict[str, str] = {}
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder for tables of this run; also sets Spark's own checkpoint folder where it is unset."""
+    """This application's folder for tables. Raises on a cluster that names no shared folder."""
     sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        base = base or tempfile.mkdtemp(prefix="lumenspark-")
-        sc.setCheckpointDir(base)
-    return base or sc._jsc.sc().getCheckpointDir().get()
+    if not base and not sc._jsc.sc().getCheckpointDir().isEmpty():
+        base = sc._jsc.sc().getCheckpointDir().get()
+    if not base:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if sc.applicationId not in _local:
+            _local[sc.applicationId] = tempfile.mkdtemp(prefix="lumenspark-")
+        base = _local[sc.applicationId]
+    return f"{base.rstrip('/')}/lumenspark-{sc.applicationId}"
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def tidy(spark: SparkSession):
+    """Shuffle files of what runs inside go as soon as its result is there."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
 
 
 def keep(df: DataFrame) -> DataFrame:
-    """Computes ``df`` once into the checkpoint folder and cuts its lineage. Spark removes the files with the frame."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Computes ``df`` once into a table of the shared folder: its lineage is cut, and lost executors cost nothing.
 
+    The files stay until ``free`` or ``clean``."""
+    spark, schema = df.sparkSession, df.schema
+    folder = new_folder(spark, "kept")
+    with tidy(spark):
+        df.write.parquet(folder)
+    out = spark.read.schema(schema).parquet(folder)
+    out._kept = folder
+    return out
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark remove the shuffle and checkpoint files of frames that nothing refers to any more. It does so when the
-    driver collects its garbage, which may come late where the driver has little to do."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
 
+def remove(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
-def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+def free(*frames: DataFrame) -> None:
+    """Removes the files of kept frames that nothing will read again."""
+    for df in frames:
+        remove(df.sparkSession, df._kept)
+
+
+def clean(spark: SparkSession) -> None:
+    """Removes all tables that this application's operators left (results that were not read yet too)."""
+    remove(spark, shared_dir(spark))
 
 
 def fresh(df: DataFrame, name: str) -> str:
@@ -75,16 +110,19 @@ ONE_TASK_EDGES = 1 << 20
 
 
 def components(edges: DataFrame, one_task_edges: int = ONE_TASK_EDGES) -> DataFrame:
-    """Smallest id reachable over undirected ``edges`` (a, b): one row (id, component) for each id in an edge.
+    """Smallest id reachable over undirected ``edges`` (a, b): one row (id, component) for each id in an edge. Kept.
 
-    Up to ``one_task_edges`` distinct edges (16 MB) are settled by one task. Beyond, each round every id takes the smallest
-    label among its neighbours and then the label of that label (pointer jumping), so labels fall along long paths in a
-    number of rounds that grows with the logarithm of their length. Hot ids are pre-aggregated (``min``) before they are
-    shuffled. Only counts reach the driver.
+    Each task first settles the edges that it has, in bounded pieces, which leaves at most one edge for each of their ids.
+    What is left then goes in rounds: every id takes the smallest label among its neighbours and then the label of that
+    label (pointer jumping), so labels fall along long paths in a number of rounds that grows with the logarithm of their
+    length. Hot ids are pre-aggregated (``min``) before they are shuffled. Rounds end early where at most
+    ``one_task_edges`` edges (16 MB) are left, which one task settles. Only counts reach the driver.
     """
-    each = keep(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a != b").distinct())
+    each = keep(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a != b").mapInArrow(_contract, "a long, b long").distinct())
     if each.count() <= one_task_edges:
-        return keep(each.coalesce(1).mapInArrow(_settle, "id long, component long"))
+        out = keep(each.coalesce(1).mapInArrow(_settle, "id long, component long"))
+        free(each)
+        return out
     both = keep(each.union(each.select(F.col("b").alias("a"), F.col("a").alias("b"))))
     labels = keep(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("id")).alias("component")))
     while True:
@@ -95,19 +133,19 @@ def components(edges: DataFrame, one_task_edges: int = ONE_TASK_EDGES) -> DataFr
         step = keep(lower.join(hooks, "id", "left").select("id", "was", F.least("to", F.coalesce("hook", "to")).alias("to")))
         up = step.select(F.col("id").alias("to"), F.col("to").alias("up"))
         new = keep(step.join(up, "to", "left").select("id", "was", F.least("to", F.coalesce("up", "to")).alias("component")))
-        if not new.where("component != was").limit(1).count():
-            return labels
+        free(step)
+        moved = new.where("component != was").limit(1).count()
+        free(labels)
         labels = new.select("id", "component")
+        labels._kept = new._kept
+        if not moved:
+            free(each, both)
+            return labels
 
 
-def _settle(batches):
-    """Components of all edges of one task, by the same rounds on arrays."""
-    ends = [np.stack((b.column(0).to_numpy(), b.column(1).to_numpy())) for b in batches if b.num_rows]
-    if not ends:
-        return
-    ids, place = np.unique(np.concatenate(ends, 1), return_inverse=True)
-    a, b = place.reshape(2, -1)
-    label = np.arange(len(ids))
+def _labels(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """Smallest place reachable from each of n places, by the same rounds on arrays."""
+    label = np.arange(n)
     while True:
         low = np.minimum(label[a], label[b])
         new = label.copy()
@@ -115,6 +153,43 @@ def _settle(batches):
             np.minimum.at(new, side, low)
         new = new[new]
         if (new == label).all():
-            break
+            return label
         label = new
-    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids[label])], names=["id", "component"])
+
+
+def _settled(ends: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    ids, place = np.unique(np.concatenate(ends, 1), return_inverse=True)
+    a, b = place.reshape(2, -1)
+    return ids, ids[_labels(a, b, len(ids))]
+
+
+def _ends(batch: pa.RecordBatch) -> np.ndarray:
+    return np.stack((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
+
+
+def _contract(batches):
+    """Edges of each piece of a task as stars around the smallest id."""
+    held, n = [], 0
+
+    def flush():
+        ids, label = _settled(held)
+        use = ids != label
+        return pa.RecordBatch.from_arrays([pa.array(label[use]), pa.array(ids[use])], names=["a", "b"])
+
+    for batch in batches:
+        if batch.num_rows:
+            held.append(_ends(batch))
+            n += batch.num_rows
+        if n >= 1 << 20:
+            yield flush()
+            held, n = [], 0
+    if held:
+        yield flush()
+
+
+def _settle(batches):
+    """Components of all edges of one task."""
+    ends = [_ends(b) for b in batches if b.num_rows]
+    if ends:
+        ids, label = _settled(ends)
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(label)], names=["id", "component"])

@@ -131,7 +131,10 @@ def test_every_similar_pair_shares_a_signature():
                 continue
             keys, row = jaccard.signatures(np.concatenate((a, b)), np.array([0, len(a), len(a) + len(b)]), num, den)
             assert np.intersect1d(keys[row == 0], keys[row == 1]).size
-            assert np.bitwise_count(np.frombuffer(jaccard.parities(a), np.uint8) ^ np.frombuffer(jaccard.parities(b), np.uint8)).sum() <= len(np.setxor1d(a, b))
+            offsets = np.array([0, len(a), len(a) + len(b)])
+            bits = jaccard.sketches_of(np.concatenate((a, b)), offsets, [0, 1])
+            fits = jaccard.Sketches(np.diff(offsets), bits, num, den).fit(0, np.array([1]))
+            assert fits.tolist() == [1] and len(jaccard._fitting_twos(np.array([0]), np.array([5, 6]), np.diff(offsets), np.array(bits, object), num, den)) == 1
 
 
 def test_shared_pairs_equal_brute_force(spark, monkeypatch):
