@@ -2,24 +2,27 @@
 
 Only suffixes at content-selected positions are kept: in every window of ``LENGTH`` words the leftmost minimum among the
 hashes of its ``HEAD``-word runs (a minimiser). Two equal passages of LENGTH words choose the same position in them, so a
-repeated passage always holds a kept suffix on both sides.
-
-1. The kept suffixes' heads are sorted and neighbours compared (in packed arrays, see ``packed``): what stays are suffixes
-   that begin like one of another document, about one to LENGTH / 3 words of those documents.
-2. Each is extended to the left and right over all windows that chose it. Where the whole stretch equals another
-   document's, it is repeated; unless all stretches around a head are one, its windows of LENGTH words are compared one by
-   one, which finds a passage's exact ends and all its holders.
-3. Repeated windows of a document that touch or overlap are one span. A span says which is the smallest and the largest
-   document that shares part of it.
-
-Words are runs of other than white space and compared by 64-bit hashes, case matters. Repetition is across documents: rows
-with one id are one document, and what a document repeats only within itself is left alone.
-
-Every step groups by content and is pre-aggregated or joined by splittable sort-merge joins; a passage that a third of all
-documents share costs each of them a few rows and no task all of them.
-
-Edge cases: null, empty and shorter texts hold no passage; rows with a null id take no part and are never cut; an empty
-table gives no rows.
+repeated passage always holds a kept suffix on both sides. A kept suffix and the windows that chose it make a stretch.
+
+1. Suffixes whose head (first HEAD words) no other document has go, by sorting packed heads (see ``packed``). Stretches that
+   are equal as a whole are one from here on, with the smallest and the largest document that has them.
+2. Where different stretches share a head, their suffixes are sorted by their words over all partitions (the sparse suffix
+   array; a word counts as its 32-bit hash) and each is compared with its neighbours: the longer common prefix says how far
+   any match extends to the right. Windows that it does not fill are unique and go.
+3. What is left is extended to the left word by word: equal windows of LENGTH words are brought together by content, which
+   gives the exact ends of each passage and the smallest and largest of all its holders.
+4. Repeated windows of a document that touch or overlap are one span.
+
+Words are runs of other than white space, case matters. Repetition is across documents: rows with one id are one document.
+``within`` also reports what a document repeats only in itself.
+
+Scale: heads are counted in buckets, suffixes are dealt by ranges (a head that a third of all documents share spreads over
+many tasks; a range's first and last suffix count as matched, which only saves less), and everything else is pre-aggregated
+or joined by splittable sort-merge joins. A passage that many documents share costs each of them a few rows and no task all
+of them.
+
+Edge cases: null, empty and shorter texts hold no passage; rows with a null id take no part and are never cut; ids may be of
+any type that has an order; other columns stay whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ from pyspark.sql import functions as F
 
 from lumenspark.llm import textops
 from lumenspark.llm.packed import BitTable, shared_pairs, small_batches
-from lumenspark.llm.shared import fresh, keep, width
+from lumenspark.llm.shared import free, fresh, keep, width
 
 LENGTH = 50
 HEAD = 16
@@ -90,51 +93,166 @@ def _rows_of(words: np.ndarray, t: textops.Tokens) -> np.ndarray:
     return np.searchsorted(t.row_start, words, "right") - 1
 
 
-def repeated_windows(docs: DataFrame, length: int = LENGTH, head: int = HEAD) -> DataFrame:
+def _short(h: np.ndarray) -> np.ndarray:
+    """32 bits of word hashes, never 0 (which stands for no word)."""
+    return np.maximum(h >> np.uint64(32), np.uint64(1)).astype(np.uint32)
+
+
+def _padded(words: np.ndarray, first: np.ndarray, count: np.ndarray, to_right: bool, width: int) -> np.ndarray:
+    """Words first .. first + count - 1 of each entry as a row of ``width``, at its left or right end."""
+    out = np.zeros((len(first), width), np.uint32)
+    column = textops.ragged((width - count) if to_right else np.zeros(len(count), np.int64), count)
+    out[np.repeat(np.arange(len(first)), count), column] = words[textops.ragged(first, count)]
+    return out
+
+
+def common_prefixes(rows: np.ndarray) -> np.ndarray:
+    """Words that each row shares with the one before it (0 for the first)."""
+    out = np.zeros(len(rows), np.int64)
+    if len(rows) > 1:
+        same = (rows[1:] == rows[:-1]) & (rows[1:] > 0)
+        out[1:] = np.where(same.all(1), rows.shape[1], (~same).argmax(1))
+    return out
+
+
+def repeated_windows(docs: DataFrame, length: int = LENGTH, head: int = HEAD, within: bool = False) -> DataFrame:
     """(doc_id, first, end, low, high): stretches of words [first, end) whose windows of ``length`` words other documents
     have, and the smallest and largest document that has them. Stretches of one document may overlap."""
     spark = docs.sparkSession
-    source = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    source = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.xxhash64("doc_id").alias("owner"), F.col("text").cast("string").alias("text"))
+    kind = source.schema["doc_id"].dataType.simpleString()
+    reach = length - head
 
     def head_keys(batch):
-        t = textops.tokenize_column(batch.column(1))
+        t = textops.tokenize_column(batch.column(2))
         h, at, _, _ = kept_suffixes(t, length, head)
-        return h, batch.column(0).to_numpy()[_rows_of(at, t)]
+        row = _rows_of(at, t)
+        owner = batch.column(1).to_numpy()[row]
+        if within:  # each place counts, not each document
+            owner = textops.mix(owner.view(np.uint64) + (at - t.row_start[row]).astype(np.uint64) * np.uint64(_M)).view(np.int64)
+        return h, owner
 
-    shared = keep(shared_pairs(source, head_keys, width(spark)))
+    shared = keep(shared_pairs(source, head_keys, width(spark)).select("key").distinct())
     table = BitTable(shared, "key")
 
-    def extend(batches):
+    def stretches_of(batch, table):
+        """Kept suffixes that the table lets through: tokens, head, place, first and last window, row, hash of the stretch."""
+        t = textops.tokenize_column(batch.column(2))
+        h, at, first, last = kept_suffixes(t, length, head)
+        use = table.may_hold(h.view(np.int64))
+        h, at, first, last = h[use], at[use], first[use], last[use]
+        sums, inverse = _prefix_sums(t.hashes)
+        return t, h, at, first, last, _rows_of(at, t), _stretch(sums, inverse, first, last + length)
+
+    def places(batches):
         for batch in small_batches(batches):
-            t = textops.tokenize_column(batch.column(1))
-            h, at, first, last = kept_suffixes(t, length, head)
-            use = table.may_hold(h.view(np.int64))
-            h, at, first, last = h[use], at[use], first[use], last[use]
-            sums, inverse = _prefix_sums(t.hashes)
-            row = _rows_of(at, t)
-            whole = _stretch(sums, inverse, first, last + length)
-            windows = textops.ragged(first, last - first + 1)
-            ends = np.zeros(len(first) + 1, np.int32)
-            np.cumsum(last - first + 1, out=ends[1:])
-            each = pa.ListArray.from_arrays(pa.array(ends), pa.array(_stretch(sums, inverse, windows, windows + length).view(np.int64)))
+            t, h, _, first, last, row, whole = stretches_of(batch, table)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(row)), pa.array(h.view(np.int64)), pa.array(first - t.row_start[row]), pa.array(last + length - t.row_start[row]), pa.array(whole.view(np.int64)), each],
-                names=["doc_id", "key", "first", "end", "whole", "windows"],
+                [batch.column(0).take(pa.array(row)), *(pa.array(x) for x in (h.view(np.int64), whole.view(np.int64), (first - t.row_start[row]).astype(np.int32), (last + length - t.row_start[row]).astype(np.int32)))],
+                names=["doc_id", "key", "whole", "first", "end"],
             )
 
     # The bit table lets few others through; the join makes it exact.
-    found = source.mapInArrow(extend, "doc_id long, key long, first long, end long, whole long, windows array<long>")
-    found = keep(found.join(shared.withColumnRenamed("owner", "doc_id"), ["key", "doc_id"]))
-    bounds = lambda df, *by: keep(df.groupBy(*by).agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")))
-    wholes = bounds(found.select("key", "whole", "doc_id"), "key", "whole")
-    # Where all stretches around a head are one, that settles its windows; else any other stretch may have some of them.
-    alone = wholes.groupBy("key").agg((F.min("whole") == F.max("whole")).alias("alone"))
-    wholes = keep(wholes.join(alone, "key").where("low != high"))
-    joined = keep(found.join(wholes, ["key", "whole"], "left").select("doc_id", "first", "end", "low", "high", F.when(F.coalesce("alone", F.lit(False)), F.lit(None)).otherwise(F.col("windows")).alias("windows")))
-    rest = joined.where("windows is not null").select("doc_id", "first", F.posexplode("windows").alias("at", "window")).select("doc_id", (F.col("first") + F.col("at")).alias("first"), "window")
-    rest = keep(rest)
-    single = rest.join(bounds(rest.select("window", "doc_id"), "window").where("low != high"), "window").select("doc_id", "first", (F.col("first") + length).alias("end"), "low", "high")
-    return joined.where("low is not null").select("doc_id", "first", "end", "low", "high").union(single)
+    found = source.mapInArrow(places, f"doc_id {kind}, key long, whole long, first int, end int")
+    found = keep(found.join(shared, "key", "left_semi"))
+    free(shared)
+    repeated = F.expr("low != high or n > 1" if within else "low != high")
+    wholes = keep(found.groupBy("key", "whole").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n")))
+    # Where all stretches around a head are one, that settles its windows.
+    contested = keep(wholes.groupBy("key").agg(F.min("whole").alias("a"), F.max("whole").alias("b")).where("a != b").select("key"))
+    contested_table = BitTable(contested, "key")
+
+    def contexts(batches):
+        seen: set[int] = set()
+        for batch in small_batches(batches):
+            t, h, at, first, last, _, whole = stretches_of(batch, contested_table)
+            use = []
+            for i, x in enumerate(whole.tolist()):
+                if x not in seen:
+                    seen.add(x)
+                    use.append(i)
+            if len(seen) > 500_000:
+                seen.clear()
+            words = _short(t.hashes)
+            h, at, first, last, whole = (x[use] for x in (h, at, first, last, whole))
+            right = _padded(words, at, last + length - at, False, length).astype(">u4")  # its bytes have the order of its words
+            left = _padded(words, first, at - first, True, reach)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(whole.view(np.int64)), pa.array([x.tobytes() for x in right], pa.binary()), pa.array([x.tobytes() for x in left], pa.binary()), pa.array((last - first + 1).astype(np.int32))], names=["key", "whole", "right", "left", "windows"])
+
+    each = source.mapInArrow(contexts, "key long, whole long, right binary, left binary, windows int")
+    each = each.groupBy("key", "whole").agg(*(F.first(c).alias(c) for c in ("right", "left", "windows")))
+    suffixes = each.join(wholes.join(contested, "key", "left_semi"), ["key", "whole"])
+    array = keep(suffixes.repartitionByRange(width(spark), "key", "right", "left").sortWithinPartitions("key", "right", "left"))
+    free(contested)
+
+    def compare(batches):
+        """Windows that the longer common prefix with a neighbour fills, with a hash of their words."""
+        held, edge = None, True  # the last row waits for the next one
+
+        def windows(t: pa.Table, before: bool, after: bool):
+            """Of all rows but the first and last, which only are neighbours; ``before`` and ``after``: they are, too."""
+            key = t["key"].to_numpy()
+            right = np.frombuffer(b"".join(t["right"].to_pylist()), ">u4").reshape(len(key), length).astype(np.uint32)
+            lcp = common_prefixes(right)
+            lcp[1:][key[1:] != key[:-1]] = 0
+            most = np.maximum(lcp, np.append(lcp[1:], 0))
+            if before:
+                most[0] = length
+            if after:
+                most[-1] = length
+            rows = np.arange(0 if before else 1, len(key) if after else len(key) - 1)
+            words = np.concatenate((np.frombuffer(b"".join(t["left"].to_pylist()), "<u4").reshape(len(key), reach), right), 1)
+            own = (words[:, :reach] > 0).sum(1)
+            sums, inverse = _prefix_sums_of_rows(words)
+            n = t["windows"].to_numpy()
+            for back in range(reach + 1):
+                at = own - back
+                mine = rows[((at >= 0) & (at < n) & (length - back <= most))[rows]]
+                if len(mine):
+                    h = textops.mix((sums[mine, reach - back + length] - sums[mine, reach - back]) * inverse[reach - back])
+                    h = textops.mix(h ^ key[mine].view(np.uint64))
+                    part = t.select(["key", "whole", "low", "high", "n"]).take(pa.array(mine))
+                    part = part.append_column("at", pa.array(at[mine].astype(np.int32))).append_column("window", pa.array(h.view(np.int64)))
+                    yield from part.combine_chunks().to_batches()
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            t = pa.Table.from_batches([batch])
+            if held is not None:
+                t = pa.concat_tables([held, t])
+            if t.num_rows > 2:
+                yield from windows(t, edge, False)
+                held, edge = t.slice(t.num_rows - 2), False
+            else:
+                held = t
+        if held is not None:
+            yield from windows(held, edge, True)
+
+    low_kind = f"low {kind}, high {kind}"
+    candidates = keep(array.mapInArrow(compare, f"key long, whole long, {low_kind}, n long, at int, window long"))
+    free(array)
+    passages = candidates.groupBy("window").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n")).where(repeated).drop("n")
+    matched = candidates.select("key", "whole", "at", "window").join(passages, "window")
+    # Windows that follow each other and have the same holders become one; a stretch has LENGTH - HEAD + 1 at most.
+    order = Window.partitionBy("key", "whole", "low", "high").orderBy("at")
+    joined = matched.withColumn("run", F.col("at") - F.row_number().over(order)).groupBy("key", "whole", "low", "high", "run").agg(F.min("at").alias("a"), F.max("at").alias("b"))
+    matches = keep(joined.select("key", "whole", "low", "high", "a", "b"))
+    free(candidates)
+    settled = found.join(wholes.where(repeated), ["key", "whole"]).select("doc_id", "first", "end", "low", "high")
+    extended = found.join(matches, ["key", "whole"]).select("doc_id", (F.col("first") + F.col("a")).alias("first"), (F.col("first") + F.col("b") + length).alias("end"), "low", "high")
+    return settled.union(extended).select("doc_id", *(F.col(c).cast("long").alias(c) for c in ("first", "end")), "low", "high")
+
+
+def _prefix_sums_of_rows(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As ``_prefix_sums``, for each row of a matrix."""
+    power = np.full(words.shape[1], _M, np.uint64)
+    power[0] = 1
+    inverse = np.full(words.shape[1] + 1, _M_INV, np.uint64)
+    inverse[0] = 1
+    sums = np.zeros((len(words), words.shape[1] + 1), np.uint64)
+    np.cumsum(textops.mix(words.astype(np.uint64)) * np.cumprod(power, dtype=np.uint64), axis=1, out=sums[:, 1:])
+    return sums, np.cumprod(inverse, dtype=np.uint64)
 
 
 def merge_spans(stretches: DataFrame) -> DataFrame:
@@ -146,9 +264,10 @@ def merge_spans(stretches: DataFrame) -> DataFrame:
     return numbered.groupBy("doc_id", "_span").agg(F.min("first").alias("first_word"), F.max("end").alias("end_word"), F.min("low").alias("least_doc"), F.max("high").alias("greatest_doc")).drop("_span")
 
 
-def repeated_passages(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """Maximal spans of words of each document that lie in passages of ``length`` words or more shared with others."""
-    return merge_spans(repeated_windows(docs, length)).withColumn("n_words", F.col("end_word") - F.col("first_word"))
+def repeated_passages(docs: DataFrame, length: int = LENGTH, within: bool = False) -> DataFrame:
+    """Maximal spans of words of each document that lie in passages of ``length`` words or more shared with others (or, with
+    ``within``, found elsewhere in the same document)."""
+    return merge_spans(repeated_windows(docs, length, within=within)).withColumn("n_words", F.col("end_word") - F.col("first_word"))
 
 
 def cut_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -185,5 +304,5 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             kept = batch.set_column(at, batch.schema.field(at), pa.array(out, batch.schema.field(at).type)).filter(pa.array(stays))
             yield kept.select(columns)
 
-    marked = docs.withColumn(id_name, F.col("doc_id").cast("long")).join(lists, id_name, "left").select(*(f"`{c}`" for c in columns), cuts_name)
+    marked = docs.withColumn(id_name, F.col("doc_id")).join(lists, id_name, "left").select(*(f"`{c}`" for c in columns), cuts_name)
     return marked.mapInArrow(cut, docs.schema)

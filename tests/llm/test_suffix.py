@@ -104,3 +104,25 @@ def test_excerpts_between_copies(spark, n):
         got.setdefault(r["doc_id"], set()).update(range(r["first_word"], r["end_word"]))
         assert r["least_doc"] == r["doc_id"] % 100 and r["greatest_doc"] == 900 + r["doc_id"] % 100
     assert got == brute(rows, 50)
+
+
+def test_string_ids_clashing_columns_and_repeats_within(spark):
+    rng = random.Random(3)
+    text = lambda k: [f"w{rng.randrange(10**9)}" for _ in range(k)]
+    shared, own = text(70), text(55)
+    rows = [("b", " ".join(text(9) + shared)), ("a-1", " ".join(shared + text(4))), ("c", " ".join(own + text(30) + own)), (None, " ".join(shared)), ("d", None)]
+    docs = spark.createDataFrame([(i, t, 1, 2, 3, 4) for i, t in rows], "doc_id string, text string, key int, whole int, _id int, low int")
+    got = {(r["doc_id"], r["first_word"], r["end_word"], r["least_doc"], r["greatest_doc"]) for r in suffix.repeated_passages(docs).collect()}
+    assert got == {("a-1", 0, 70, "a-1", "b"), ("b", 9, 79, "a-1", "b")}
+    both = {(r["doc_id"], r["first_word"], r["end_word"]) for r in suffix.repeated_passages(docs, within=True).collect()}
+    assert both == {("a-1", 0, 70), ("b", 9, 79), ("c", 0, 55), ("c", 85, 140)}
+    left = {r["doc_id"]: r["text"] for r in suffix.cut_repeats(docs).collect()}
+    assert left["a-1"] == rows[1][1] and WORD.findall(left["b"]) == WORD.findall(rows[0][1])[:9] and left["c"] == rows[2][1]
+    assert left[None] == rows[3][1]
+
+
+def test_common_prefixes():
+    import numpy as np
+
+    rows = np.array([[1, 2, 3, 4], [1, 2, 3, 4], [1, 2, 9, 4], [1, 2, 0, 0], [1, 2, 0, 0]], np.uint32)
+    assert suffix.common_prefixes(rows).tolist() == [0, 4, 2, 2, 2]
