@@ -3,15 +3,23 @@
 All words that are not yet known lie in one flat array of symbols. A round finds the rank of every pair of neighbours by
 binary search over the sorted pair keys, takes each word's lowest rank, and merges all its occurrences (from the left,
 where they overlap). Words in which nothing merges leave the array. As a merge's product can only take part in merges of
-a higher rank, a round does what one-at-a-time merging does.
+a higher rank, a round does what one-at-a-time merging does. A word of more than ``LONG`` bytes has rounds of its own that
+look only at pairs beside the last merges, so its time is in proportion to its length, not to its square.
 
-Edge cases: a null text counts as empty and gives no ids; a word of any length is encoded whole; the memo of known words
-is bounded and forgets rare ones first.
+Scale: one pass, no shuffle; a task holds a batch of about 2 MB of text and the memo of known words, which is bounded by
+words and by bytes (when it is full, those of the batch at hand stay).
+
+Tokenizer files: byte-level BPE with the pattern of ``fst``, no normalizer, added tokens without flags; ``Vocabulary`` reads
+the file's settings and raises for any other.
+
+Edge cases: a null text counts as empty and gives no ids; a word of any length is encoded whole; repeated rows give a row
+each; an added column whose name is taken gets underscores; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 from collections.abc import Callable
 from functools import lru_cache
@@ -21,15 +29,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
+
 from lumenspark.llm import textops
+from lumenspark.llm.shared import fresh
+
+
+LONG = 2048
+MEMO_BYTES = 64 << 20
+MEMO_WORD = 256
 
 
 class Memo:
-    """Word -> value, bounded. When it is full, the words of the batch at hand stay (frequent ones are among them)."""
+    """Word -> value, bounded by words and by their characters. When it is full, the words of the batch at hand stay
+    (frequent ones are among them). Words of more than ``MEMO_WORD`` characters are computed anew."""
 
     def __init__(self, compute: Callable[[list[str]], list], limit: int = 500_000):
         self.compute, self.limit = compute, limit
         self.known: dict[str, object] = {}
+        self.held = 0
 
     def look_up(self, words: list[str]) -> list:
         known = self.known
@@ -37,11 +55,15 @@ class Memo:
         missing = [i for i, x in enumerate(out) if x is None]
         if missing:
             fresh = list({words[i] for i in missing})
-            known.update(zip(fresh, self.compute(fresh), strict=True))
+            found = dict(zip(fresh, self.compute(fresh), strict=True))
             for i in missing:
-                out[i] = known[words[i]]
-            if len(known) > self.limit:
-                self.known = dict(zip(words, out, strict=True))
+                out[i] = found[words[i]]
+            short = {w: x for w, x in found.items() if len(w) <= MEMO_WORD}
+            known.update(short)
+            self.held += sum(map(len, short))
+            if len(known) > self.limit or self.held > MEMO_BYTES:
+                self.known = {w: x for w, x in zip(words, out, strict=True) if len(w) <= MEMO_WORD}
+                self.held = sum(map(len, self.known))
         return out
 
 
@@ -91,12 +113,62 @@ def merge_words(symbols: np.ndarray, lengths: np.ndarray, keys: np.ndarray, rank
     return ids[order], np.bincount(word, minlength=n_words).astype(np.int64)
 
 
+def merge_long(symbols: np.ndarray, keys: np.ndarray, rank_of_key: np.ndarray, product: np.ndarray, base: int) -> np.ndarray:
+    """Ids of one word, as ``merge_words`` gives them: rounds by ascending rank over the places that have it."""
+    n = len(symbols)
+    none = np.int64(1 << 40)
+    symbol = np.append(symbols.astype(np.int64), -1)
+    after, before = np.arange(1, n + 2), np.arange(-1, n)
+    alive = np.ones(n + 1, bool)
+    alive[n] = False
+    rank = np.full(n + 1, none)
+    places: dict[int, list[np.ndarray]] = {}
+    order: list[int] = []
+
+    def look(at: np.ndarray) -> None:
+        """Ranks of the pairs that begin at these places, and where to find the places by rank."""
+        pair = symbol[at] * base + symbol[after[at]]
+        found = np.searchsorted(keys, pair)
+        found[found == len(keys)] = 0
+        rank[at] = np.where((after[at] < n) & (keys[found] == pair), rank_of_key[found], none)
+        at = at[rank[at] < none]
+        at = at[np.argsort(rank[at], kind="stable")]
+        if not len(at):
+            return
+        starts = np.flatnonzero(np.concatenate(([True], np.diff(rank[at]) != 0))).tolist()
+        for a, b in zip(starts, [*starts[1:], len(at)], strict=True):
+            r = int(rank[at[a]])
+            if r not in places:
+                heapq.heappush(order, r)
+            places.setdefault(r, []).append(at[a:b])
+
+    look(np.arange(n))
+    while order:
+        r = heapq.heappop(order)
+        at = np.unique(np.concatenate(places.pop(r)))
+        at = at[alive[at] & (rank[at] == r)]
+        if not len(at):
+            continue
+        run = np.flatnonzero(np.concatenate(([True], after[at[:-1]] != at[1:])))
+        at = at[(np.arange(len(at)) - np.repeat(run, np.diff(np.append(run, len(at))))) % 2 == 0]
+        gone = after[at]
+        alive[gone], rank[gone] = False, none
+        symbol[at] = product[r]
+        after[at] = after[gone]
+        inside = after[at] < n
+        before[after[at[inside]]] = at[inside]
+        beside = np.concatenate((at, before[at]))
+        look(np.unique(beside[beside >= 0]))
+    return symbol[:n][alive[:n]]
+
+
 class Vocabulary:
     """A byte-level BPE vocabulary with its merges as sorted arrays."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        _require_supported(spec, path)
         vocab = spec["model"]["vocab"]
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         byte_of = _byte_alphabet()
@@ -119,6 +191,15 @@ class Vocabulary:
 
     def encode_words(self, words: list[str]) -> list[bytes]:
         """Packed ids of each word (little-endian, ``width`` bytes an id)."""
+        long = [i for i, w in enumerate(words) if len(w) > LONG]
+        if long:
+            out = dict(zip([i for i in range(len(words)) if len(words[i]) <= LONG], self.encode_words([w for w in words if len(w) <= LONG]), strict=True))
+            for i in long:
+                first = self.of_byte[np.frombuffer(words[i].encode(), np.uint8)]
+                out[i] = merge_long(first, self.keys, self.rank_of_key, self.product, self.size).astype(self.kind).tobytes()
+            return [out[i] for i in range(len(words))]
+        if not words:
+            return []
         raw = [w.encode() for w in words]
         lengths = np.fromiter(map(len, raw), np.int64, len(raw))
         ids, counts = merge_words(self.of_byte[np.frombuffer(b"".join(raw), np.uint8)], lengths, self.keys, self.rank_of_key, self.product, self.size)
@@ -131,6 +212,20 @@ class Vocabulary:
         return b"".join([table[i] for i in ids.tolist()]).decode("utf-8", "replace")
 
 
+#: The splitting pattern of byte-level vocabularies, which ``fst`` compiles.
+BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def _require_supported(spec: dict, path: str) -> None:
+    """Raises where the file asks for anything that these modules do not do."""
+    model, split = spec["model"], spec.get("pre_tokenizer") or {}
+    plain = split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True)
+    odd = [k for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges") if model.get(k)]
+    flags = [t["content"] for t in spec["added_tokens"] if any(t.get(k) for k in ("single_word", "lstrip", "rstrip"))]
+    if model.get("type", "BPE") != "BPE" or not plain or spec.get("normalizer") or odd or flags:
+        raise ValueError(f"{path}: only byte-level BPE without normalizer, prefix space, affixes and token flags is supported")
+
+
 def _byte_alphabet() -> dict[str, int]:
     """The printable stand-in of each byte in byte-level vocabularies: printable Latin-1 stands for itself, the others
     follow from U+0100 on in byte order (fixed by the published format)."""
@@ -170,6 +265,7 @@ def encoder_of(path: str) -> Encoder:
 
 def encode_documents(docs: DataFrame, tokenizer_path: str, text_column: str = "text", ids_column: str = "ids") -> DataFrame:
     """Adds the token ids of every whole text as ``array<int>``; all other columns stay. One pass, no shuffle."""
+    ids_column = fresh(docs, ids_column)
 
     def run(batches):
         encoder = encoder_of(tokenizer_path)
@@ -180,12 +276,12 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, text_column: str = "t
             flat = np.concatenate([*ids, np.empty(0, np.uint16)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=[*batch.schema.names, ids_column])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{schema}, `{ids_column}` array<int>")
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(ids_column, ArrayType(IntegerType()))]))
 
 
 def decode_ids(df: DataFrame, tokenizer_path: str, ids_column: str = "ids", text_column: str = "decoded") -> DataFrame:
     """Adds the text of ``ids_column``. Null ids give an empty text."""
+    text_column = fresh(df, text_column)
 
     def run(batches):
         vocabulary = load_vocabulary(tokenizer_path)
@@ -194,8 +290,7 @@ def decode_ids(df: DataFrame, tokenizer_path: str, ids_column: str = "ids", text
             texts = [vocabulary.decode(np.array(x or [], np.int64)) for x in lists]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, text_column])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    return df.mapInArrow(run, f"{schema}, `{text_column}` string")
+    return df.mapInArrow(run, StructType([*df.schema.fields, StructField(text_column, StringType())]))
 
 
 def round_trip_digests(docs: DataFrame, tokenizer_path: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

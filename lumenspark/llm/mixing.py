@@ -11,7 +11,9 @@ bucket), so a hot source or a large group of copies spreads over many tasks; the
 work on pre-aggregated counts in two short windows. Only scalar sums reach the driver.
 
 Edge cases: a null text has size 0; a null source is a source of its own (the last); documents of size 0 take 0 words;
-repeated rows are separate documents; an empty table gives no rows; extra columns stay as they are.
+repeated rows are separate documents, and rows of one id and size are ordered by a hash of their texts, so reruns copy the
+same ones; rows with a null id are dealt by that hash, too; ids may be of any type that has an order; an empty table gives no
+rows; extra columns stay as they are.
 """
 
 from __future__ import annotations
@@ -62,8 +64,8 @@ def _key(source: str):
 
 
 def plan_copies(docs: DataFrame, sized: DataFrame, id_column: str = "doc_id", cycle=CYCLE, cap: int = CAP, seed: str = SEED) -> DataFrame:
-    """Adds source_size, target and copies to ``docs``, which has _source and _size; ``sized`` has these and the id only."""
-    place = lambda df: df.withColumns({"_key": _key("_source"), "_class": F.floor(F.sqrt(F.col("_size").cast("double"))), "_bucket": F.coalesce(F.substring(F.md5(F.col(id_column).cast("string").cast("binary")), 1, 2), F.lit(""))})
+    """Adds source_size, target and copies to ``docs``, which has _source, _size and _tie; ``sized`` has these and the id only."""
+    place = lambda df: df.withColumns({"_key": _key("_source"), "_class": F.floor(F.sqrt(F.col("_size").cast("double"))), "_bucket": F.coalesce(F.substring(F.md5(F.col(id_column).cast("string").cast("binary")), 1, 2), F.concat(F.lit("n"), F.pmod("_tie", F.lit(256)).cast("string")))})
     triples = keep(place(sized).groupBy("_key", "_class", "_bucket").agg(F.count("*").alias("_n")))
     before = F.sum("_n").over(Window.partitionBy("_key", "_class").orderBy("_bucket")) - F.col("_n")
     classes = triples.groupBy("_key", "_class").agg(F.sum("_n").alias("_m"))
@@ -71,7 +73,7 @@ def plan_copies(docs: DataFrame, sized: DataFrame, id_column: str = "doc_id", cy
     offset = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col("_key")).cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
     of_class = classes.select("_key", "_class", class_before).join(source_targets(sized, cycle, cap), "_key").withColumn("_offset", offset)
     places = triples.select("_key", "_class", "_bucket", before.alias("_before")).join(of_class, ["_key", "_class"]).select("_key", "_class", "_bucket", (F.col("_before") + F.col("_class_before")).alias("_start"), "source_size", "target", "_offset")
-    inside = F.row_number().over(Window.partitionBy("_key", "_class", "_bucket").orderBy("_size", id_column))
+    inside = F.row_number().over(Window.partitionBy("_key", "_class", "_bucket").orderBy("_size", id_column, "_tie"))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     rank = (F.col("_start") + F.col("_inside")).cast("double")
     copies = F.floor(rank * F.col("_rate") + F.col("_offset")) - F.floor((rank - 1) * F.col("_rate") + F.col("_offset"))
@@ -87,7 +89,7 @@ def plan_copies(docs: DataFrame, sized: DataFrame, id_column: str = "doc_id", cy
 
 def mix_report(docs: DataFrame) -> DataFrame:
     """What the mix takes of every document: doc_id, size, source_size, target, taken (words), copies."""
-    sized = keep(docs.select("doc_id", F.col("source").cast("string").alias("_source"), word_count().alias("_size")))
+    sized = keep(docs.select("doc_id", F.col("source").cast("string").alias("_source"), word_count().alias("_size"), F.xxhash64(F.col("text").cast("string")).alias("_tie")))
     out = plan_copies(sized, sized)
     return out.select("doc_id", F.col("_size").alias("size"), "source_size", "target", (F.col("_size") * F.col("copies")).alias("taken"), "copies")
 
@@ -96,8 +98,8 @@ def mix(docs: DataFrame) -> DataFrame:
     """The mixed documents themselves: each row once per copy, columns as in ``docs``."""
     # The row travels as one struct, so that no name of its columns can clash with ours.
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")
-    whole = docs.select(row, "doc_id", F.col("source").cast("string").alias("_source"), word_count().alias("_size"))
-    sized = keep(whole.select("doc_id", "_source", "_size"))
+    whole = docs.select(row, "doc_id", F.col("source").cast("string").alias("_source"), word_count().alias("_size"), F.xxhash64(F.col("text").cast("string")).alias("_tie"))
+    sized = keep(whole.select("doc_id", "_source", "_size", "_tie"))
     out = plan_copies(whole, sized).where("copies > 0")
     return out.select("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("_copy")).select("_row.*")
 

@@ -3,14 +3,17 @@
 A line with a word fails if
 
 * it has more than one symbol of ``#*$%&|<>`` to ten words (mark-up, tables, navigation bars),
-* it has fewer than ``MENU_WORDS`` words and does not end in punctuation (menu entries), or
-* it holds a boilerplate phrase (``PHRASES``, in any case of A-Z).
+* it has fewer than ``MENU_WORDS`` words and does not end in one of ``ENDS`` (menu entries), or
+* it holds a boilerplate phrase (``PHRASES`` in English, German, French and Spanish, in any case of A-Z).
 
 A document is kept if it passes the base rules (50 words or more; at most half of its words in repeated 3-word windows) and
 at least half of its words lie in lines that stay. Lines are parted by ``\\n`` only.
 
+Scale: one pass, no shuffle; a task holds a batch of about 2 MB of text, or one longer text.
+
 Edge cases: a null text has no words and fails the base; lines without a word never count; repeated rows are judged each on
-its own; an empty table gives no rows. Lines and windows are compared by 64-bit hashes of their words' bytes.
+its own; ids and other columns may have any name and type (``quality_report`` ignores other columns, ``clean`` keeps them);
+an empty table gives no rows. Lines and windows are compared by 64-bit hashes of their words' bytes.
 """
 
 from __future__ import annotations
@@ -23,16 +26,33 @@ from pyspark.sql import functions as F
 from lumenspark.llm import textops
 
 MENU_WORDS = 4
-PHRASES = ("privacy policy", "terms of use", "terms of service", "all rights reserved", "enable javascript", "accept cookies", "use cookies", "click here", "sign up for", "subscribe to our", "log in to", "lorem ipsum")
+PHRASES = (
+    "privacy policy", "terms of use", "terms of service", "all rights reserved", "enable javascript", "accept cookies", "use cookies", "click here", "sign up for", "subscribe to our", "log in to", "lorem ipsum",
+    "alle rechte vorbehalten", "datenschutzerklärung", "cookies akzeptieren", "verwendet cookies", "hier klicken",
+    "tous droits réservés", "politique de confidentialité", "accepter les cookies", "utilise des cookies", "cliquez ici",
+    "todos los derechos reservados", "política de privacidad", "aceptar las cookies", "aceptar cookies", "utiliza cookies", "haga clic aquí",
+)
 SYMBOLS = b"#*$%&|<>"
-ENDS = b".!?:;,\"')]}"
+#: Marks that may end a line: ASCII, then closing quotes, stops and brackets of other scripts.
+ENDS = ".!?:;,\"')]}" + "…”’“»›‹«。！？：；，、）」』】》؟۔।"
 
 _IS_SYMBOL = np.zeros(256, bool)
 _IS_SYMBOL[list(SYMBOLS)] = True
-#: Any byte of a longer code point may end a line: closing quotes and full stops of other scripts are among them.
-_IS_END = np.zeros(256, bool)
-_IS_END[list(ENDS)] = True
-_IS_END[128:] = True
+_END_POINTS = np.array(sorted(map(ord, ENDS)))
+
+
+def _last_points(data: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The code point that ends before each place."""
+    point, shift = np.zeros(len(end), np.int64), 0
+    at, waiting = end - 1, np.ones(len(end), bool)
+    for _ in range(4):
+        byte = data[np.maximum(at, 0)].astype(np.int64)
+        inner = (byte & 0xC0) == 0x80
+        lead = np.where(byte < 0x80, byte, np.where(byte < 0xE0, byte & 0x1F, np.where(byte < 0xF0, byte & 0x0F, byte & 0x07)))
+        point = np.where(waiting, point | (np.where(inner, byte & 0x3F, lead) << shift), point)
+        waiting &= inner
+        at, shift = at - 1, shift + 6
+    return point
 
 
 def _repeats(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -80,7 +100,7 @@ def judge(texts: pa.Array) -> dict[str, np.ndarray]:
     last_word = np.searchsorted(word_at, line_end) - 1
     word_end = word_at + words.length
     ends_well = np.zeros(len(full), bool)
-    ends_well[full] = _IS_END[data[word_end[last_word[full]] - 1]]
+    ends_well[full] = np.isin(_last_points(data, word_end[last_word[full]]), _END_POINTS)
     bad = (symbols_in_line * 10 > words_in_line) | ((words_in_line < MENU_WORDS) & ~ends_well)
     low = textops._LOWER[data].tobytes()
     for phrase in PHRASES:
@@ -135,9 +155,11 @@ def clean(docs: DataFrame, text_column: str = "text") -> DataFrame:
             data, offsets = textops.text_buffers(texts)
             out = []
             raw = data.tobytes()
+            bad = np.flatnonzero(found["_line_bad"])
+            cuts = np.searchsorted(found["_line_row"][bad], np.arange(batch.num_rows + 1))
             for i in np.flatnonzero(found["kept"]).tolist():
                 begin, parts = int(offsets[i]), []
-                for j in np.flatnonzero((found["_line_row"] == i) & found["_line_bad"]).tolist():
+                for j in bad[cuts[i] : cuts[i + 1]].tolist():
                     parts.append(raw[begin : int(found["_line_at"][j])])
                     begin = min(int(found["_line_end"][j]) + 1, int(offsets[i + 1]))
                 out.append((b"".join(parts) + raw[begin : int(offsets[i + 1])]).decode())
@@ -159,12 +181,12 @@ rep AS (SELECT rid, count(DISTINCT j)::BIGINT AS n_repeat_words FROM (SELECT rid
 ln0 AS (SELECT rid, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM d),
 ln1 AS (SELECT *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS lw, len(regexp_extract_all(line, '[#*$%&|<>]')) AS ls FROM ln0),
 ln2 AS (SELECT *, row_number() OVER (PARTITION BY rid, line ORDER BY i) AS nth,
-        (ls * 10 > lw) OR (lw < 4 AND NOT regexp_matches(regexp_replace(line, '[\x20\x09-\x0D]+$', ''), '([.!?:;,"'')\]}]|[^\x00-\x7F])$'))
-        OR regexp_matches(lower(line), 'privacy policy|terms of use|terms of service|all rights reserved|enable javascript|accept cookies|use cookies|click here|sign up for|subscribe to our|log in to|lorem ipsum') AS bad
+        (ls * 10 > lw) OR (lw < 4 AND NOT regexp_matches(regexp_replace(line, '[\x20\x09-\x0D]+$', ''), '[.!?:;,"'')\]}…”’“»›‹«。！？：；，、）」』】》؟۔।]$'))
+        OR regexp_matches(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), 'PHRASES') AS bad
       FROM ln1 WHERE lw > 0),
 l AS (SELECT rid, count_if(nth > 1)::BIGINT AS n_dup_lines, coalesce(sum(CASE WHEN bad THEN lw END), 0)::BIGINT AS lost_words FROM ln2 GROUP BY rid),
 a AS (SELECT c.doc_id, n_words, word_chars, n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
         coalesce(lost_words, 0) AS lost_words FROM c LEFT JOIN rep USING (rid) LEFT JOIN l USING (rid))
 SELECT *, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
   NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 2 * lost_words <= n_words AS kept FROM a
-"""
+""".replace("PHRASES", "|".join(PHRASES))

@@ -2,8 +2,8 @@
 
 Documents are encoded by the tokenizers library, get an end id, are dealt by ranges of ids, and are cut in ascending id
 order into shards of about ``SHARD_TOKENS`` ids. In each shard the most frequent pairs of neighbouring symbols are
-replaced by nonterminals, round after round; a round takes ``PAIRS`` pairs at once, the more frequent first where they
-overlap. A shard is one row of a Parquet file (written by Spark's committer, so lost tasks leave nothing behind):
+replaced by nonterminals, round after round, as long as a round saves more bytes than its rules take; a round takes the
+``PAIRS`` most frequent pairs at once, the more frequent first where they overlap. A shard is one row of a Parquet file (written by Spark's committer, so lost tasks leave nothing behind):
 
     part, shard        position of the shard; (part, shard) ascends with the documents
     doc_ids            ids of its documents in order
@@ -15,12 +15,17 @@ overlap. A shard is one row of a Parquet file (written by Spark's committer, so
 
 ``decode_range`` finds any stretch of ids from the expansion lengths and expands only the symbols that cover it.
 
+Scale: texts are encoded where they are read, and ids are dealt by the quantiles of doc_id, one part a range; a task holds
+the ids of one shard, or of one longer document. Null ids are one part, as the order of the files asks.
+
 Edge cases: a null text counts as empty and has the end id only; null ids come first; equal ids are ordered by their
-tokens; a text of any length stays in one shard; an empty table writes no shard and reads back no rows.
+tokens, so repeated rows are documents of their own; ids are integers (others raise); a text of any length stays in one
+shard; other columns are ignored; an empty table writes no shard and reads back no rows.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from functools import lru_cache
@@ -37,9 +42,9 @@ from lumenspark.llm.shared import keep, new_folder, numbered, width
 SHARD_TOKENS = 1 << 20
 MEMO = 1_200_000
 SMALL_TABLE = 100_000
-ROUNDS = 3
 PAIRS = 2048
 LEAST = 4
+RULE_BYTES = 12
 END_ID = 2
 
 SCHEMA = "part int, shard int, doc_ids array<long>, doc_starts array<long>, n_tokens long, base int, rounds array<int>, rules binary, lengths binary, wide boolean, symbols binary"
@@ -63,8 +68,19 @@ _IS_STOP = np.zeros(256, bool)
 _IS_STOP[list(b",.;:!?")] = True
 
 
+def _foldable(path: str) -> bool:
+    """Whether the file folds case and drops white space, so that what stands between spaces can be encoded alone."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    steps = [x["type"] for x in (spec.get("normalizer") or {}).get("normalizers", [])]
+    splits = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    plain = all(not any(t.get(k) for k in ("single_word", "lstrip", "rstrip", "normalized")) and t["content"].startswith("<|") for t in spec["added_tokens"])
+    return steps == ["NFC", "Replace", "Lowercase"] and bool(splits) and splits[0]["type"] == "Split" and splits[0]["behavior"] == "Removed" and splits[0]["invert"] and plain and bool(spec["added_tokens"])
+
+
 class LibraryEncoder:
-    """Ids by the tokenizers library, for tokenizers that fold case, drop white space and part letters from punctuation.
+    """Ids by the tokenizers library. Whole texts go to it, but for tokenizers that fold case, drop white space and part
+    letters from punctuation (``_foldable``):
 
     As no piece reaches over a space, a text is the sum of what stands between its spaces; the library is asked once for
     each distinct such string (within the memo's bounds). Before, A-Z are folded and a space is set between a letter or
@@ -76,6 +92,7 @@ class LibraryEncoder:
         self.tokenizer = _library(path)
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.kind = np.dtype("<u2") if self.size <= 1 << 16 else np.dtype("<u4")
+        self.foldable = _foldable(path)
         self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.mark = self.special[-1]
         self.mark_id = self.tokenizer.token_to_id(self.mark)
@@ -98,6 +115,8 @@ class LibraryEncoder:
         return [asked[w] for w in words]
 
     def encode(self, texts: pa.Array) -> list[bytes]:
+        if not self.foldable:
+            return [np.array(self.tokenizer.encode(x or "", add_special_tokens=False).ids, self.kind).tobytes() for x in texts.to_pylist()]
         data, offsets = textops.text_buffers(texts)
         raw = data.tobytes()
         if b"<|" not in raw and b"\xcc" not in raw and b"\xcd" not in raw:
@@ -122,14 +141,16 @@ def encoder_of(path: str) -> LibraryEncoder:
     return LibraryEncoder(path)
 
 
-def compress(ids: np.ndarray, base: int, rounds: int = ROUNDS, pairs: int = PAIRS, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
-    """Re-Pair grammar of a sequence: symbols, rules (n x 2), expansion lengths, and round bounds."""
+def compress(ids: np.ndarray, base: int, pairs: int = PAIRS, least: int = LEAST, exhaust: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
+    """Re-Pair grammar of a sequence: symbols, rules (n x 2), expansion lengths, and round bounds.
+
+    Rounds go on while they make the file smaller; with ``exhaust``, until no pair occurs ``least`` times."""
     symbols = ids.astype(np.uint32)
-    narrow = base + rounds * pairs < 1 << 16
     rules, lengths, bounds = [np.empty((0, 2), np.uint32)], np.empty(0, np.int64), [base]
-    for _ in range(rounds):
-        if len(symbols) < 2:
-            break
+    cost = lambda symbols, rules: len(symbols) * (2 if base + rules <= 1 << 16 else 4) + RULE_BYTES * rules
+    while len(symbols) > 1:
+        narrow = bounds[-1] + pairs < 1 << 16
+        old, old_lengths = symbols.copy(), lengths
         key = (symbols[:-1] << np.uint32(16)) | symbols[1:] if narrow else (symbols[:-1].astype(np.uint64) << np.uint64(32)) | symbols[1:]
         ordered = np.sort(key)
         first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
@@ -167,6 +188,10 @@ def compress(ids: np.ndarray, base: int, rounds: int = ROUNDS, pairs: int = PAIR
         stay = np.ones(len(symbols), bool)
         stay[maybe + 1] = False
         symbols = symbols[stay]
+        if not exhaust and cost(symbols, bounds[-1] + len(used) - base) >= cost(old, bounds[-1] - base):
+            symbols, lengths = old, old_lengths
+            rules.pop()
+            break
         bounds.append(bounds[-1] + len(used))
     return symbols, np.concatenate(rules), lengths, bounds
 
@@ -192,6 +217,19 @@ def _unpack(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return symbols, np.frombuffer(row["rules"], "<u4").reshape(-1, 2), np.frombuffer(row["lengths"], "<u4").astype(np.int64)
 
 
+def expand_only(symbols: np.ndarray, rules: np.ndarray, base: int) -> np.ndarray:
+    """As ``expand``, but only the rules that these symbols need are ever looked at, level by level."""
+    out = symbols.astype(np.int64)
+    while (nonterminal := out >= base).any():
+        at = np.cumsum(np.where(nonterminal, 2, 1)) - np.where(nonterminal, 2, 1)
+        wide = np.empty(int(at[-1]) + (2 if nonterminal[-1] else 1), np.int64)
+        wide[at[~nonterminal]] = out[~nonterminal]
+        pair = rules[out[nonterminal] - base]
+        wide[at[nonterminal]], wide[at[nonterminal] + 1] = pair[:, 0], pair[:, 1]
+        out = wide
+    return out.astype(np.uint32)
+
+
 def decode_range(row: dict, start: int, end: int) -> np.ndarray:
     """Ids start .. end - 1 of a shard (one row of its file), expanding only the symbols that cover them."""
     symbols, rules, lengths = _unpack(row)
@@ -205,7 +243,7 @@ def decode_range(row: dict, start: int, end: int) -> np.ndarray:
         return np.empty(0, np.uint32)
     a, b = int(np.searchsorted(ends, start, "right")), int(np.searchsorted(ends, end, "left")) + 1
     before = int(ends[a] - size[a])
-    return expand(symbols[a:b], rules, list(row["rounds"]))[start - before : end - before]
+    return expand_only(symbols[a:b], rules, base)[start - before : end - before]
 
 
 def _shard(part: int, number: int, ids: list[int | None], packed: list[bytes], kind: np.dtype, base: int) -> dict:
@@ -230,13 +268,19 @@ def write_files(docs: DataFrame, folder: str, tokenizer_path: str, shard_tokens:
     # Cuts between the parts: as many numbers as there are partitions.
     cuts = np.unique(np.array(ids.approxQuantile("doc_id", [i / n for i in range(1, n)], 0.25 / n) if n > 1 else [], np.float64)).astype(np.int64)
 
+    # A hash partitioner would put two parts in one partition and none in another: each part gets a key that falls into its own.
+    tried = spark.range(32 * n).select(F.col("id").cast("int").alias("slot"), F.pmod(F.hash(F.col("id").cast("int")), F.lit(n)).alias("part")).groupBy("part").agg(F.min("slot").alias("slot"))
+    slot_of = dict(tried.collect())  # one row a partition
+    slots = np.array([slot_of.get(i, i) for i in range(n)], np.int32)
+
     def encode(batches):
         encoder = encoder_of(tokenizer_path)
         end = np.array([end_id], encoder.kind).tobytes()
         for batch in textops.batches_by_bytes(batches, "text"):
             packed = [x + end for x in encoder.encode(batch.column(1))]
             known = batch.column(0).fill_null(np.iinfo(np.int64).min).to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(np.searchsorted(cuts, known, "left").astype(np.int32)), batch.column(0), pa.array(packed, pa.binary())], names=["part", "doc_id", "ids"])
+            part = np.searchsorted(cuts, known, "left").astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(part), batch.column(0), pa.array(packed, pa.binary()), pa.array(slots[part])], names=["part", "doc_id", "ids", "slot"])
 
     def pack(batches):
         tokenizer = _library(tokenizer_path)
@@ -256,8 +300,8 @@ def write_files(docs: DataFrame, folder: str, tokenizer_path: str, shard_tokens:
         if packed:
             yield pa.RecordBatch.from_pylist([_shard(part, number, docs_here, packed, kind, base)], _ARROW)
 
-    coded = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(encode, "part int, doc_id long, ids binary")
-    dealt = coded.repartition(n, "part").sortWithinPartitions("part", "doc_id", "ids")
+    coded = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(encode, "part int, doc_id long, ids binary, slot int")
+    dealt = coded.repartition(n, "slot").drop("slot").sortWithinPartitions("part", "doc_id", "ids")
     dealt.mapInArrow(pack, SCHEMA).write.parquet(folder)
 
 

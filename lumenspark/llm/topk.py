@@ -1,18 +1,31 @@
 """Exact top-k inner products by dual-tree search over cover trees.
 
 Queries and candidates are dealt into blocks by a hash of their ids. A task gets one block of each and indexes both in a
-cover tree: a node's centre and covering radius hold all its points, and its children's centres are a farthest-first net,
-so they lie at least their covering radius apart. The search descends both trees together. For a pair of nodes with centres
-a, b and radii r, s no inner product exceeds ``a.b + r |b| + s |a| + r s``; a pair is left out when that is below the worst
-k-th score of the query group. What is left meets in exact integer products. Each task returns at most k rows a query,
-and a window over these few rows ends the search. Points that are equal form a leaf of radius 0, in which only the k + 1
-smallest ids can ever be results.
-
-Scores are integers. Up to 2^52 they are computed in exact double arithmetic, above in wrapping 64-bit arithmetic.
-
-Edge cases: vectors that are null or hold null or non-finite components take no part (and give no rows as queries);
-vectors of different length are never compared; equal rows among the queries are one query; the query's own id is no candidate, however often it occurs; with fewer
-candidates than k all are returned; ties go to the smaller id, repeated rows count each.
+cover tree. Each node has a centre and the covering radius of all its points. Its children are the next level: their centres
+are a net of the node's points (its own centre among them) with a scale of its own, no larger than the node's, so that
+
+* covering: every point lies within the scale of its child's centre, and
+* separation: the children's centres lie at least the scale apart.
+
+Unlike in a textbook cover tree the scale of the next level is not a fixed share of the last one but what ``FAN`` centres,
+each the farthest from those before, reach: in many dimensions halving a radius would make every point a child.
+
+The search descends both trees together. For a pair of nodes with centres a, b and radii r, s no inner product exceeds
+``a.b + r |b| + s |a| + r s``; a pair is left out when that is below the worst k-th score of the query group. What is left
+meets in exact integer products. Points that are equal form a leaf of radius 0, in which only the k + 1 smallest ids can ever
+be results. Bounds cross blocks: each query first meets one block of candidates, and its k-th score there is where its search
+of all other blocks starts. Each task returns at most k rows a query, and a window over these few rows ends the search.
+
+Scores are integers. Up to 2^52 they are computed in exact double arithmetic, above in 64-bit arithmetic; components are held
+to 2^62 and scores beyond 2^63 wrap, as the result's type has no room for them.
+
+Scale: every block of queries meets every block of candidates, so vectors are shuffled once for each block of the other side;
+bounds prune little on vectors without structure.
+
+Edge cases: vectors that are null or hold null or non-finite components take no part (and give no rows as queries); vectors
+of different length are never compared; equal rows among the queries are one query; the query's own id is no candidate,
+however often it occurs; with fewer candidates than k all are returned; ties go to the smaller id, repeated rows count each;
+ids are integers (others raise), rows without one take no part; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,6 +37,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenspark.llm.shared import keep
+
 LEAF = 256
 FAN = 16
 QUERY_BLOCK = 4096
@@ -31,35 +46,36 @@ ROW_BLOCK = 8192
 
 
 class Node:
-    __slots__ = ("centre", "radius", "norm", "points", "children", "worst")
+    __slots__ = ("centre", "radius", "norm", "points", "scale", "children", "worst")
 
-    def __init__(self, centre, radius, points, children):
-        self.centre, self.radius, self.points, self.children = centre, radius, points, children
+    def __init__(self, centre, radius, points, scale=0.0, children=()):
+        self.centre, self.radius, self.points, self.scale, self.children = centre, radius, points, scale, children
         self.norm = float(np.sqrt(centre @ centre))
         self.worst = -math.inf
 
 
-def build(x: np.ndarray, points: np.ndarray | None = None) -> Node:
-    """Cover tree of the rows of ``x``; ``points`` in ascending order."""
+def build(x: np.ndarray, points: np.ndarray | None = None, at: int | None = None) -> Node:
+    """Cover tree of the rows of ``x``; ``points`` in ascending order, ``at`` the centre among them."""
     points = np.arange(len(x)) if points is None else points
-    centre = x[points[0]]
+    centre = x[points[0] if at is None else at]
     far = np.sqrt(((x[points] - centre) ** 2).sum(1))
     radius = float(far.max()) * (1 + 1e-12)
     if len(points) <= LEAF or radius == 0:
-        return Node(centre, radius, points, [])
+        return Node(centre, radius, points)
     owner, nearest = np.zeros(len(points), np.int64), far
-    n = 1
-    while n < FAN and nearest.max() > 0:
+    chosen = [int(np.flatnonzero(points == (points[0] if at is None else at))[0])]
+    while (n := len(chosen)) < FAN and nearest.max() > 0:
         new = int(nearest.argmax())
+        chosen.append(new)
         d = np.sqrt(((x[points] - x[points[new]]) ** 2).sum(1))
         closer = d < nearest
         owner[closer], nearest = n, np.where(closer, d, nearest)
-        n += 1
-    return Node(centre, radius, points, [build(x, points[owner == i]) for i in range(n)])
+    # Farthest-first: the last centre was as far from the others as any, so what is left is covered at a smaller distance.
+    return Node(centre, radius, points, float(nearest.max()), [build(x, points[owner == i], points[c]) for i, c in enumerate(chosen)])
 
 
 class Search:
-    def __init__(self, queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, row_ids: np.ndarray, k: int):
+    def __init__(self, queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, row_ids: np.ndarray, k: int, floor: np.ndarray | None = None):
         order = np.lexsort((row_ids,))
         self.rows, self.row_ids = rows[order], row_ids[order]
         self.queries, self.query_ids, self.k = queries, query_ids, k
@@ -70,10 +86,19 @@ class Search:
         self.none = kind(-np.inf) if self.exact else np.iinfo(np.int64).min
         self.score = np.full((len(queries), k), self.none, kind)
         self.found = np.full((len(queries), k), np.iinfo(np.int64).max, np.int64)
+        #: A score that each query's results must reach.
+        self.floor = np.full(len(queries), self.none, kind) if floor is None else floor.astype(kind)
         self.pairs = 0
 
     def run(self) -> None:
-        self.visit(build(self.q), build(self.x))
+        queries = build(self.q)
+        self.start(queries)
+        self.visit(queries, build(self.x))
+
+    def start(self, query: Node) -> None:
+        for child in query.children:
+            self.start(child)
+        query.worst = float(self.floor[query.points].min()) if (self.floor[query.points] > self.none).all() else -math.inf
 
     @staticmethod
     def bounds(a: list[Node], b: list[Node]) -> np.ndarray:
@@ -107,7 +132,7 @@ class Search:
         lo, hi = np.searchsorted(ids, self.query_ids[q], "left"), np.searchsorted(ids, self.query_ids[q], "right")
         for i in np.flatnonzero(lo < hi).tolist():
             got[i, lo[i] : hi[i]] = self.none
-        passes = (got >= self.score[q, -1][:, None]) & (got > self.none)
+        passes = (got >= np.maximum(self.score[q, -1], self.floor[q])[:, None]) & (got > self.none)
         many = np.flatnonzero(passes.sum(1) > 2 * k)
         if len(many) and got.shape[1] > k:  # all that tie with the leaf's own k-th stay
             passes[many] &= got[many] >= np.partition(got[many], got.shape[1] - k, axis=1)[:, got.shape[1] - k][:, None]
@@ -124,7 +149,8 @@ class Search:
         begin = np.searchsorted(owner[order], touched)
         take = order[(begin[:, None] + np.arange(k)[None]).ravel()]
         self.score[at], self.found[at] = score[take].reshape(-1, k), found[take].reshape(-1, k)
-        query.worst = float(self.score[q, -1].min()) if (self.score[q, -1] > self.none).all() else -math.inf
+        reached = np.maximum(self.score[q, -1], self.floor[q])
+        query.worst = float(reached.min()) if (reached > self.none).all() else -math.inf
 
     @property
     def distinct(self) -> bool:
@@ -172,25 +198,36 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 20, id_column: str = "ve
     right = x.withColumn("xb", block(2, x_blocks)).withColumn("qb", each(q_blocks))
 
     def run(key, a: pa.Table, b: pa.Table) -> pa.Table:
-        def matrix(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-            return np.frombuffer(b"".join(t["v"].to_pylist()), np.int64).reshape(t.num_rows, -1), t["id"].to_numpy()
+        def matrix(t: pa.Table) -> np.ndarray:
+            if not t["dim"][0].as_py():
+                return np.zeros((t.num_rows, 1), np.int64)
+            return np.frombuffer(b"".join(t["v"].to_pylist()), np.int64).reshape(t.num_rows, -1)
 
         out: list[tuple] = []
         if a.num_rows and b.num_rows:
-            if a["dim"][0].as_py() == 0:
-                v, w = np.zeros((a.num_rows, 1), np.int64), np.zeros((b.num_rows, 1), np.int64)
-                s = Search(v, a["id"].to_numpy(), w, b["id"].to_numpy(), k)
-            else:
-                s = Search(*matrix(a), *matrix(b), k)
+            lowest = np.iinfo(np.int64).min
+            floor = a["floor"].combine_chunks().fill_null(lowest).to_numpy()
+            s = Search(matrix(a), a["id"].to_numpy(), matrix(b), b["id"].to_numpy(), k)
+            s.floor = np.where(floor > lowest, floor.astype(s.score.dtype), s.none)
             s.run()
             ok = s.score > s.none
             out = [np.repeat(s.query_ids, k)[ok.ravel()], s.found.ravel()[ok.ravel()], s.score.ravel()[ok.ravel()].astype(np.int64)]
         return pa.table({n: pa.array(out[i] if len(out) else [], pa.int64()) for i, n in enumerate(("query_id", "vec_id", "score"))})
 
-    keys = ["dim", "qb", "xb"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    def search(a: DataFrame, b: DataFrame) -> DataFrame:
+        keys = ["dim", "qb", "xb"]
+        return a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInArrow(run, "query_id long, vec_id long, score long")
+
+    ranked = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    none = F.lit(None).cast("long").alias("floor")
+    if x_blocks == 1:
+        found = search(left.select("*", none), right)
+    else:
+        home = F.col("xb") == F.pmod(F.col("qb"), F.lit(x_blocks))
+        first = keep(search(left.where(home).select("*", none), right.where(home)).withColumn("rank", ranked).where(F.col("rank") <= k).drop("rank"))
+        floors = first.groupBy(F.col("query_id").alias("id")).agg(F.when(F.count("*") >= k, F.min("score")).alias("floor"))
+        found = first.union(search(left.where(~home).join(floors, "id", "left"), right.where(~home)))
+    return found.withColumn("rank", ranked).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 ORACLE = """

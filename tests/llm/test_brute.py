@@ -61,6 +61,53 @@ def test_bpe_and_counts_equal_the_library():
     assert [vocabulary.decode(np.array(x)) for x in broken] == [library.decode(x, skip_special_tokens=False) for x in broken]
 
 
+def test_long_words_equal_the_library():
+    vocabulary, library = bpe.load_vocabulary(BYTES), Tokenizer.from_file(BYTES)
+    rng = random.Random(5)
+    words = ["".join(rng.choice(x) for _ in range(n)) for n in (1, 50, 3000, 6000) for x in ("a", "ab", "etaoinshrdlu", "éà中x")]
+    for w, packed in zip(words, vocabulary.encode_words(words), strict=True):
+        assert np.frombuffer(packed, vocabulary.kind).tolist() == library.encode(w, add_special_tokens=False).ids
+        first = vocabulary.of_byte[np.frombuffer(w.encode(), np.uint8)]
+        assert bpe.merge_long(first, vocabulary.keys, vocabulary.rank_of_key, vocabulary.product, vocabulary.size).tolist() == library.encode(w, add_special_tokens=False).ids
+    assert len(vocabulary.encode_words(["".join(rng.choice("etaoinshrdlu") for _ in range(1_000_000))])[0]) > 100_000
+
+
+def test_other_tokenizer_files_are_refused(tmp_path):
+    import json
+
+    with open(BYTES, encoding="utf-8") as f:
+        spec = json.load(f)
+    spec["normalizer"] = {"type": "Lowercase"}
+    (tmp_path / "x.json").write_text(json.dumps(spec))
+    with pytest.raises(ValueError, match="only byte-level BPE"):
+        bpe.Vocabulary(str(tmp_path / "x.json"))
+
+
+def test_added_columns_do_not_clash(spark):
+    docs = spark.createDataFrame([("a", "some text", 1, 2)], "doc_id string, text string, ids int, decoded int")
+    coded = bpe.encode_documents(docs, BYTES)
+    assert coded.columns == ["doc_id", "text", "ids", "decoded", "ids_"]
+    assert bpe.decode_ids(coded, BYTES, "ids_").first()["decoded_"] == "some text"
+
+
+def test_counts_query_equals_the_library(spark):
+    library = Tokenizer.from_file(BYTES)
+    rows = [(i, t) for i, t in enumerate(odd_texts(60, 8))] + [(1000, None), (1001, ""), (1002, "word " * 600)]
+    got = {r["doc_id"]: tuple(r)[1:] for r in fst.count_tokens(spark.createDataFrame(rows, "doc_id long, text string"), BYTES).collect()}
+    for i, t in rows:
+        n = len(library.encode(t or "", add_special_tokens=False).ids)
+        assert got[i] == (len((t or "").encode()), n, n > 512)
+
+
+def test_near_duplicates_of_one_id_on_several_texts(spark):
+    text = lambda x: " ".join(f"{x}{i}" for i in range(40))
+    rows = [(3, text("w"), 1), (7, text("w"), 2), (7, text("v"), 3), (9, text("v"), 4), (3, text("w"), 0), (None, text("w"), 5), (11, "", 6), (11, "", 6), (12, None, 7)]
+    want = sorted([(3, text("w"), 0), (7, text("v"), 3), (11, "", 6), (12, None, 7), (None, text("w"), 5)], key=str)
+    for order in (rows, rows[::-1]):
+        docs = spark.createDataFrame(order, "doc_id long, text string, n int")
+        assert sorted((tuple(r) for r in jaccard.drop_near_duplicates(docs).collect()), key=str) == want
+
+
 def test_memo_forgets_but_stays_right():
     memo = bpe.Memo(lambda words: [len(w) for w in words], limit=5)
     rng = random.Random(4)
@@ -147,7 +194,8 @@ def test_shared_pairs_equal_brute_force(spark, monkeypatch):
         owners.setdefault(k, set()).add(o)
     docs = docs.union(spark.createDataFrame([(1, "1000"), (1, "1000")], "owner long, text string"))
     want = {(k, o) for k, s in owners.items() if len(s) > 1 for o in s}
-    assert {tuple(r) for r in packed.shared_pairs(docs, keys, 7).collect()} == want
+    for parts, buckets in ((7, 0), (1, 1), (3, 40)):
+        assert {tuple(r) for r in packed.shared_pairs(docs, keys, parts, buckets).collect()} == want
 
 
 def test_bit_table_lets_all_members_through(spark):
@@ -158,6 +206,13 @@ def test_bit_table_lets_all_members_through(spark):
     assert table.may_hold(np.arange(5000)).mean() < 0.01
 
 
+def test_distributed_components_of_many_edges(spark):
+    rng = random.Random(2)
+    edges = [(i, i + 1) for i in range(0, 3000)] + [(10_000, 10_000 + i) for i in range(1, 20_000)] + [(40_000 + rng.randrange(30_000), 40_000 + rng.randrange(30_000)) for _ in range(40_000)]
+    df = spark.createDataFrame(edges, "a long, b long").repartition(6)
+    assert dict(shared.components(df, 0).collect()) == dict(shared.components(df).collect())
+
+
 def test_components_of_long_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(1000, 1200)] + [(5000, 5000 + i) for i in range(1, 300)] + [(7, 9), (9, 8), (3, 3)]
     df = spark.createDataFrame(edges, "a long, b long")
@@ -229,7 +284,7 @@ def test_toxicity_is_accurate_on_held_out_rows(spark):
 
 def test_quality_equals_brute_force():
     rng = random.Random(5)
-    words = ["of", "the", "a#", "cat.", "|", "é", "x" * 9, "All", "rights", "reserved"]
+    words = ["of", "the", "a#", "cat.", "|", "é", "メニュー", "fin…", "終。", "😀", "x" * 9, "All", "rights", "reserved", "Tous", "droits réservés"]
     texts = ["\n".join(" ".join(rng.choice(words) for _ in range(rng.randint(0, 9))) + rng.choice(["", ".", " "]) for _ in range(rng.randint(1, 25))) for _ in range(300)] + ["", None, "a b c " * 50]
     got = quality.judge(pa.array(texts))
     for i, text in enumerate(texts):
@@ -245,7 +300,7 @@ def test_quality_equals_brute_force():
             dup += line in seen
             seen.add(line)
             end = lw[-1][-1]
-            bad = sum(c in "#*$%&|<>" for c in line) * 10 > len(lw) or (len(lw) < 4 and not (end in ".!?:;,\"')]}" or ord(end) > 127)) or "all rights reserved" in line.lower()
+            bad = sum(c in "#*$%&|<>" for c in line) * 10 > len(lw) or (len(lw) < 4 and end not in ".!?:;,\"')]}…”’“»›‹«。！？：；，、）」』】》؟۔।") or "all rights reserved" in line.lower() or "tous droits réservés" in line.lower()
             lost += len(lw) * bad
         failed = len(w) < 50 or 100 * len(covered) > 50 * len(w)
         want = {"n_words": len(w), "word_chars": sum(map(len, w)), "n_symbols": sum(c in "#*$%&|<>" for c in text), "n_dup_lines": dup, "n_repeat_words": len(covered), "base_failed": failed, "lost_words": lost, "kept": not failed and 2 * lost <= len(w)}

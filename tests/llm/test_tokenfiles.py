@@ -19,8 +19,10 @@ def test_grammar_round_trip(n, base):
     rng = np.random.default_rng(n + base)
     ids = np.minimum(rng.zipf(1.3, n), base - 1).astype(np.uint32)
     ids[n // 2 : n // 2 + n // 4] = 7
-    symbols, rules, lengths, bounds = tokenfiles.compress(ids, base, rounds=5, pairs=300)
-    assert (tokenfiles.expand(symbols, rules, bounds) == ids).all()
+    symbols, rules, lengths, bounds = tokenfiles.compress(ids, base, pairs=300, exhaust=True)
+    assert (tokenfiles.expand(symbols, rules, bounds) == ids).all() and (tokenfiles.expand_only(symbols, rules, base) == ids).all()
+    short, its_rules, _, its_bounds = tokenfiles.compress(ids, base, pairs=300)
+    assert (tokenfiles.expand(short, its_rules, its_bounds) == ids).all() and 2 * len(short) + 12 * len(its_rules) <= 2 * len(ids)
     assert n < 1000 or len(symbols) < n
     row = {"symbols": symbols.astype("<u4").tobytes(), "wide": True, "rules": rules.astype("<u4").tobytes(), "lengths": lengths.astype("<u4").tobytes(), "rounds": bounds}
     for a, b in [(0, n), (n // 3, n // 2), (5, 6), (n, n + 5), (-3, 2)]:

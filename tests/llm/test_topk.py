@@ -50,3 +50,31 @@ def test_pruning_happens():
     t.run()
     leaves = lambda n: sum(map(leaves, n.children)) if n.children else 1
     assert t.pairs < 0.2 * leaves(topk.build(x.astype(float))) ** 2
+
+
+def test_nets_cover_and_separate():
+    x = np.random.default_rng(2).normal(0, 1, (3000, 5)) * 50
+    distance = lambda a, b: np.sqrt(((a - b) ** 2).sum(-1))
+
+    def look(node):
+        assert distance(x[node.points], node.centre).max() <= node.radius
+        if node.children:
+            centres = np.stack([c.centre for c in node.children])
+            assert node.scale <= node.radius and (centres[0] == node.centre).all()
+            apart = distance(centres[:, None], centres[None]) + np.eye(len(centres)) * 1e9
+            assert apart.min() >= node.scale - 1e-9 and all(c.radius <= node.scale * (1 + 1e-9) + 1e-9 for c in node.children)
+            assert sorted(np.concatenate([c.points for c in node.children]).tolist()) == sorted(node.points.tolist())
+            for c in node.children:
+                look(c)
+
+    look(topk.build(x))
+
+
+def test_floors_keep_ties_and_prune():
+    rng = np.random.default_rng(4)
+    x = rng.integers(-50, 50, (2000, 3))
+    free, bound = topk.Search(x[:50], np.arange(50), x, np.arange(2000), 5), None
+    free.run()
+    bound = topk.Search(x[:50], np.arange(50), x, np.arange(2000), 5, free.score[:, -1])
+    bound.run()
+    assert (free.score == bound.score).all() and (free.found == bound.found).all() and bound.pairs <= free.pairs
