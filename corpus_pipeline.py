@@ -1,5 +1,9 @@
 """From raw documents to token ids: toxic documents go, near copies go, repeated passages are cut, sources are mixed to
-target weights, and what is left is encoded. Each stage is written as Parquet and read again by the next one."""
+target weights, and what is left is encoded. Each stage is written as Parquet and read again by the next one.
+
+Every stage keeps rows with a null id or null text in so far as its operator's module says, keeps all columns whatever their
+names (but for the last, which returns its own four), takes equal rows as its operator does, and gives no rows for an empty
+table."""
 
 from __future__ import annotations
 
@@ -8,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenspark.llm import bpe, jaccard, mixing, suffix, toxicity
-from lumenspark.llm.shared import new_folder
+from lumenspark.llm.shared import new_folder, remove
 from lumenspark.session import ship_package
 
 
@@ -58,9 +62,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages. A stage's table goes once the next one is written; the last one's input stays, as its result is lazy."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         folder = new_folder(spark, f"stage-{name}")
         stage(spark, docs, sf_dir).write.parquet(folder)
         docs = spark.read.parquet(folder)
+        if before:
+            remove(spark, before)
+        before = folder
     return STAGES[-1][1](spark, docs, sf_dir)
