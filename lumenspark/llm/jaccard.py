@@ -47,6 +47,7 @@ LEAST_CELLS = 64
 MOST_CELLS = 4096
 BLOCK = 2048
 FAMILY_ELEMENTS = 1 << 20
+FAMILY_BLOCK = 1024
 _MASK = np.uint64((1 << BITS) - 1)
 assert SMALL_ROWS <= 1 << (64 - BITS)
 
@@ -143,7 +144,7 @@ def _of_classes(texts: DataFrame, classes: DataFrame, k: int, column: str, blobs
                 if int(h[i]) not in seen:
                     seen.add(int(h[i]))
                     use.append(i)
-            if len(seen) > 200_000:
+            if len(seen) > 50_000:
                 seen.clear()
             yield pa.RecordBatch.from_arrays([pa.array(h[use]), pa.array(np.diff(offsets)[use]), pa.array(blobs_of(sets, offsets, use), pa.binary())], names=["class", "n", column])
 
@@ -323,16 +324,16 @@ def intersections(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -
     holders = np.diff(np.append(start, len(element)))
     place_l, place_r = np.full(m, -1), np.full(m, -1)
     place_l[left], place_r[right] = np.arange(len(left)), np.arange(len(right))
-    out = np.zeros((len(left), len(right)), np.float64)
+    out = np.zeros((len(left), len(right)), np.float32)  # counts below 2^24 are exact
     often = np.flatnonzero((holders > 1) & (holders * 10 >= m))
-    step = max(64, (1 << 23) // m)
+    step = max(64, (1 << 21) // m)
     for at in range(0, len(often), step):
         use = often[at : at + step]
         rows = owner[textops.ragged(start[use], holders[use])]
         column = np.repeat(np.arange(len(use)), holders[use])
         grid = np.zeros((m, len(use)), np.float32)
         grid[rows, column] = 1
-        out += grid[left] @ grid[right].T  # counts below 2^24: exact
+        out += grid[left] @ grid[right].T
     rare = np.flatnonzero((holders > 1) & (holders * 10 < m))
     for p in np.unique(holders[rare]).tolist():
         use = rare[holders[rare] == p]
@@ -341,8 +342,9 @@ def intersections(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -
             a = np.broadcast_to(place_l[held][:, :, None], (len(held), p, p)).ravel()
             b = np.broadcast_to(place_r[held][:, None, :], (len(held), p, p)).ravel()
             ok = (a >= 0) & (b >= 0)
-            out += np.bincount(a[ok] * len(right) + b[ok], minlength=out.size).reshape(out.shape)
-    return out.astype(np.int64)
+            place, count = np.unique(a[ok] * len(right) + b[ok], return_counts=True)
+            out.reshape(-1)[place] += count
+    return out
 
 
 def linked_forest(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
@@ -353,7 +355,10 @@ def linked_forest(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, n
     same = len(left) == len(right) == len(sets)
     shared = intersections(sets, left, right)
     n = np.fromiter(map(len, sets), np.int64, len(sets))
-    link = den * shared >= num * (n[left][:, None] + n[right][None] - shared)
+    link = np.empty(shared.shape, bool)
+    for i, size in enumerate(n[left].tolist()):
+        row = shared[i].astype(np.int64)
+        link[i] = den * row >= num * (size + n[right] - row)
     open_l, open_r, out = np.ones(len(left), bool), np.ones(len(right), bool), []
     for root in range(len(left)):
         if not open_l[root]:
@@ -381,14 +386,15 @@ def class_components(texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
     def keys(batch):
         sets, offsets = shingle_sets(batch.column(0), k)
         found, row = signatures(sets, offsets, num, den)
-        return found, set_hashes(sets, offsets)[row]
+        # 48 bits: signatures that meet by chance are told apart by what follows, like any others.
+        return found >> np.uint64(16), set_hashes(sets, offsets)[row]
 
     shared = keep(shared_pairs(texts, keys, width(spark)).withColumnsRenamed({"key": "sig", "owner": "class"}))
     sketches = keep(_of_classes(texts, shared.select("class").distinct(), k, "bits", sketches_of))
     family = families(shared, sketches, num, den)
     free(shared)
     sized = family.join(sketches.select("class", "n"), "class")
-    blocks = F.greatest(F.ceil(F.sum("n") / FAMILY_ELEMENTS), F.ceil(F.count("*") / BLOCK)).cast("int").alias("q")
+    blocks = F.greatest(F.ceil(F.sum("n") / FAMILY_ELEMENTS), F.ceil(F.count("*") / FAMILY_BLOCK)).cast("int").alias("q")
     placed = keep(family.join(sized.groupBy("component").agg(blocks), "component"))
     free(sketches)
     sets = _of_classes(texts, placed, k, "elements", lambda sets, offsets, use: [_planes(sets[offsets[i] : offsets[i + 1]]) for i in use])

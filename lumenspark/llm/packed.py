@@ -19,7 +19,7 @@ from lumenspark.llm import textops
 from lumenspark.llm.shared import tidy
 
 SMALL_ROWS = 4096
-FLUSH = 1 << 20
+FLUSH = 1 << 19
 BITS_EACH = 128
 MOST_BITS = 28
 
@@ -53,11 +53,11 @@ def small_batches(batches, column: str = "text"):
 def shared_pairs(df: DataFrame, keys_of: Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray]], parts: int, buckets: int = 0) -> DataFrame:
     """(key, owner) of all keys that at least two owners have, once each.
 
-    ``keys_of`` gives the unsigned 64-bit keys and the owners of a batch of ``df``, which has a column text. Keys are dealt
-    into ``buckets`` (several a partition), and a counting task holds one bucket at a time: Spark sorts its rows by bucket,
+    ``keys_of`` gives the unsigned keys (64 bits; the fewer are used the less is shuffled) and the owners of a batch of
+    ``df``, which has a column text. Keys are dealt into ``buckets`` (two a partition), and a counting task holds one bucket at a time: Spark sorts its rows by bucket,
     and spills them if it must.
     """
-    buckets = buckets or parts * max(1, min(16, 4096 // parts))
+    buckets = buckets or 2 * parts
 
     def emit(batches):
         waiting: list[np.ndarray] = []

@@ -16,7 +16,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _local: dict[str, str] = {}
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Settings while a table is computed: shuffle files go with their query, and batches of rows for Python stay small.
+_SETTINGS = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -40,13 +41,15 @@ def new_folder(spark: SparkSession, name: str) -> str:
 
 @contextmanager
 def tidy(spark: SparkSession):
-    """Shuffle files of what runs inside go as soon as its result is there."""
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
+    """Shuffle files of what runs inside go as soon as its result is there; the session's settings come back after it."""
+    before = {k: spark.conf.get(k, None) for k in _SETTINGS}
+    for k, v in _SETTINGS.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def keep(df: DataFrame) -> DataFrame:
