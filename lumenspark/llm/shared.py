@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 _local: dict[str, str] = {}
 #: Settings while a table is computed: shuffle files go with their query, and batches of rows for Python stay small.
-_SETTINGS = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
+_SETTINGS = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
 
 
 def shared_dir(spark: SparkSession) -> str:
