@@ -6,7 +6,7 @@ where they overlap). Words in which nothing merges leave the array. As a merge's
 a higher rank, a round does what one-at-a-time merging does. A word of more than ``LONG`` bytes has rounds of its own that
 look only at pairs beside the last merges, so its time is in proportion to its length, not to its square.
 
-Scale: one pass, no shuffle; a task holds a batch of about 2 MB of text and the memo of known words, which is bounded by
+Scale: one pass, no shuffle; a task holds a batch of about half a MB of text and the memo of known words, which is bounded by
 words and by bytes (when it is full, those of the batch at hand stay).
 
 Tokenizer files: byte-level BPE with the pattern of ``fst``, no normalizer, added tokens without flags; ``Vocabulary`` reads

@@ -44,7 +44,7 @@ def _unpack(raw: bytes) -> np.ndarray:
 
 
 def small_batches(batches, column: str = "text"):
-    """Batches of about 2 MB of text and at most ``SMALL_ROWS`` rows."""
+    """Batches of about half a MB of text and at most ``SMALL_ROWS`` rows."""
     for batch in textops.batches_by_bytes(batches, column):
         for at in range(0, batch.num_rows, SMALL_ROWS):
             yield batch.slice(at, SMALL_ROWS)

@@ -9,7 +9,7 @@ A line with a word fails if
 A document is kept if it passes the base rules (50 words or more; at most half of its words in repeated 3-word windows) and
 at least half of its words lie in lines that stay. Lines are parted by ``\\n`` only.
 
-Scale: one pass, no shuffle; a task holds a batch of about 2 MB of text, or one longer text.
+Scale: one pass, no shuffle; a task holds a batch of about half a MB of text, or one longer text.
 
 Edge cases: a null text has no words and fails the base; lines without a word never count; repeated rows are judged each on
 its own; ids and other columns may have any name and type (``quality_report`` ignores other columns, ``clean`` keeps them);

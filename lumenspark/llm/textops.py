@@ -7,13 +7,24 @@ an empty one. Memory is a small multiple of one block (``BLOCK`` bytes, or one l
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 
-BLOCK = 1 << 20
+BLOCK = 1 << 18
+
+
+def return_memory() -> None:
+    """Gives freed memory back to the system. Python workers are used again by task after task, and would hold the peaks of
+    all of them."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        return
 SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 
 _MULT = 0x9E3779B97F4A7C15 | 1
@@ -78,7 +89,7 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - first
 
 
-def batches_by_bytes(batches, column: str, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def batches_by_bytes(batches, column: str, limit: int = 1 << 19) -> Iterator[pa.RecordBatch]:
     """Cuts record batches into runs of rows with about ``limit`` bytes of text (one row at least)."""
     for batch in batches:
         if not batch.num_rows:
@@ -89,6 +100,7 @@ def batches_by_bytes(batches, column: str, limit: int = 2 << 20) -> Iterator[pa.
             end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1)
             yield batch.slice(at, end - at)
             at = end
+    return_memory()
 
 
 def _block_ends(data: np.ndarray, separators: np.ndarray) -> list[int]:

@@ -276,7 +276,7 @@ def write_files(docs: DataFrame, folder: str, tokenizer_path: str, shard_tokens:
     def encode(batches):
         encoder = encoder_of(tokenizer_path)
         end = np.array([end_id], encoder.kind).tobytes()
-        for batch in textops.batches_by_bytes(batches, "text"):
+        for batch in textops.batches_by_bytes(batches, "text", 2 << 20):
             packed = [x + end for x in encoder.encode(batch.column(1))]
             known = batch.column(0).fill_null(np.iinfo(np.int64).min).to_numpy()
             part = np.searchsorted(cuts, known, "left").astype(np.int32)
