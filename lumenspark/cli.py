@@ -94,14 +94,19 @@ def main(argv: Sequence[str] | None = None) -> None:
             print(tables.render_spec(spec))
             return
     spark = SparkSession.builder.appName("lumenspark").config("spark.sql.session.timeZone", "UTC").getOrCreate()
-    start, stop = args.start or moment(str(spec["start"])), args.stop or moment(str(spec["stop"]))
-    times = time_range(spark, start, stop, args.step or int(float(spec.get("step_hours", 1)) * 3600))
+    if spec.get("times") and not args.start:
+        times = tables.time_list(spark.createDataFrame([(str(t),) for t in spec["times"]], "value string"))
+    else:
+        start, stop = args.start or moment(str(spec["start"])), args.stop or moment(str(spec["stop"]))
+        times = time_range(spark, start, stop, args.step or int(float(spec.get("step_hours", 1)) * 3600))
     sky = ephemeris.approximate(times)
     if args.command == "azel":
         tables.write_csv(tables.azel_lines(mapset.azel_series(times, sky, args.lat, args.lon), "time"), args.out, crlf=True)
         return
 
     def terrain(layer: dict) -> mapset.Terrain:
+        if layer.get("kind") == "site":
+            raise SystemExit(f"{layer['path']}: site layers, whose grid is not centred on the pole, cannot be rendered")
         if layer["path"].endswith((".tif", ".tiff")):
             head = rasters.read_tiff_headers(spark, layer["path"]).first()
             return mapset.Terrain(rasters.read_tiff(spark, layer["path"]).drop("path"), G.Grid(head["s0"], head["l0"], head["cell_w"] / 1000), head["height"], head["width"])

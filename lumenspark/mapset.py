@@ -56,14 +56,12 @@ def render(terrain: Terrain, ephemeris: DataFrame, times: DataFrame, window: tup
 
 def generate(terrain: Terrain, ephemeris: DataFrame, times: DataFrame, folder: str, **options) -> DataFrame:
     """Renders the times that ``folder`` does not hold yet and returns all of it. One Parquet partition a time."""
-    from pyspark.errors import AnalysisException
-
     spark = times.sparkSession
-    try:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    # A folder that is there but cannot be read is an error, not an empty one.
+    if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
         there = spark.read.parquet(folder).select("ts").distinct()
         times = resume(times, there.select(F.col("ts").cast("timestamp_ntz").alias("ts")), ["ts"])
-    except AnalysisException:
-        pass  # nothing there yet
     render(terrain, ephemeris, times, **options).write.mode("append").partitionBy("ts").parquet(folder)
     return spark.read.parquet(folder)
 

@@ -31,10 +31,10 @@ def runs(df: DataFrame, inside: Column, pixel: str = "px", order: tuple[str, ...
     return found.select(pixel, "start", "stop", (_seconds(F.col("start"), F.col("stop")) / HOUR).alias("hours"))
 
 
-def statistics(df: DataFrame, contact_at_least: int, pixel: str = "px", order: tuple[str, ...] = ("ts",)) -> DataFrame:
-    """Per pixel: lit, contact and lit-and-contact per cent, mean sun per cent, longest shadow and outage in hours."""
+def statistics(df: DataFrame, contact_at_least: int, pixel: str = "px", order: tuple[str, ...] = ("ts",), sun_at_least: int = 1) -> DataFrame:
+    """Per pixel, lit from ``sun_at_least`` on: lit, contact and lit-and-contact per cent, mean sun per cent, longest shadow and outage in hours."""
     share = lambda c: 100 * F.avg(c.cast("int"))
-    lit, contact = F.col("sun") > 0, F.col("dsn") >= contact_at_least
+    lit, contact = F.col("sun") >= sun_at_least, F.col("dsn") >= contact_at_least
     base = df.groupBy(pixel).agg(share(lit).alias("lit_percent"), (100 * F.avg(F.col("sun") / 255)).alias("mean_sun_percent"), share(contact).alias("contact_percent"), share(lit & contact).alias("lit_and_contact_percent"))
     longest = lambda c, name: runs(df, c, pixel, order).groupBy(pixel).agg(F.max("hours").alias(name))
     out = base.join(longest(~lit, "longest_shadow_hours"), pixel, "left").join(longest(~contact, "longest_outage_hours"), pixel, "left")

@@ -78,7 +78,9 @@ def sphere_slope(x: Column, y: Column, elev_m: Column, query: Vector, up: Vector
 
 
 def horizon(samples: DataFrame, keys: list[str], slope: str = "slope", threshold: str = "threshold") -> DataFrame:
-    """Slope of each ray's horizon: at the first sample that reaches the threshold, else the largest."""
+    """Slope of each ray's horizon: at the first sample that reaches the threshold, else the largest. Samples that touch a
+    cell without data (NaN) are skipped; Spark would take NaN for the largest of all numbers."""
+    samples = samples.where(~F.isnan(slope))
     hit = F.col(slope) >= F.col(threshold)
     return samples.groupBy(*keys).agg(F.coalesce(F.min_by(slope, F.when(hit, F.col("d"))), F.max(slope)).alias(slope), F.max(hit).alias("hit"), F.max("d").alias("exit_d"))
 

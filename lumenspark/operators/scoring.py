@@ -82,9 +82,9 @@ def relative_improvement(current: Column, baseline: Column, sign: Column) -> Col
 
 
 def summaries(d: DataFrame) -> DataFrame:
-    """Finite median and mean of each metric on both sides."""
+    """Finite median and mean of each metric on both sides; NaN where no value is finite."""
     finite = lambda c: F.when(_finite(F.col(c)), F.col(c))
-    both = d.groupBy("metric").agg(*(f(finite(c)).alias(f"{n}_{c}") for n, f in (("median", F.median), ("mean", F.avg)) for c in ("baseline", "current")))
+    both = d.groupBy("metric").agg(*(F.coalesce(f(finite(c)), F.lit(float("nan"))).alias(f"{n}_{c}") for n, f in (("median", F.median), ("mean", F.avg)) for c in ("baseline", "current")))
     return both.select("metric", F.explode(F.array(*(F.struct(F.lit(n).alias("summary"), F.col(f"{n}_baseline").alias("baseline"), F.col(f"{n}_current").alias("current")) for n in ("median", "mean")))).alias("s")).select("metric", "s.*")
 
 

@@ -113,16 +113,21 @@ def _(spark, sf):
     return n.unpivot(["id"], ["name", "region"], "key", "value")
 
 
-@query("safe_name", "SELECT page_id, regexp_replace(url, '[^A-Za-z0-9._-]+', '_', 'g') AS name FROM pages")
+@query("safe_name", "SELECT page_id, regexp_replace(regexp_replace(url, '^\\s+|\\s+$', '', 'g'), '[^A-Za-z0-9._-]+', '_', 'g') AS name FROM pages")
 def _(spark, sf):
     return table(spark, sf, "pages").select("page_id", tables.safe_name(F.col("url")).alias("name"))
 
 
-@query("human_bytes", "SELECT doc_id, CASE WHEN n_chars >= 1000000 THEN ((n_chars + 50000) // 100000) // 10 || '.' || ((n_chars + 50000) // 100000) % 10 || ' MB' WHEN n_chars >= 1000 THEN ((n_chars + 50) // 100) // 10 || '.' || ((n_chars + 50) // 100) % 10 || ' KB' ELSE n_chars || ' B' END AS size FROM documents")
+@query("human_bytes", "SELECT doc_id, CASE WHEN n_chars >= 1048576 THEN printf('%.1f MB', n_chars / 1048576.0) WHEN n_chars >= 1024 THEN printf('%.1f KB', n_chars / 1024.0) ELSE n_chars || ' B' END AS size FROM documents")
 def _(spark, sf):
     return table(spark, sf, "documents").select("doc_id", tables.human_bytes(F.col("n_chars")).alias("size"))
 
 
+@query("human_duration", "SELECT doc_id, CASE WHEN s < 60 THEN s || 's' WHEN s < 3600 THEN s // 60 || 'm ' || lpad((s % 60)::VARCHAR, 2, '0') || 's' ELSE s // 3600 || 'h ' || lpad((s % 3600 // 60)::VARCHAR, 2, '0') || 'm' END AS took FROM (SELECT doc_id, round_even(n_chars / 2.0, 0)::BIGINT AS s FROM documents)")
+def _(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", tables.human_duration(F.col("n_chars") / 2).alias("took"))
+
+
 @query("s22_constant_columns", "SELECT count(DISTINCT r_regionkey) > 1 AS r_regionkey, count(DISTINCT 'x') > 1 AS fixed FROM region")
 def _(spark, sf):
     """Which columns of a plot vary."""

@@ -21,9 +21,14 @@ def parse_time(text: Column) -> Column:
 
 
 def time_list(lines: DataFrame, column: str = "value") -> DataFrame:
-    """Distinct times of lines: what follows # and blank lines are left out."""
+    """Distinct times of lines: what follows # and blank lines are left out. Reading any other line that is no time raises an
+    error that names it."""
     text = F.trim(F.split_part(F.col(column), F.lit("#"), F.lit(1)))
-    return lines.select(text.alias("t")).where(F.length("t") > 0).select(parse_time(F.col("t")).alias("ts")).distinct()
+    return lines.select(text.alias("t")).where(F.length("t") > 0).select(_time_or_error(F.col("t")).alias("ts")).distinct()
+
+
+def _time_or_error(text: Column) -> Column:
+    return F.coalesce(parse_time(text), F.raise_error(F.concat(F.lit("not a time: "), text)).cast("timestamp_ntz"))
 
 
 def read_time_list(spark: SparkSession, path: str) -> DataFrame:
@@ -31,11 +36,13 @@ def read_time_list(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_csv_times(spark: SparkSession, path: str) -> DataFrame:
-    """Times of a CSV file whose header may begin with '# ': of column time or start time, else of the first."""
+    """Times of a CSV file whose header may begin with '# ': of column time or start time, else of the first. Empty cells are
+    left out; reading any other cell that is no time raises an error that names it."""
     df = spark.read.csv(path, header=True)
     clean = [c.lstrip("# ").strip().lower() for c in df.columns]
     at = next((i for i, c in enumerate(clean) if c in ("time", "start time")), 0)
-    return df.select(parse_time(F.col(f"`{df.columns[at]}`")).alias("ts")).where("ts is not null")
+    cell = F.col(f"`{df.columns[at]}`")
+    return df.where(F.trim(cell) != "").select(_time_or_error(cell).alias("ts"))
 
 
 def read_metrics(spark: SparkSession, path: str) -> DataFrame:
@@ -145,15 +152,23 @@ def csv_cell(c: Column) -> Column:
 
 
 def safe_name(c: Column) -> Column:
-    """A name for files: runs of other than letters, digits, dot, dash and underscore become one underscore."""
-    return F.regexp_replace(c, r"[^A-Za-z0-9._-]+", "_")
+    """A name for files: without white space at its ends, and runs of other than letters, digits, dot, dash and underscore
+    become one underscore."""
+    return F.regexp_replace(F.regexp_replace(c, r"^\s+|\s+$", ""), r"[^A-Za-z0-9._-]+", "_")
 
 
 def human_bytes(n: Column) -> Column:
-    """Size with one decimal (halves up, in whole numbers): 999 B, 1.0 KB, 12.3 MB."""
+    """Size with one decimal (ties to even) in powers of 1024, up to GB: 1023 B, 1.0 KB, 12.3 MB."""
     n = n.cast("long")
     out = F.format_string("%d B", n)
-    for i, unit in enumerate(("KB", "MB", "GB", "TB"), 1):
-        tenths = F.floor((n + 1000**i // 20) / (1000**i // 10))
-        out = F.when(n >= 1000**i, F.format_string(f"%d.%d {unit}", F.floor(tenths / 10), tenths % 10)).otherwise(out)
+    for i, unit in enumerate(("KB", "MB", "GB"), 1):
+        out = F.when(n >= 1024**i, F.format_string(f"%.1f {unit}", F.bround(n / 1024**i, 1))).otherwise(out)
     return out
+
+
+def human_duration(seconds: Column) -> Column:
+    """Whole seconds (ties to even) in the two largest units: 59s, 2m 05s, 3h 07m."""
+    s = F.bround(seconds.cast("double"), 0).cast("long")
+    minutes = F.format_string("%dm %02ds", F.floor(s / 60), s % 60)
+    hours = F.format_string("%dh %02dm", F.floor(s / 3600), F.floor(s % 3600 / 60))
+    return F.when(s < 60, F.format_string("%ds", s)).when(s < 3600, minutes).otherwise(hours)

@@ -104,3 +104,34 @@ def test_stream_of_frames(spark, tmp_path):
     stream.run_once(shares, f"{tmp_path}/out", f"{tmp_path}/cp")
     got = {(str(r["start"])[:10], r["px"]): (r["n"], r["n_lit"], r["n_contact"], r["sum_sun"]) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
     assert got[("2024-01-01", 1)] == (2, 1, 2, 10) and got[("2024-01-01", 2)] == (1, 1, 0, 5)
+
+
+def test_names_sizes_and_durations(spark):
+    row = spark.range(1).select(
+        tables.safe_name(F.lit("  a b/c\t")).alias("name"),
+        *(tables.human_bytes(F.lit(n)).alias(f"b{n}") for n in (0, 1023, 1024, 1280, 1792, 1048576, 5 * 1024**4)),
+        *(tables.human_duration(F.lit(s)).alias(f"s{i}") for i, s in enumerate((59.4, 125.0, 3600.0, 11_224.0))),
+    ).first()
+    assert tuple(row) == ("a_b_c", "0 B", "1023 B", "1.0 KB", "1.2 KB", "1.8 KB", "1.0 MB", "5120.0 GB", "59s", "2m 05s", "1h 00m", "3h 07m")
+
+
+def test_unreadable_times_and_missing_positions_are_errors(spark, tmp_path):
+    from lumenspark.sources import ephemeris
+
+    (tmp_path / "t.csv").write_text("# time,x\n2024-01-01T00:00:00,1\n,2\nsoon,3\n")
+    with pytest.raises(Exception, match="not a time: soon"):
+        tables.read_csv_times(spark, str(tmp_path / "t.csv")).collect()
+    with pytest.raises(Exception, match="not a time: soon"):
+        tables.time_list(spark.createDataFrame([("2024-01-01T00:00:00 # x",), ("",), ("soon",)], "value string")).collect()
+    times = spark.sql("SELECT timestamp_ntz'2024-01-01 00:00:00' AS ts UNION ALL SELECT timestamp_ntz'2024-01-02 00:00:00'")
+    sky = ephemeris.approximate(times)
+    assert ephemeris.at_times(times, sky).count() == 2
+    with pytest.raises(Exception, match="no positions at 2024-01-02"):
+        ephemeris.at_times(times, sky.where("ts < '2024-01-02'")).collect()
+
+
+def test_holes_are_no_horizon(spark):
+    from lumenspark.operators import raycast
+
+    samples = spark.createDataFrame([(1, 1.0, 0.1), (1, 2.0, float("nan")), (1, 3.0, 0.2), (2, 1.0, float("nan")), (2, 2.0, 0.5)], "ray int, d double, slope double").withColumn("threshold", F.lit(0.3))
+    assert {r["ray"]: (r["slope"], r["hit"]) for r in raycast.horizon(samples, ["ray"]).collect()} == {1: (0.2, False), 2: (0.5, True)}
