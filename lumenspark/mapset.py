@@ -15,7 +15,7 @@ from lumenspark.functions import geometry as G
 from lumenspark.operators import raycast as X
 from lumenspark.operators.frames import resume
 from lumenspark.operators.raster import crop, quads, tile_of
-from lumenspark.sources.ephemeris import at_times
+from lumenspark.sources.ephemeris import at_times, require_positions
 
 
 @dataclass(frozen=True)
@@ -62,6 +62,7 @@ def generate(terrain: Terrain, ephemeris: DataFrame, times: DataFrame, folder: s
     if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
         there = spark.read.parquet(folder).select("ts").distinct()
         times = resume(times, there.select(F.col("ts").cast("timestamp_ntz").alias("ts")), ["ts"])
+    require_positions(times, ephemeris)
     render(terrain, ephemeris, times, **options).write.mode("append").partitionBy("ts").parquet(folder)
     return spark.read.parquet(folder)
 

@@ -64,11 +64,17 @@ def approximate(times: DataFrame, column: str = "ts") -> DataFrame:
 
 
 def at_times(times: DataFrame, ephemeris: DataFrame, column: str = "ts") -> DataFrame:
-    """One row a time with both bodies: (ts, sx, sy, sz, ex, ey, ez). A time that ``ephemeris`` lacks raises an error."""
+    """One row a time with both bodies: (ts, sx, sy, sz, ex, ey, ez). Times that ``ephemeris`` lacks have no row; see
+    ``require_positions``."""
     of = lambda body, p: ephemeris.where(F.col("body") == body).select(column, *(F.col(i).alias(f"{p}{i}") for i in "xyz"))
-    both = times.join(of(SUN, "s"), column, "left").join(of(EARTH, "e"), column, "left")
-    lacks = F.raise_error(F.concat(F.lit("the ephemeris has no positions at "), F.col(column).cast("string"))).cast("double")
-    return both.withColumns({p + i: F.coalesce(p + i, lacks) for p in "se" for i in "xyz"})
+    return times.join(of(SUN, "s"), column).join(of(EARTH, "e"), column)
+
+
+def require_positions(times: DataFrame, ephemeris: DataFrame, column: str = "ts") -> None:
+    """Raises where ``ephemeris`` lacks a time. Runs a small job over times only."""
+    lacking = times.select(column).join(at_times(times, ephemeris, column), column, "left_anti").select(F.col(column).cast("string")).head(1)
+    if lacking:
+        raise ValueError(f"the ephemeris has no positions at {lacking[0][0]}")
 
 
 def interpolated(times: DataFrame, ephemeris: DataFrame, column: str = "ts") -> DataFrame:

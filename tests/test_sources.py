@@ -127,7 +127,7 @@ def test_unreadable_times_and_missing_positions_are_errors(spark, tmp_path):
     sky = ephemeris.approximate(times)
     assert ephemeris.at_times(times, sky).count() == 2
     with pytest.raises(Exception, match="no positions at 2024-01-02"):
-        ephemeris.at_times(times, sky.where("ts < '2024-01-02'")).collect()
+        ephemeris.require_positions(times, sky.where("ts < '2024-01-02'"))
 
 
 def test_holes_are_no_horizon(spark):
