@@ -116,6 +116,8 @@ def shared_pairs(df: DataFrame, keys_of: Callable[[pa.RecordBatch], tuple[np.nda
                     entries.append(x)
                     flags.append(np.unpackbits(np.frombuffer(flag, np.uint8), count=len(x)).astype(bool))
         yield from shared_of(entries, flags)
+        entries, flags = [], []
+        textops.return_memory()
 
     def shared_of(entries: list[np.ndarray], flags: list[np.ndarray]):
         """Entries of a bucket whose key another owner has too."""
@@ -168,6 +170,7 @@ def runs(batches, keys: int):
     if held:
         columns = [_array(c) for c in pa.Table.from_batches(held).combine_chunks().columns]
         yield columns, _starts(columns[:keys], len(columns[0]))
+    textops.return_memory()
 
 
 def _starts(columns: list[np.ndarray], n: int) -> np.ndarray:
