@@ -1,9 +1,10 @@
 """Ray casting and illumination as relational operators.
 
-A ray is a series of steps from a pixel in a direction of the grid; a sample joins a step with the quad table (each cell
-with its neighbours), so one equi-join on (row, column) fetches all four corners. The horizon of a ray is an aggregate over
-its samples: the slope at the first one that reaches the threshold, else the largest. Rays of one pixel and frame end up in
-one row by a second aggregate. Steps are generated per ray up to its own limit, never by a cross join with a filter.
+A ray is a series of steps from a pixel in a direction of the grid; stretches of it join the blocks of the quad table (each
+cell with its neighbours) that they touch, so one equi-join on the block fetches all four corners of all their samples. The
+horizon of a ray is an aggregate over its samples: the slope at the first one that reaches the threshold, else the largest.
+Rays of one pixel and frame end up in one row by a second aggregate. Steps are generated per ray up to its own limit, never
+by a cross join with a filter, and only where the block is at hand: samples are not shuffled.
 
 ``horizon_kernel`` is the other implementation of the same operator for large frames: tiles of pixels are marched in
 lockstep by numpy over a terrain array that is broadcast behind a check of its size.
@@ -30,6 +31,8 @@ SUN_HALF_ANGLE = 0.27
 RAY_OFFSETS = (-1.0, -5 / 7, -3 / 7, -1 / 7, 1 / 7, 3 / 7, 5 / 7, 1.0)
 INV_MAX_PHOTONS = 0.14666102826595306
 CELL_BYTES_LIMIT = 64 << 20
+BLOCK = 6  # bits: blocks of 64 x 64 cells
+CHUNK = 32  # steps
 
 
 def chords() -> list[tuple[int, float, float]]:
@@ -54,15 +57,65 @@ def next_layer_start(exit_distance: Column, from_m: float, to_m: float) -> Colum
     return F.greatest(F.lit(1.0), exit_distance * from_m / to_m)
 
 
-def march(rays: DataFrame, quads: DataFrame, limit: Column, start: Column | float = 1.0, carry: tuple[str, ...] = ()) -> DataFrame:
-    """Samples of rays (r, c, dc, dr, ...): columns of the ray, d, x, y and the quad's. ``limit`` bounds the distance."""
+def blocks(quads: DataFrame) -> DataFrame:
+    """(_br, _bc, _cells): squares of 2 ** ``BLOCK`` cells a side, each one array in which a cell's place is its row and column
+    in the square; cells that are not there have no ``here``."""
+    values = [n for n in quads.columns if n not in ("r", "c")]
+    kinds = {f.name: f.dataType for f in quads.schema}
+    cell = F.struct(_in_block().alias("i"), F.lit(True).alias("here"), *values)
+    squares = quads.groupBy(F.shiftright("r", BLOCK).alias("_br"), F.shiftright("c", BLOCK).alias("_bc")).agg(F.collect_list(cell).alias("q"))
+    every = F.transform(F.sequence(F.lit(0), F.lit((1 << 2 * BLOCK) - 1)), lambda i: F.struct(i.alias("i"), F.lit(None).cast("boolean").alias("here"), *(F.lit(None).cast(kinds[n]).alias(n) for n in values)))
+    cells = squares.select("_br", "_bc", F.explode(F.concat("q", every)).alias("q")).select("_br", "_bc", "q.*")
+    one = cells.groupBy("_br", "_bc", "i").agg(*(F.max(n).alias(n) for n in ("here", *values)))
+    return one.groupBy("_br", "_bc").agg(F.sort_array(F.collect_list(F.struct("i", "here", *values))).alias("_cells"))
+
+
+def _in_block() -> Column:
+    low = F.lit((1 << BLOCK) - 1)
+    return (F.shiftleft(F.col("r").bitwiseAND(low), BLOCK) + F.col("c").bitwiseAND(low)).cast("int")
+
+
+def march(rays: DataFrame, quads: DataFrame, limit: Column, start: Column | float = 1.0) -> DataFrame:
+    """Samples of rays (qr, qc, dc, dr, ...): columns of the ray, d, x, y and the quad's. ``limit`` bounds the distance.
+
+    Rays meet the terrain block by block: each stretch of ``CHUNK`` steps goes to the blocks that it can touch, and becomes
+    samples there. Neither side is broadcast, as the rows of a raster say little about the cells that they unfold to.
+    In place of dc and dr, rays may have ``fan``, an array of structs with them: these rays go to their blocks together."""
     first = F.lit(float(start)) if not isinstance(start, Column) else start
     steps = F.floor((limit - first) / STEP).cast("int")
-    far = rays.withColumn("_k", F.explode(F.when(steps >= 0, F.sequence(F.lit(0), steps)).otherwise(F.array().cast("array<int>"))))
-    far = far.withColumn("d", first + F.col("_k") * STEP).withColumns({"x": F.col("qc") + F.col("d") * F.col("dc"), "y": F.col("qr") + F.col("d") * F.col("dr")})
+    distance = lambda k: first + F.col(k) * STEP
+    fan = "fan" in rays.columns
+    own = [n for n in rays.columns if n != "fan"]
+
+    def ends(at: str, toward: str) -> tuple[Column, Column]:
+        if not fan:
+            both = [F.col(at) + distance(k) * F.col(toward) for k in ("_from", "_to")]
+            return F.least(*both), F.greatest(*both)
+        both = F.concat(*(F.transform("fan", _step_of(F.col(at), distance(k), toward)) for k in ("_from", "_to")))
+        return F.array_min(both), F.array_max(both)
+
+    far = rays.withColumn("_from", F.explode(F.when(steps >= 0, F.sequence(F.lit(0), steps, F.lit(CHUNK))).otherwise(F.array().cast("array<int>"))))
+    far = far.withColumn("_to", F.least(F.col("_from") + (CHUNK - 1), steps))
+    (x0, x1), (y0, y1) = ends("qc", "dc"), ends("qr", "dr")
+    far = far.withColumns({"_x0": x0, "_x1": x1, "_y0": y0, "_y1": y1}).where((F.col("_x1") > -1) & (F.col("_y1") > -1))
+    for name, a in (("_br", "y"), ("_bc", "x")):
+        far = far.withColumn(name, F.explode(F.sequence(*(F.shiftright(F.col(f"_{a}{i}").cast("long"), BLOCK) for i in (0, 1)))))
+    met = far.drop("_x0", "_x1", "_y0", "_y1").join(blocks(quads).hint("merge"), ["_br", "_bc"])
+    if fan:
+        met = met.withColumn("_ray", F.explode("fan"))
+        own += [f for f in rays.schema["fan"].dataType.elementType.fieldNames()]
+        met = met.select("*", "_ray.*").drop("fan", "_ray")
+    # A constant array, bits for block and place: code of more than 8,000 bytes is not compiled, but interpreted.
+    met = met.withColumn("_i", F.explode(F.array(*(F.lit(i) for i in range(CHUNK))))).withColumn("_k", F.col("_from") + F.col("_i")).where("_k <= _to").withColumn("d", distance("_k"))
+    met = met.withColumns({"x": F.col("qc") + F.col("d") * F.col("dc"), "y": F.col("qr") + F.col("d") * F.col("dr")}).where((F.col("x") > -1) & (F.col("y") > -1))
     # Truncation towards zero, so that the strip just outside the first row and column counts as cell 0.
-    far = far.withColumns({"r": F.col("y").cast("long"), "c": F.col("x").cast("long")}).drop("_k")
-    return far.where((F.col("x") > -1) & (F.col("y") > -1)).join(quads, ["r", "c"])
+    met = met.withColumns({"r": F.col("y").cast("long"), "c": F.col("x").cast("long")}).where((F.shiftright("r", BLOCK) == F.col("_br")) & (F.shiftright("c", BLOCK) == F.col("_bc")))
+    cell = F.col("_cells")[_in_block()]
+    return met.where(cell["here"]).select(*own, "d", "x", "y", "r", "c", *(cell[n].alias(n) for n in quads.columns if n not in ("r", "c")))
+
+
+def _step_of(at: Column, distance: Column, toward: str):
+    return lambda f: at + distance * f[toward]
 
 
 def flat_slope(elev_m: Column, query_m: Column, distance_m: Column, radius_m: float) -> Column:
@@ -77,12 +130,23 @@ def sphere_slope(x: Column, y: Column, elev_m: Column, query: Vector, up: Vector
     return (rise - observer_m / 1000) / F.sqrt(F.greatest(d.dot(d) - rise * rise, F.lit(1e-18)))
 
 
+def with_sphere_slope(samples: DataFrame, query: Vector, up: Vector, grid: Grid, observer_m: float) -> DataFrame:
+    """Samples with ``sphere_slope``, column by column: in one expression its code would be too large to be compiled."""
+    placed = samples.withColumn("_e", bilinear(F.col("x"), F.col("y")))
+    d = stereo_to_body(F.col("x"), F.col("y"), F.col("_e"), grid).minus(query)
+    placed = placed.withColumns({"_dx": d.x, "_dy": d.y, "_dz": d.z})
+    d = Vector(F.col("_dx"), F.col("_dy"), F.col("_dz"))
+    placed = placed.withColumn("_rise", d.dot(up)).withColumn("_flat", d.dot(d) - F.col("_rise") * F.col("_rise"))
+    return placed.withColumn("slope", (F.col("_rise") - observer_m / 1000) / F.sqrt(F.greatest(F.col("_flat"), F.lit(1e-18))))
+
+
 def horizon(samples: DataFrame, keys: list[str], slope: str = "slope", threshold: str = "threshold") -> DataFrame:
     """Slope of each ray's horizon: at the first sample that reaches the threshold, else the largest. Samples that touch a
     cell without data (NaN) are skipped; Spark would take NaN for the largest of all numbers."""
-    samples = samples.where(~F.isnan(slope))
-    hit = F.col(slope) >= F.col(threshold)
-    return samples.groupBy(*keys).agg(F.coalesce(F.min_by(slope, F.when(hit, F.col("d"))), F.max(slope)).alias(slope), F.max(hit).alias("hit"), F.max("d").alias("exit_d"))
+    samples = samples.withColumn("_ok", ~F.isnan(slope)).withColumn(slope, F.when(F.col("_ok"), F.col(slope)))
+    hit, d = F.col(slope) >= F.col(threshold), F.when(F.col("_ok"), F.col("d"))
+    found = samples.groupBy(*keys).agg(F.coalesce(F.min_by(slope, F.when(hit, d)), F.max(slope)).alias(slope), F.max(hit).alias("hit"), F.max(d).alias("exit_d"))
+    return found.where(F.col("exit_d").isNotNull())
 
 
 def sun_fraction(sun_elevation: Column, horizons: Column) -> Column:
@@ -94,23 +158,24 @@ def sun_fraction(sun_elevation: Column, horizons: Column) -> Column:
     return total * INV_MAX_PHOTONS
 
 
-def ray_fan(df: DataFrame) -> DataFrame:
-    """Nine rays a row: eight over the Sun's disk (0 to 7), one to Earth (8). ``df`` has sun_/earth_cos, _sin and _el.
+def ray_fans(df: DataFrame) -> DataFrame:
+    """Two fans a row, with one threshold each: eight rays over the Sun's disk (0 to 7), one to Earth (8). ``df`` has
+    sun_/earth_cos, _sin and _el.
 
     Rays of a body whose top is 10 degrees or more below the horizontal are not cast.
     """
-    sun = F.array(*(F.struct(F.lit(i).alias("ray"), (F.col("sun_cos") * math.cos(a) - F.col("sun_sin") * math.sin(a)).alias("dc"), (F.col("sun_cos") * math.sin(a) + F.col("sun_sin") * math.cos(a)).alias("dr"), F.tan(F.radians(F.col("sun_el") + SUN_HALF_ANGLE)).alias("threshold")) for i, a in enumerate(math.radians(o * SUN_HALF_ANGLE) for o in RAY_OFFSETS)))
-    earth = F.array(F.struct(F.lit(8).alias("ray"), F.col("earth_cos").alias("dc"), F.col("earth_sin").alias("dr"), F.tan(F.radians("earth_el")).alias("threshold")))
-    none = F.filter(sun, lambda x: F.lit(False))
-    both = F.concat(F.when(F.col("sun_el") + SUN_HALF_ANGLE > -10, sun).otherwise(none), F.when(F.col("earth_el") > -10, earth).otherwise(none))
-    return df.withColumn("_ray", F.explode(both)).select("*", "_ray.*").drop("_ray")
+    sun = F.array(*(F.struct(F.lit(i).alias("ray"), (F.col("sun_cos") * math.cos(a) - F.col("sun_sin") * math.sin(a)).alias("dc"), (F.col("sun_cos") * math.sin(a) + F.col("sun_sin") * math.cos(a)).alias("dr")) for i, a in enumerate(math.radians(o * SUN_HALF_ANGLE) for o in RAY_OFFSETS)))
+    earth = F.array(F.struct(F.lit(8).alias("ray"), F.col("earth_cos").alias("dc"), F.col("earth_sin").alias("dr")))
+    both = F.array(F.struct(F.lit(0).alias("i"), (F.col("sun_el") + SUN_HALF_ANGLE).alias("top")), F.struct(F.lit(1).alias("i"), F.col("earth_el").alias("top")))
+    cast = df.withColumn("_body", F.explode(both)).where(F.col("_body.top") > -10)
+    return cast.withColumns({"threshold": F.tan(F.radians("_body.top")), "fan": F.when(F.col("_body.i") == 0, sun).otherwise(earth)}).drop("_body")
 
 
 def layered(rays: DataFrame, layers: list[tuple[DataFrame, Grid, float]], observer_m: float, keys: list[str]) -> DataFrame:
     """(keys, slope): horizons of rays over one to three layers (quads, grid, farthest pixel), near to far.
 
-    Rays have qc, qr in the first layer's pixels, z, the query's position (px, py, pz) and up (ux, uy, uz), a direction and
-    a threshold. A ray that reaches its threshold stops; others go on in the next layer from the distance at which they
+    Rays have qc, qr in the first layer's pixels, z, the query's position (px, py, pz) and up (ux, uy, uz), a direction (or
+    a ``fan`` of them, see ``march``) and a threshold. A ray that reaches its threshold stops; others go on in the next layer from the distance at which they
     left the last one. The query is placed in a farther layer by its datum, not by its elevated position. Slopes of
     earlier layers lie under the threshold, so the largest is the horizon.
     """
@@ -120,18 +185,22 @@ def layered(rays: DataFrame, layers: list[tuple[DataFrame, Grid, float]], observ
     found, start, before = [], F.lit(1.0), None
     for cells, grid, farthest in layers:
         if before is not None:
+            if "fan" in rays.columns:
+                rays = rays.withColumn("_ray", F.explode("fan")).select("*", "_ray.*").drop("fan", "_ray")
+            # Of a ray that had no sample the last distance stays.
+            rays = rays.drop("exit_d").join(here.select(*keys, "hit", "exit_d").hint("merge"), keys, "left").where(~F.coalesce("hit", F.lit(False))).drop("hit")
             r = F.sqrt(at.dot(at))
             datum = Vector(*(c * (before.radius_km / r) for c in at))
             col, row = body_to_stereo(datum, grid)
             rays = rays.withColumns({"qc": col, "qr": row})
             start = next_layer_start(F.coalesce("exit_d", F.lit(1.0)), before.pixel_km * 1000, grid.pixel_km * 1000)
         samples = march(rays.withColumn("_start", start), cells, F.least(reach(F.col("threshold"), grid.pixel_km * 1000), F.lit(farthest)), F.col("_start"))
-        sloped = samples.withColumn("slope", sphere_slope(F.col("x"), F.col("y"), bilinear(F.col("x"), F.col("y")), at, above, grid, observer_m))
+        sloped = with_sphere_slope(samples, at, above, grid, observer_m)
         here = horizon(sloped.select(*keys, "d", "slope", "threshold"), keys)
         found.append(here.select(*keys, "slope"))
-        # Of a ray that had no sample the last distance stays.
-        rays = rays.drop("exit_d").join(here.select(*keys, "hit", "exit_d"), keys, "left").where(~F.coalesce("hit", F.lit(False))).drop("hit")
         before = grid
+    if len(found) == 1:
+        return found[0]
     every = found[0]
     for other in found[1:]:
         every = every.union(other)
@@ -139,7 +208,7 @@ def layered(rays: DataFrame, layers: list[tuple[DataFrame, Grid, float]], observ
 
 
 def illuminate(pixels: DataFrame, quads: DataFrame, grid: Grid, observer_m: float, max_pixels: float, keys: tuple[str, ...] = ("frame", "qr", "qc"), farther: tuple[tuple[DataFrame, Grid, float], ...] = (), whole: tuple[DataFrame, int, int] | None = None) -> DataFrame:
-    """Sun and contact bytes of pixels (frame, qr, qc, z, directions as in ``ray_fan``): keys, sun, dsn, horizon, over.
+    """Sun and contact bytes of pixels (frame, qr, qc, z, directions as in ``ray_fans``): keys, sun, dsn, horizon, over.
 
     ``farther``: more layers (quads, grid, farthest pixel) in which rays go on. ``whole``: the terrain's cells, rows and
     columns; if they are few enough to be broadcast, and there is one layer, rays are marched by ``horizon_kernel``.
@@ -149,15 +218,16 @@ def illuminate(pixels: DataFrame, quads: DataFrame, grid: Grid, observer_m: floa
     up, _ = up_and_depth(qc, qr, F.col("z"), grid)
     placed = pixels.withColumns({"px": query.x, "py": query.y, "pz": query.z, "ux": up.x, "uy": up.y, "uz": up.z})
     own = [f"k_{k}" for k in keys]  # the query's place in a farther layer overwrites qr and qc
-    rays = ray_fan(placed.withColumns({f"k_{k}": F.col(k) for k in keys}))
+    fans = ray_fans(placed.withColumns({f"k_{k}": F.col(k) for k in keys}))
     if whole and not farther and whole[1] * whole[2] * 8 <= CELL_BYTES_LIMIT:
+        rays = fans.withColumn("_ray", F.explode("fan")).select("*", "_ray.*")
         found = horizon_kernel(rays.select(*own, "ray", "qr", "qc", "z", "dc", "dr", "threshold"), *whole, grid, observer_m, max_pixels, (*own, "ray"))
     else:
-        found = layered(rays, [(quads, grid, max_pixels), *farther], observer_m, [*own, "ray"])
+        found = layered(fans, [(quads, grid, max_pixels), *farther], observer_m, [*own, "ray"])
     found = found.withColumn("deg", F.degrees(F.atan("slope")))
     by_ray = found.groupBy(*(F.col(o).alias(k) for o, k in zip(own, keys, strict=True))).agg(*(F.coalesce(F.max(F.when(F.col("ray") == i, F.col("deg"))), F.lit(-90.0)).alias(f"h{i}") for i in range(9)))
     # Pixels whose rays were not cast come back here.
-    out = pixels.join(by_ray, list(keys), "left").withColumn("h", F.array(*(F.coalesce(F.col(f"h{i}"), F.lit(-90.0)) for i in range(8))))
+    out = pixels.join(by_ray.hint("merge"), list(keys), "left").withColumn("h", F.array(*(F.coalesce(F.col(f"h{i}"), F.lit(-90.0)) for i in range(8))))
     fraction = F.when(F.col("sun_el") + SUN_HALF_ANGLE > -10, sun_fraction(F.col("sun_el"), F.col("h"))).otherwise(0.0)
     over = F.when(F.col("earth_el") > -10, F.col("earth_el") - F.coalesce("h8", F.lit(-90.0))).otherwise(-90.0)
     return out.select(*keys, encode_sun(fraction).alias("sun"), encode_contact(over).alias("dsn"), F.coalesce("h8", F.lit(-90.0)).alias("horizon"), over.alias("over"))
