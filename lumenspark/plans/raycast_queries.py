@@ -177,9 +177,11 @@ def _(spark, sf):
     """No sample rises over its cell of the maximum pyramid: what lets a march skip cells."""
     cells = dem(spark, sf)
     rays = cells.select(F.col("r").alias("qr"), F.col("c").alias("qc"), F.lit(0.8).alias("dc"), F.lit(0.6).alias("dr"))
-    samples = X.march(rays, quads(cells), F.lit(FAR)).select(F.shiftright("r", 1).alias("pr"), F.shiftright("c", 1).alias("pc"), bilinear(F.col("x"), F.col("y")).alias("e"))
     up = pool(cells, height(spark, sf), W).select(F.col("r").alias("pr"), F.col("c").alias("pc"), F.col("vmax").alias("top"))
-    return samples.join(up, ["pr", "pc"]).agg(F.count("*").alias("n"), F.count_if(F.col("e") > F.col("top") + 1e-9).alias("broken"))
+    # Each cell gets its bound before the march, so samples are not shuffled for it; it is not broadcast either.
+    bounded = quads(cells).withColumns({"pr": F.shiftright("r", 1), "pc": F.shiftright("c", 1)}).join(up.hint("merge"), ["pr", "pc"]).drop("pr", "pc")
+    samples = X.march(rays, bounded, F.lit(FAR)).select("top", bilinear(F.col("x"), F.col("y")).alias("e"))
+    return samples.agg(F.count("*").alias("n"), F.count_if(F.col("e") > F.col("top") + 1e-9).alias("broken"))
 
 
 @query("j1_frames", "WITH p AS (SELECT vec_id AS r FROM embeddings), f AS (SELECT unnest([1, 2, 3]) AS frame) SELECT r, frame FROM p, f")
