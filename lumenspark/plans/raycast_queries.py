@@ -26,13 +26,13 @@ sa AS (SELECT dem.r AS qr, dem.c AS qc, dem.z AS qz, d, dem.c + d * 0.8 AS x, de
 sm AS (SELECT qr, qc, qz, d, r, c, {bilerp()} AS e FROM sa JOIN qu ON r = trunc(y)::BIGINT AND c = trunc(x)::BIGINT WHERE x > -1 AND y > -1)"""
 
 
-def flat_samples(spark, sf):
-    """Samples of one ray of fixed direction from every cell."""
+def flat_samples(spark, sf, *more):
+    """Samples of one ray of fixed direction from every cell; ``more``: further columns of the ray."""
     cells = dem(spark, sf)
     rays = cells.select(F.col("r").alias("qr"), F.col("c").alias("qc"), F.col("z").alias("qz"), F.lit(0.8).alias("dc"), F.lit(0.6).alias("dr"), F.lit(0.3).alias("threshold"))
     samples = X.march(rays, quads(cells), F.lit(FAR))
     e = bilinear(F.col("x"), F.col("y"))
-    return samples.select("qr", "qc", "d", "threshold", e.alias("e"), X.flat_slope(e, F.col("qz"), F.col("d") * 20, 1737400.0).alias("slope"))
+    return samples.select("qr", "qc", *more, "d", "threshold", e.alias("e"), X.flat_slope(e, F.col("qz"), F.col("d") * 20, 1737400.0).alias("slope"))
 
 
 FLAT = f"{MARCH}, sl AS (SELECT qr, qc, d, e, (e - qz - (d * 20) * (d * 20) / (2 * 1737400.0)) / (d * 20) AS slope FROM sm)"
@@ -160,16 +160,15 @@ SELECT near.qr, near.qc, round(greatest(near.slope, coalesce(fh.slope, near.slop
 def _(spark, sf):
     """A ray that meets nothing in the near layer goes on in a coarser one, from where it left (the layers are joined by
     the ray's own keys; the larger slope wins)."""
-    near = X.horizon(flat_samples(spark, sf), ["qr", "qc"])
+    near = X.horizon(flat_samples(spark, sf, "qz"), ["qr", "qc", "qz"])
     cells = dem(spark, sf)
     far = cells.groupBy(F.expr("r div 2").alias("r"), F.expr("c div 2").alias("c")).agg(F.max("z").alias("z"))
     start = X.next_layer_start(F.col("exit_d"), 20.0, 40.0)
-    go = near.where(~F.col("hit")).join(cells.select(F.col("r").alias("qr"), F.col("c").alias("qc"), F.col("z").alias("qz")), ["qr", "qc"])
-    rays = go.select(F.col("qr").alias("kr"), F.col("qc").alias("kc"), "qz", start.alias("d0"), (F.col("qr") / 2).alias("qr"), (F.col("qc") / 2).alias("qc"), F.lit(0.8).alias("dc"), F.lit(0.6).alias("dr"), F.lit(0.3).alias("threshold"))
+    rays = near.where(~F.col("hit")).select(F.col("qr").alias("kr"), F.col("qc").alias("kc"), "qz", start.alias("d0"), (F.col("qr") / 2).alias("qr"), (F.col("qc") / 2).alias("qc"), F.lit(0.8).alias("dc"), F.lit(0.6).alias("dr"), F.lit(0.3).alias("threshold"))
     samples = X.march(rays, quads(far), F.lit(24.0), F.col("d0"))
     sloped = samples.withColumn("slope", X.flat_slope(bilinear(F.col("x"), F.col("y")), F.col("qz"), F.col("d") * 40, 1737400.0))
     beyond = X.horizon(sloped.select("kr", "kc", "d", "slope", "threshold"), ["kr", "kc"]).select(F.col("kr").alias("qr"), F.col("kc").alias("qc"), F.col("slope").alias("far_slope"))
-    return near.join(beyond, ["qr", "qc"], "left").select("qr", "qc", F.round(F.greatest("slope", F.coalesce("far_slope", "slope")), 6).alias("slope"), "hit")
+    return near.join(beyond.hint("merge"), ["qr", "qc"], "left").select("qr", "qc", F.round(F.greatest("slope", F.coalesce("far_slope", "slope")), 6).alias("slope"), "hit")
 
 
 @query("j3_pyramid_bound", f"WITH {MARCH}, po AS (SELECT r // 2 AS r, c // 2 AS c, max(z) AS top FROM (SELECT dem.r - i AS r, dem.c - j AS c, z FROM dem, (SELECT unnest([0, 1, 2]) AS i), (SELECT unnest([0, 1, 2]) AS j)) WHERE r % 2 = 0 AND c % 2 = 0 AND r >= 0 AND c >= 0 GROUP BY ALL) SELECT count(*)::BIGINT AS n, count_if(e > top + 1e-9)::BIGINT AS broken FROM sm JOIN po ON po.r = sm.r // 2 AND po.c = sm.c // 2, (SELECT count(*) AS h FROM embeddings) WHERE sm.r // 2 < h // 2 AND sm.c // 2 < 32")

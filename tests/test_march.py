@@ -38,7 +38,7 @@ def test_samples_over_blocks_and_stretches(spark, fan):
     assert len(rows) == len(want) and got.keys() == want.keys() and all(abs(got[k] - e) < 1e-9 for k, e in want.items())
 
 
-@pytest.mark.parametrize("name", ["x19_brute_horizon", "x20_blocker", "j3_pyramid_bound", "w8_running_horizon", "x1_samples", "x4_horizon", "x12_relational"])
+@pytest.mark.parametrize("name", ["x19_brute_horizon", "x20_blocker", "j3_pyramid_bound", "w8_running_horizon", "x1_samples", "x4_horizon", "x12_relational", "x13_two_layers"])
 def test_terrain_is_not_broadcast(spark, name):
     """The rows of a raster unfold to 64 cells and 22 samples each: their file's size says nothing about what a broadcast holds."""
     plan = plans.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
