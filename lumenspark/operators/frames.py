@@ -87,7 +87,7 @@ def period_seconds(text: Column) -> Column:
 
 
 def clock_text(seconds: Column) -> Column:
-    """HH:MM:SS of a number of seconds."""
+    """HH:MM:SS of a number of seconds; of 100 hours or more the first two digits stay, as in the SQL twin."""
     s = seconds.cast("long")
     two = lambda c: F.lpad(c.cast("string"), 2, "0")
     return F.concat_ws(":", two(F.floor(s / 3600)), two(F.floor(s % 3600 / 60)), two(s % 60))
