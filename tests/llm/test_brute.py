@@ -367,3 +367,29 @@ def test_passages_of_frequent_lines_between_others(spark):
             rows += [(10 * g + i, " ".join(text(30) + line + text(30))), (5000 + 10 * g + i, " ".join(text(30) + line + text(30)))]
     found = chaining.fuzzy_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {(r["doc_id"], r["other_doc"], r["matching_words"]) for r in found} == want
+
+
+def test_passages_between_others_that_share_a_link_each(spark):
+    """Two documents in the middle share a passage; of its lines every two that follow each other are also in other documents, smaller and
+    greater, which share nothing of 50 words with them or with each other."""
+    rng = random.Random(13)
+    text = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    rows, want = [], set()
+    for g in range(4):
+        lines = [text(20) for _ in range(4)]
+        for d in (10_000 + 10 * g, 10_005 + 10 * g):
+            rows.append((d, " ".join(text(20) + sum(lines, []) + text(20))))
+        want.add((10_005 + 10 * g, 10_000 + 10 * g, 80))
+        for i in range(3):
+            for d in (*range(3), *range(50_000, 50_003)):
+                rows.append((d + 1000 * g + 100 * i, " ".join(text(30) + lines[i] + lines[i + 1] + text(30))))
+    found = chaining.fuzzy_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["other_doc"], r["matching_words"]) for r in found} == want
+
+
+def test_passages_of_seeds_of_many_documents(spark, monkeypatch):
+    """The same where seeds and pairs of seeds are in more documents than are compared by them alone."""
+    monkeypatch.setattr(chaining, "LARGE", 3)
+    test_passages_between_others_that_share_a_link_each(spark)
+    test_passages_of_frequent_lines_between_others(spark)
+    test_fuzzy_passages_find_planted_ones(spark)
