@@ -38,6 +38,7 @@ from lumenspark.llm.shared import fresh
 LONG = 2048
 MEMO_BYTES = 64 << 20
 MEMO_WORD = 256
+ENCODER_WORDS = 150_000  # in an encoder's memo: workers hold it from task to task, through other stages too
 
 
 class Memo:
@@ -245,7 +246,7 @@ class Encoder:
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
-        self.memo = Memo(vocabulary.encode_words)
+        self.memo = Memo(vocabulary.encode_words, ENCODER_WORDS)
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         from lumenspark.llm.fst import split_special

@@ -393,3 +393,12 @@ def test_passages_of_seeds_of_many_documents(spark, monkeypatch):
     test_passages_between_others_that_share_a_link_each(spark)
     test_passages_of_frequent_lines_between_others(spark)
     test_fuzzy_passages_find_planted_ones(spark)
+
+
+def test_encoder_holds_few_words():
+    """Workers keep an encoder for good, beside all that later tasks take."""
+    encoder, library = bpe.Encoder(bpe.load_vocabulary(BYTES)), Tokenizer.from_file(BYTES)
+    for part in range(4):
+        text = " ".join(f"w{i}x{part}" for i in range(50_000))
+        assert encoder.encode(pa.array([text]))[0].tolist() == library.encode(text, add_special_tokens=False).ids
+        assert len(encoder.memo.known) <= 150_000
