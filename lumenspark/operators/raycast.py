@@ -52,6 +52,14 @@ def reach(threshold: Column, pixel_m: float, cap: float = HARD_CAP) -> Column:
     return F.when(threshold > 0.005, F.least(F.lit(cap), TOP_M * 1.5 / pixel_m / threshold)).otherwise(cap)
 
 
+def exit_distance(shape: tuple[int, int], dc: Column, dr: Column) -> Column:
+    """Distance at which a ray from (qr, qc) has left a raster of so many rows and columns, and a pixel beyond it."""
+    out = F.lit(math.inf)
+    for size, at, toward in ((shape[0], F.col("qr"), dr), (shape[1], F.col("qc"), dc)):
+        out = F.least(out, F.when(toward > 0, (size - 1 - at) / toward).when(toward < 0, (at + 1) / -toward).otherwise(math.inf))
+    return out + 1.0
+
+
 def next_layer_start(exit_distance: Column, from_m: float, to_m: float) -> Column:
     """First distance in the coarser layer's pixels, at least one."""
     return F.greatest(F.lit(1.0), exit_distance * from_m / to_m)
@@ -75,16 +83,20 @@ def _in_block() -> Column:
     return (F.shiftleft(F.col("r").bitwiseAND(low), BLOCK) + F.col("c").bitwiseAND(low)).cast("int")
 
 
-def march(rays: DataFrame, quads: DataFrame, limit: Column, start: Column | float = 1.0) -> DataFrame:
+def march(rays: DataFrame, quads: DataFrame, limit: Column, start: Column | float = 1.0, shape: tuple[int, int] | None = None) -> DataFrame:
     """Samples of rays (qr, qc, dc, dr, ...): columns of the ray, d, x, y and the quad's. ``limit`` bounds the distance.
 
     Rays meet the terrain block by block: each stretch of ``CHUNK`` steps goes to the blocks that it can touch, and becomes
     samples there. Neither side is broadcast, as the rows of a raster say little about the cells that they unfold to.
-    In place of dc and dr, rays may have ``fan``, an array of structs with them: these rays go to their blocks together."""
+    In place of dc and dr, rays may have ``fan``, an array of structs with them: these rays go to their blocks together.
+    With the raster's ``shape`` known, no steps are made beyond its edges; the samples are the same."""
     first = F.lit(float(start)) if not isinstance(start, Column) else start
+    fan = "fan" in rays.columns
+    if shape:
+        left = F.array_max(F.transform("fan", lambda f: exit_distance(shape, f["dc"], f["dr"]))) if fan else exit_distance(shape, F.col("dc"), F.col("dr"))
+        limit = F.least(limit, left)
     steps = F.floor((limit - first) / STEP).cast("int")
     distance = lambda k: first + F.col(k) * STEP
-    fan = "fan" in rays.columns
     own = [n for n in rays.columns if n != "fan"]
 
     def ends(at: str, toward: str) -> tuple[Column, Column]:
@@ -171,8 +183,9 @@ def ray_fans(df: DataFrame) -> DataFrame:
     return cast.withColumns({"threshold": F.tan(F.radians("_body.top")), "fan": F.when(F.col("_body.i") == 0, sun).otherwise(earth)}).drop("_body")
 
 
-def layered(rays: DataFrame, layers: list[tuple[DataFrame, Grid, float]], observer_m: float, keys: list[str]) -> DataFrame:
-    """(keys, slope): horizons of rays over one to three layers (quads, grid, farthest pixel), near to far.
+def layered(rays: DataFrame, layers: list[tuple[DataFrame, Grid, float]], observer_m: float, keys: list[str], shape: tuple[int, int] | None = None) -> DataFrame:
+    """(keys, slope): horizons of rays over one to three layers (quads, grid, farthest pixel), near to far. ``shape``: rows and
+    columns of the nearest one, if they are known (see ``march``).
 
     Rays have qc, qr in the first layer's pixels, z, the query's position (px, py, pz) and up (ux, uy, uz), a direction (or
     a ``fan`` of them, see ``march``) and a threshold. A ray that reaches its threshold stops; others go on in the next layer from the distance at which they
@@ -194,7 +207,7 @@ def layered(rays: DataFrame, layers: list[tuple[DataFrame, Grid, float]], observ
             col, row = body_to_stereo(datum, grid)
             rays = rays.withColumns({"qc": col, "qr": row})
             start = next_layer_start(F.coalesce("exit_d", F.lit(1.0)), before.pixel_km * 1000, grid.pixel_km * 1000)
-        samples = march(rays.withColumn("_start", start), cells, F.least(reach(F.col("threshold"), grid.pixel_km * 1000), F.lit(farthest)), F.col("_start"))
+        samples = march(rays.withColumn("_start", start), cells, F.least(reach(F.col("threshold"), grid.pixel_km * 1000), F.lit(farthest)), F.col("_start"), shape if before is None else None)
         sloped = with_sphere_slope(samples, at, above, grid, observer_m)
         here = horizon(sloped.select(*keys, "d", "slope", "threshold"), keys)
         found.append(here.select(*keys, "slope"))
@@ -207,11 +220,12 @@ def layered(rays: DataFrame, layers: list[tuple[DataFrame, Grid, float]], observ
     return every.groupBy(*keys).agg(F.max("slope").alias("slope"))
 
 
-def illuminate(pixels: DataFrame, quads: DataFrame, grid: Grid, observer_m: float, max_pixels: float, keys: tuple[str, ...] = ("frame", "qr", "qc"), farther: tuple[tuple[DataFrame, Grid, float], ...] = (), whole: tuple[DataFrame, int, int] | None = None) -> DataFrame:
+def illuminate(pixels: DataFrame, quads: DataFrame, grid: Grid, observer_m: float, max_pixels: float, keys: tuple[str, ...] = ("frame", "qr", "qc"), farther: tuple[tuple[DataFrame, Grid, float], ...] = (), whole: tuple[DataFrame, int, int] | None = None, shape: tuple[int, int] | None = None) -> DataFrame:
     """Sun and contact bytes of pixels (frame, qr, qc, z, directions as in ``ray_fans``): keys, sun, dsn, horizon, over.
 
     ``farther``: more layers (quads, grid, farthest pixel) in which rays go on. ``whole``: the terrain's cells, rows and
-    columns; if they are few enough to be broadcast, and there is one layer, rays are marched by ``horizon_kernel``.
+    columns; if they are few enough to be broadcast, and there is one layer, rays are marched by ``horizon_kernel``. ``shape``:
+    rows and columns of the terrain, where ``whole`` is not given.
     """
     qc, qr = F.col("qc").cast("double"), F.col("qr").cast("double")
     query = stereo_to_body(qc, qr, F.col("z"), grid)
@@ -223,7 +237,7 @@ def illuminate(pixels: DataFrame, quads: DataFrame, grid: Grid, observer_m: floa
         rays = fans.withColumn("_ray", F.explode("fan")).select("*", "_ray.*")
         found = horizon_kernel(rays.select(*own, "ray", "qr", "qc", "z", "dc", "dr", "threshold"), *whole, grid, observer_m, max_pixels, (*own, "ray"))
     else:
-        found = layered(fans, [(quads, grid, max_pixels), *farther], observer_m, [*own, "ray"])
+        found = layered(fans, [(quads, grid, max_pixels), *farther], observer_m, [*own, "ray"], shape or (whole and whole[1:]))
     found = found.withColumn("deg", F.degrees(F.atan("slope")))
     by_ray = found.groupBy(*(F.col(o).alias(k) for o, k in zip(own, keys, strict=True))).agg(*(F.coalesce(F.max(F.when(F.col("ray") == i, F.col("deg"))), F.lit(-90.0)).alias(f"h{i}") for i in range(9)))
     # Pixels whose rays were not cast come back here.

@@ -14,7 +14,7 @@ from lumenspark.plans.registry import bodies, cell_columns, dem, query
 
 GRID = G.Grid(31.5, 249.5, 0.02)
 STEP = X.STEP
-FAR = 16.0  # pixels: the raster is 64 wide
+FAR = 16.0  # pixels: the raster is 64 wide (x12_relational has no such bound)
 
 
 def bilerp(x: str = "x", y: str = "y") -> str:
@@ -143,10 +143,19 @@ def illumination(spark, sf):
     return found.select("frame", "qr", "qc", "sun", "dsn", F.round("horizon", 5).alias("horizon"))
 
 
-@query("x12_relational", FRAME)
+#: Every ray to the raster's edge: it has no cells a pixel beyond.
+_NEAR_STEPS = FRAME[FRAME.index("st AS (") : FRAME.index("sm AS (")]
+_EDGE = f"least(CASE WHEN dc > 0 THEN ({W} - qc) / dc WHEN dc < 0 THEN (qc + 2) / -dc ELSE 1e9 END, CASE WHEN dr > 0 THEN (h - qr) / dr WHEN dr < 0 THEN (qr + 2) / -dr ELSE 1e9 END)"
+_ALL_STEPS = f"""st AS (SELECT ry.*, unnest(range(0, 2 + ({_EDGE} / {STEP})::BIGINT)) AS k FROM ry, (SELECT count(*) AS h FROM embeddings)),
+sa AS (SELECT * EXCLUDE k, 1.0 + k * {STEP} AS d, qc + (1.0 + k * {STEP}) * dc AS x, qr + (1.0 + k * {STEP}) * dr AS y FROM st WHERE 1.0 + k * {STEP} <= CASE WHEN thr > 0.005 THEN least({X.HARD_CAP}, 750.0 / thr) ELSE {X.HARD_CAP} END),
+"""
+WHOLE_FRAME = FRAME.replace(_NEAR_STEPS, _ALL_STEPS)
+
+
+@query("x12_relational", WHOLE_FRAME)
 def _(spark, sf):
-    """The same by joins and aggregates, as for terrain that is too large to broadcast."""
-    found = X.illuminate(frame_pixels(spark, sf), quads(dem(spark, sf)), GRID, 2.0, FAR)
+    """A frame by joins and aggregates, as for terrain that is too large to broadcast; rays go on to the raster's edge."""
+    found = X.illuminate(frame_pixels(spark, sf), quads(dem(spark, sf)), GRID, 2.0, X.HARD_CAP, shape=(height(spark, sf), W))
     return found.select("frame", "qr", "qc", "sun", "dsn", F.round("horizon", 5).alias("horizon"))
 
 

@@ -43,3 +43,24 @@ def test_terrain_is_not_broadcast(spark, name):
     """The rows of a raster unfold to 64 cells and 22 samples each: their file's size says nothing about what a broadcast holds."""
     plan = plans.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_shape_ends_rays_at_the_edges_only(spark):
+    """With the raster's size known, rays have the samples that they have without it."""
+    cells = spark.range(70 * 140).selectExpr("id div 140 AS r", "id % 140 AS c", "cast(id % 7 AS double) AS z")
+    ways = [(0.8, 0.6), (-0.8, -0.6), (0.6, -0.8), (-1.0, 0.0), (0.0, 1.0)]
+    rays = spark.createDataFrame([(r, c, k, *w) for r, c in [(0, 0), (69, 139), (35, 63)] for k, w in enumerate(ways)], "qr long, qc long, ray int, dc double, dr double")
+    fans = rays.groupBy("qr", "qc").agg(F.collect_list(F.struct("ray", "dc", "dr")).alias("fan"))
+    sets = [sorted(tuple(x) for x in X.march(df, quads(cells), F.lit(400.0), 1.0, shape).select("qr", "qc", "ray", "d", "r", "c").collect()) for df, shape in ((rays, None), (rays, (70, 140)), (fans, (70, 140)))]
+    assert len(sets[0]) > 500 and sets[0] == sets[1] == sets[2]
+
+
+def test_relational_frame_sees_all_of_the_terrain(spark):
+    """Rays of x12_relational go on to the raster's edge, as those of the kernel without a bound."""
+    from lumenspark.plans import raycast_queries as R
+
+    sf = "/root/testdata/sf0.001"
+    cells = R.dem(spark, sf)
+    whole = X.illuminate(R.frame_pixels(spark, sf), quads(cells), R.GRID, 2.0, X.HARD_CAP, whole=(cells, R.height(spark, sf), R.W))
+    rows = [sorted(tuple(r) for r in df.select("qr", "qc", "sun", "dsn", F.round("horizon", 5)).collect()) for df in (plans.QUERIES["x12_relational"](spark, sf), whole)]
+    assert rows[0] and rows[0] == rows[1]
