@@ -57,3 +57,13 @@ def test_small_shards_and_random_access(spark):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert tokenfiles.write_and_read(docs, PATH).count() == 0
+
+
+@pytest.mark.parametrize("base", [50, 60_000, 70_000])
+def test_every_rule_pays(base):
+    """Rules of the last round, which are used by symbols only, save more than they take."""
+    rng = np.random.default_rng(base)
+    ids = np.minimum(rng.zipf(1.3, 20_000), base - 1).astype(np.uint32)
+    symbols, rules, _, bounds = tokenfiles.compress(ids, base, pairs=300)
+    assert (tokenfiles.expand(symbols, rules, bounds) == ids).all() and 2 * len(symbols) + tokenfiles.RULE_BYTES * len(rules) < 2 * len(ids)
+    assert 2 * np.bincount(symbols)[bounds[-2] :].min() > tokenfiles.RULE_BYTES
